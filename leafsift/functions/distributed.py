@@ -109,3 +109,15 @@ def explode_rows(df: DataFrame, values: Column, out: str) -> DataFrame:
     the outer form with a filter on its output does not.
     """
     return df.withColumn(out, F.explode_outer(values)).filter(F.col(out).isNotNull())
+
+
+def fixed_columns(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters use as they are.
+
+    The optimiser moves a filter below the projection of its column and so
+    computes an expensive expression again, once per use; it does not move a
+    filter below a generator.
+    """
+    made = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    out = df.withColumn("_made", F.explode_outer(made))
+    return out.select(*df.columns, *[F.col(f"_made.{name}").alias(name) for name in columns])

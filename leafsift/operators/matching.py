@@ -7,11 +7,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafsift.functions.distributed import salted_semi_join
+from leafsift.functions.distributed import fixed_columns, salted_semi_join
 from leafsift.operators.patterns import compile_patterns, quick_regex
-from leafsift.operators.selection import PAGE, page_hits
+from leafsift.operators.selection import PAGE, block_hits, wider_hits
 from leafsift.operators.tokens import annotate
 from leafsift.plans.registry import Metric, get_metric
+from leafsift.session import materialise
 from leafsift.sources.reports import report_name, report_year
 
 
@@ -33,37 +34,41 @@ def first_match(encoded: Column, regexes: Sequence[str]) -> Column:
     return F.array_min(F.array_compact(F.array(*found)))
 
 
-def match_blocks(
-    blocks: DataFrame,
-    metrics: Sequence[str | Metric],
-    annotator: Callable[[Column], Column] | None = None,
-) -> DataFrame:
-    """Blocks that match, on whatever page: ``filename, page, paragraph, metric, text, match_string, start, end``.
+def _found(
+    blocks: DataFrame, metrics: Sequence[Metric], annotator: Callable[[Column], Column] | None
+) -> tuple[DataFrame, Column]:
+    """Blocks with their tokens, and an array column with the first match (or null) per set of patterns.
 
-    Blocks that cannot match any metric are dropped by a plain regex before
-    they are split into tokens.
+    Blocks that cannot match any metric by a plain regex get no tokens.
     """
-    # Metrics with the same patterns are matched once.
     groups: dict[tuple[str, ...], list[Metric]] = {}
-    for m in map(get_metric, metrics):
+    for m in metrics:
         groups.setdefault(tuple(compile_patterns(m.patterns, m.kind)), []).append(m)
     quick = {regexes: quick_regex(same[0].patterns, same[0].kind) for regexes, same in groups.items()}
 
     blocks = blocks.withColumn("_low", F.lower("text"))
-    if annotator is None and all(q is not None for q in quick.values()):
-        blocks = blocks.filter(F.col("_low").rlike("|".join(f"(?:{q})" for q in quick.values())))
+    filtered = annotator is None and all(quick.values())
+    if filtered:
+        anything = F.col("_low").rlike("|".join(f"(?:{q})" for q in quick.values()))
+        blocks = blocks.withColumn("_text", F.when(anything, F.col("text")))
+    else:
+        blocks = blocks.withColumn("_text", F.col("text"))
     found = []
     for regexes, same in groups.items():
         span = first_match(F.col("encoded"), regexes)
-        if annotator is None and quick[regexes] is not None:
+        if filtered:
             span = F.when(F.col("_low").rlike(quick[regexes]), span)
-        found.append(F.struct(F.array(*[F.lit(m.name) for m in same]).alias("metrics"), span.alias("m")))
+        names = F.array(*[F.lit(m.name) for m in same])
+        found.append(F.when(span.isNotNull(), F.struct(names.alias("metrics"), span.alias("m"))))
+    return annotate(blocks, annotator, "_text"), F.array(*found)
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """One row per match from the array ``_found``."""
     placed = (
-        annotate(blocks, annotator)
-        .withColumn("_f", F.explode_outer(F.array(*found)))
-        .select(*PAGE, "paragraph", "text", "raw", F.col("_f.metrics").alias("metrics"), F.col("_f.m").alias("_m"))
-        .filter(F.col("_m").isNotNull())
-        .withColumn("metric", F.explode_outer("metrics"))
+        found.withColumn("_f", F.explode_outer("_found"))
+        .filter(F.col("_f").isNotNull())
+        .select(*PAGE, "paragraph", "text", "raw", F.col("_f.m").alias("_m"), F.explode_outer("_f.metrics").alias("metric"))
     )
     words = F.slice("raw", F.col("_m.start") + 1, F.col("_m.n"))
     return placed.select(
@@ -77,6 +82,16 @@ def match_blocks(
     )
 
 
+def match_blocks(
+    blocks: DataFrame,
+    metrics: Sequence[str | Metric],
+    annotator: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Blocks that match, on whatever page: ``filename, page, paragraph, metric, text, match_string, start, end``."""
+    tokens, found = _found(blocks, [get_metric(m) for m in metrics], annotator)
+    return _spans(tokens.withColumn("_found", found))
+
+
 def match_table(
     cleaned: DataFrame,
     metrics: str | Metric | Sequence[str | Metric],
@@ -84,13 +99,29 @@ def match_table(
 ) -> DataFrame:
     """Matches on the pages selected for each metric, from cleaned blocks.
 
-    Page selection and matching are both filters, so matching runs first where
-    the text lies; only page keys and matching blocks are shuffled.
+    Page selection and matching are both filters, so one pass over the text
+    notes keyword hits and matches together. What it leaves (no text but that
+    of matches) is written once and joined by page.
     """
     chosen = [get_metric(m) for m in ([metrics] if isinstance(metrics, (str, Metric)) else metrics)]
-    hits = page_hits(cleaned, {m.name: m.keywords for m in chosen})
-    found = match_blocks(cleaned, chosen, annotator)
-    selected = salted_semi_join(found, hits, [*PAGE, "metric"], F.col("paragraph"))
+    keywords = {m.name: m.keywords for m in chosen}
+    tokens, found = _found(cleaned, chosen, annotator)
+    hits = F.array_compact(F.array(*block_hits(keywords)))
+    matching = F.size("_found") > 0
+    noted = fixed_columns(tokens.drop("tokens"), _hits=hits, _found=F.array_compact(found)).filter(
+        (F.size("_hits") > 0) | matching
+    )
+    noted = materialise(noted.select(
+        *PAGE, "paragraph", "_hits", "_found",
+        F.when(matching, F.col("text")).alias("text"), F.when(matching, F.col("raw")).alias("raw"),
+    ))
+    pages = noted.select(*PAGE, F.explode_outer("_hits").alias("_names")).select(
+        *PAGE, F.explode_outer("_names").alias("metric")
+    )
+    for more in wider_hits(cleaned, keywords):
+        pages = pages.unionByName(more)
+    pages = pages.filter(F.col("metric").isNotNull()).distinct()
+    selected = salted_semi_join(_spans(noted), pages, [*PAGE, "metric"], F.col("paragraph"))
     # Name and year are part of the file name: no join with the reports.
     return selected.select(
         "filename",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from leafsift.functions.distributed import explode_rows, rank_rows, salted_semi_join
 from leafsift.functions.text import literal_regex
 from leafsift.plans.registry import Metric, get_keywords
+from leafsift.session import materialise
 
 PAGE = ["filename", "page"]
 _PLAIN = re.compile(r"[\w \-]+", re.ASCII)
@@ -46,28 +47,45 @@ def _each(names: Sequence[str]) -> Column:
 def _hits_across(blocks: DataFrame, names: Sequence[str], phrases: Sequence[str]) -> DataFrame:
     """Pages where a phrase runs over a block end.
 
-    Only the first and last characters of a block matter. Every block goes to
-    at most as many short neighbourhoods as a phrase has spaces, plus its own.
+    Only the first and last characters of a block matter, and only on pages
+    with a block that ends like the front of a phrase and one that begins like
+    the rest. There, every block joins at most as many short neighbourhoods as
+    a phrase has spaces, plus its own.
     """
     reach = max(len(p) for p in phrases) - 1
     steps = max(p.count(" ") for p in phrases)
+    cuts = [(p[:i], p[i + 1 :]) for p in phrases for i, ch in enumerate(p) if ch == " "]
+    # A block inside a phrase is a whole word of it: it begins and ends as asked here too.
+    fronts = "|".join(sorted({literal_regex(front.split(" ")[-1]) for front, _ in cuts}))
+    rests = "|".join(sorted({literal_regex(rest.split(" ")[0]) for _, rest in cuts}))
     text = F.lower("text")
     ends = blocks.select(
         *PAGE,
         "paragraph",
-        F.floor(F.col("paragraph") / 1024).alias("_paras"),
         F.left(text, F.lit(reach)).alias("_head"),
         F.right(text, F.lit(reach)).alias("_tail"),
     )
-    placed = rank_rows(ends, PAGE, [["_paras"]], ["paragraph"], "_at")
+    ending, beginning = F.col("_tail").rlike(rf"(?:{fronts})\z"), F.col("_head").rlike(rf"\A(?:{rests})")
+    likely = (
+        ends.filter(ending | beginning)
+        .groupBy(*PAGE)
+        .agg(F.bool_or(ending).alias("_ending"), F.bool_or(beginning).alias("_beginning"))
+        .filter("_ending AND _beginning")
+        .select(*PAGE)
+    )
+    few = materialise(salted_semi_join(ends, likely, PAGE, F.col("paragraph")))
+    placed = rank_rows(
+        few.withColumn("_paras", F.floor(F.col("paragraph") / 1024)), PAGE, [["_paras"]], ["paragraph"], "_at"
+    )
+    piece = F.struct(
+        "_step", F.when(F.col("_step") == 0, F.col("_tail")).otherwise(F.col("_head")).alias("t")
+    )
     pieces = placed.select(
         *PAGE,
         F.posexplode(F.array([F.col("_at") - i for i in range(steps + 1)])).alias("_step", "_from"),
         "_head",
         "_tail",
-    ).select(
-        *PAGE, "_from", F.struct("_step", F.when(F.col("_step") == 0, F.col("_tail")).otherwise(F.col("_head")).alias("t")).alias("_piece")
-    )
+    ).select(*PAGE, "_from", piece.alias("_piece"))
     # At most ``steps + 1`` pieces per group, of at most ``reach`` characters each.
     joined = pieces.groupBy(*PAGE, "_from").agg(F.sort_array(F.collect_list("_piece")).alias("_p"))
     around = F.array_join(F.transform("_p", lambda p: p["t"]), " ")
@@ -81,21 +99,39 @@ def _hits_whole_page(blocks: DataFrame, names: Sequence[str], patterns: Sequence
     return pages.filter(any_keyword(text, patterns)).select(*PAGE, _each(names))
 
 
-def page_hits(blocks: DataFrame, keywords: Mapping[str, Sequence[str]]) -> DataFrame:
-    """``filename, page, metric`` for many metrics in one pass over the text."""
-    # Metrics with the same keywords are looked up once.
+def keyword_groups(keywords: Mapping[str, Sequence[str]]) -> dict[tuple[str, ...], list[str]]:
+    """Metrics by their keywords: the same list is looked up once."""
     groups: dict[tuple[str, ...], list[str]] = {}
     for name, words in keywords.items():
         groups.setdefault(tuple(words), []).append(name)
-    flags, more = [], []
-    for words, names in groups.items():
-        plain, across, free = split_keywords(words)
+    return groups
+
+
+def block_hits(keywords: Mapping[str, Sequence[str]]) -> list[Column]:
+    """For each keyword list: the metrics a block hits by itself, or null."""
+    flags = []
+    for words, names in keyword_groups(keywords).items():
+        plain, _, _ = split_keywords(words)
         if plain:
             flags.append(F.when(any_keyword(F.col("text"), plain), F.array(*map(F.lit, names))))
+    return flags
+
+
+def wider_hits(blocks: DataFrame, keywords: Mapping[str, Sequence[str]]) -> list[DataFrame]:
+    """Page hits of keywords that may run over a block end, one DataFrame per kind and list."""
+    more = []
+    for words, names in keyword_groups(keywords).items():
+        _, across, free = split_keywords(words)
         if across:
             more.append(_hits_across(blocks, names, across))
         if free:
             more.append(_hits_whole_page(blocks, names, free))
+    return more
+
+
+def page_hits(blocks: DataFrame, keywords: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``filename, page, metric`` for many metrics in one pass over the text."""
+    flags, more = block_hits(keywords), wider_hits(blocks, keywords)
     hits = None
     if flags:
         found = explode_rows(blocks, F.array(*flags), "_names").select(*PAGE, "_names").distinct()

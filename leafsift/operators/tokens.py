@@ -194,18 +194,20 @@ def encode_tokens(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, one), "")
 
 
-def annotate(blocks: DataFrame, annotator: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Add ``tokens`` and ``encoded`` to blocks.
+def annotate(
+    blocks: DataFrame, annotator: Callable[[Column], Column] | None = None, text: str = "text"
+) -> DataFrame:
+    """Add ``raw``, ``tokens`` and ``encoded`` to blocks; all null where the text is.
 
     ``annotator`` maps the text column to a token array of the shape above,
     e.g. a pandas UDF that runs a language model on Arrow batches. The raw
     tokens are then the ``text`` fields.
     """
     if annotator is not None:
-        out = blocks.withColumn("tokens", annotator(F.col("text")))
+        out = blocks.withColumn("tokens", annotator(F.col(text)))
         out = out.withColumn("raw", F.transform("tokens", lambda t: F.concat(t["text"], F.lit(" "))))
     else:
-        out = blocks.withColumn("raw", raw_tokens(F.col("text")))
+        out = blocks.withColumn("raw", raw_tokens(F.col(text)))
         out = out.withColumn("_forms", surface_forms(F.col("raw")))
         out = out.withColumn("tokens", annotate_tokens(F.col("_forms"))).drop("_forms")
     return out.withColumn("encoded", encode_tokens(F.col("tokens")))

@@ -49,3 +49,13 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/leafsift-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the rows of a scan with fewer splits than cores, such as one small file.
+
+    A scan that already has a split per core is left alone, so large inputs
+    are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

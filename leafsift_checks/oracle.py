@@ -428,7 +428,7 @@ ORACLE["a05_not_found_rows"] = ctes(*_CARE, collected(10_000)) + ALL_REPORTS
 _LTIFR = [*CLEANED, *TOKENS, *match_ctes("ltifr"), ("fl0", frequent("mt")),
           ("fl", "SELECT *, predicted_text_class AS flag FROM fl0"), collected(10_000)]
 ORACLE["a06_assess_ltifr"] = ctes(*_LTIFR) + ALL_REPORTS
-ORACLE["a07_assess_report"] = ORACLE["a06_assess_ltifr"] + " WHERE r.filename = 'Company_1000_Annual_Report_1996.pdf'"
+ORACLE["a07_assess_report"] = ORACLE["a06_assess_ltifr"] + " WHERE r.filename = 'Company_0_Annual_Report_1996.pdf'"
 _EMP = [*CLEANED, *TOKENS, *match_ctes("n_employees"),
         ("lab", "SELECT *, CAST(contains(text, 'number of employees') AND page % 5 <> 0 AS INT) AS class FROM mt"),
         *model_ctes("lab", "filename, page, paragraph", 3, 0.25), *score_ctes("mt", ["filename", "page", "paragraph"], 3),

@@ -15,11 +15,13 @@ from leafsift.operators import (
 from leafsift.plans import assess, training
 from leafsift.plans.registry import METRICS, get_keywords
 from leafsift.sources import reports
+from leafsift.session import spread
 from leafsift_checks.derived import report_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+TEXTS = ("documents", "pages", "conversations")
 ADHOC = ["the", "lic[ei]n", "of the"]
 FREE = ["pri.*lost", "headcount"]
 
@@ -30,7 +32,8 @@ def query(fn: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,7 +510,7 @@ def a01_scored_passages(spark, sf_dir):
 
 @query
 def a07_assess_report(spark, sf_dir):
-    return _flat(assess.assess_report(report_blocks(spark, sf_dir), "Company_1000_Annual_Report_1996.pdf", "ltifr"))
+    return _flat(assess.assess_report(report_blocks(spark, sf_dir), "Company_0_Annual_Report_1996.pdf", "ltifr"))
 
 
 @query
