@@ -63,16 +63,19 @@ def assess_metrics(
     models: Mapping[str, Any] | None = None,
     annotator: Callable[[Column], Column] | None = None,
     per_part: int = PASSAGES_PER_PART,
+    matches: DataFrame | None = None,
 ) -> DataFrame:
     """One row per report and metric: ``filename, name, year, metric, class, part, predicted_page, predicted_text``.
 
-    All reports and metrics go through cleaning and matching together.
+    All reports and metrics go through cleaning and matching together, unless
+    their match table is already at hand.
     """
     chosen = [get_metric(m) for m in metrics]
     for m in chosen:
         if m.scorer != "frequent_page" and m.name not in (models or {}):
             raise ValueError(f"{m.name} needs a model")
-    matches = report_matches(blocks, chosen, annotator)
+    if matches is None:
+        matches = report_matches(blocks, chosen, annotator)
     columns = ["filename", "name", "year", "metric", "page", "paragraph", "text", "predicted_text_class"]
     flagged = [flag_passages(matches, m, (models or {}).get(m.name)).select(*columns) for m in chosen]
     reports = parsed_reports(report_metadata(blocks, "filename"))

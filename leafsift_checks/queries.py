@@ -488,23 +488,24 @@ def a06_assess_ltifr(spark, sf_dir):
     return _flat(assess.assess_metric(report_blocks(spark, sf_dir), "ltifr"))
 
 
-def employees_model(spark, sf_dir):
-    """Model from matched passages, labelled by a rule that stands in for a reader."""
+def _employees(spark, sf_dir):
+    """Matches and a model of them, labelled by a rule that stands in for a reader."""
     matches = assess.report_matches(report_blocks(spark, sf_dir), ["n_employees"])
     sure = F.contains("text", F.lit("number of employees")) & (F.col("page") % 5 != 0)
     rows = matches.select("text", F.when(sure, 1).otherwise(0).alias("class"))
-    return (*naive_bayes.train(rows, 0.25, (1, 3)), (1, 3))
+    return matches, (*naive_bayes.train(rows, 0.25, (1, 3)), (1, 3))
 
 
 @query
 def a06_assess_n_employees(spark, sf_dir):
-    return _flat(assess.assess_metric(report_blocks(spark, sf_dir), "n_employees", employees_model(spark, sf_dir)))
+    matches, model = _employees(spark, sf_dir)
+    return _flat(assess.assess_metric(report_blocks(spark, sf_dir), "n_employees", model, matches=matches))
 
 
 @query
 def a01_scored_passages(spark, sf_dir):
-    matches = assess.report_matches(report_blocks(spark, sf_dir), ["n_employees"])
-    out = assess.flag_passages(matches, "n_employees", employees_model(spark, sf_dir))
+    matches, model = _employees(spark, sf_dir)
+    out = assess.flag_passages(matches, "n_employees", model)
     return out.select("filename", "page", "paragraph", rounded("likelihood"), "predicted_text_class")
 
 
