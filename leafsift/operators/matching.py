@@ -60,7 +60,8 @@ def _found(
             span = F.when(F.col("_low").rlike(quick[regexes]), span)
         names = F.array(*[F.lit(m.name) for m in same])
         found.append(F.when(span.isNotNull(), F.struct(names.alias("metrics"), span.alias("m"))))
-    return annotate(blocks, annotator, "_text"), F.array(*found)
+    needed = {key for m in metrics if m.kind == "text" for p in m.patterns for token in p for key in token}
+    return annotate(blocks, annotator, "_text", needed), F.array(*found)
 
 
 def _spans(found: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ from leafsift.plans.registry import BEST_PAGE_LIKELIHOOD
 def best_pages(scored: DataFrame, keys: Sequence[str] = ("filename",)) -> DataFrame:
     """The page with the most confident matches per report: ``keys, page, n, likelihood``.
 
-    Ties go to the higher likelihood, then to the lower page.
+    Ties go to the higher likelihood, then to the lower page. Likelihoods are
+    compared to nine places: beyond that they depend on the order of a sum.
     """
     keys = list(keys)
     pages = (
@@ -26,7 +27,7 @@ def best_pages(scored: DataFrame, keys: Sequence[str] = ("filename",)) -> DataFr
         .groupBy(*keys, "page")
         .agg(F.count(F.lit(1)).alias("n"), F.max("likelihood").alias("likelihood"))
     )
-    rank = F.struct("n", "likelihood", -F.col("page"))
+    rank = F.struct("n", F.round("likelihood", 9), -F.col("page"))
     best = pages.groupBy(*keys).agg(F.max_by(F.struct("page", "n", "likelihood"), rank).alias("b"))
     return best.select(*keys, "b.page", "b.n", "b.likelihood")
 

@@ -8,7 +8,7 @@ in place of a trained model, so they are approximations; ``annotator`` in
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,6 +121,37 @@ def surface_forms(raw: Column) -> Column:
     return F.transform(raw, one)
 
 
+def _entity(forms: Column, t: Column, i: Column, say: Mapping[str, str]) -> Column:
+    """Entity of a token, worded by ``say``, from the token and its neighbours (null beyond the ends)."""
+    low, number = t["lower"], t["like_num"]
+    before, after = F.when(i > 0, F.get(forms, i - 1)), F.get(forms, i + 1)["lower"]
+    percent = F.coalesce(after.isin("%", "percent"), F.lit(False))
+    money = F.coalesce(before["lower"].isin(CURRENCIES), F.lit(False))
+    return (
+        F.when(number, F.when(percent, say["PERCENT"]).when(money, say["MONEY"]).otherwise(say["CARDINAL"]))
+        .when(low.isin("%", "percent") & F.coalesce(before["like_num"], F.lit(False)), say["PERCENT"])
+        .when(low.isin(COUNTRIES), say["GPE"])
+        .when(low.isin(PEOPLES), say["NORP"])
+        .otherwise(say[""])
+    )
+
+
+def _part_of_speech(t: Column, say: Mapping[str, str]) -> Column:
+    low = t["lower"]
+    noun = F.lit(False)
+    for length in sorted({len(e) for e in NOUN_ENDINGS}):
+        noun = noun | F.right(low, F.lit(length)).isin([e for e in NOUN_ENDINGS if len(e) == length])
+    return (
+        F.when(t["like_num"], say["NUM"])
+        .when(low.isin(ADPOSITIONS), say["ADP"])
+        .when(low.isin(SYMBOLS), say["SYM"])
+        .when(low.isin(PUNCTUATION), say["PUNCT"])
+        .when(F.startswith(low, F.lit(" ")), say["SPACE"])
+        .when(noun, say["NOUN"])
+        .otherwise(say["X"])
+    )
+
+
 def annotate_tokens(forms: Column) -> Column:
     """``ARRAY<STRUCT<text, lower, lemma, pos, ent, like_num, is_punct>>``.
 
@@ -128,41 +159,14 @@ def annotate_tokens(forms: Column) -> Column:
     """
 
     def token(t: Column, i: Column) -> Column:
-        low, number = t["lower"], t["like_num"]
-        # Neighbours by safe array access: null beyond the ends.
-        before = F.when(i > 0, F.get(forms, i - 1))
-        after = F.get(forms, i + 1)["lower"]
-        ent = (
-            F.when(number & F.coalesce(after.isin("%", "percent"), F.lit(False)), "PERCENT")
-            .when(low.isin("%", "percent") & F.coalesce(before["like_num"], F.lit(False)), "PERCENT")
-            .when(number & F.coalesce(before["lower"].isin(CURRENCIES), F.lit(False)), "MONEY")
-            .when(number, "CARDINAL")
-            .when(low.isin(COUNTRIES), "GPE")
-            .when(low.isin(PEOPLES), "NORP")
-            .otherwise("")
-        )
-        pos = (
-            F.when(number, "NUM")
-            .when(low.isin(ADPOSITIONS), "ADP")
-            .when(low.isin(SYMBOLS), "SYM")
-            .when(low.isin(PUNCTUATION), "PUNCT")
-            .when(F.startswith(low, F.lit(" ")), "SPACE")
-            .when(
-                F.right(low, F.lit(4)).isin(NOUN_ENDINGS)
-                | F.right(low, F.lit(3)).isin(NOUN_ENDINGS)
-                | F.right(low, F.lit(2)).isin(NOUN_ENDINGS),
-                "NOUN",
-            )
-            .otherwise("X")
-        )
         return F.struct(
             t["text"].alias("text"),
-            low.alias("lower"),
-            lemma_of(low).alias("lemma"),
-            pos.alias("pos"),
-            ent.alias("ent"),
-            number.alias("like_num"),
-            low.isin(PUNCTUATION).alias("is_punct"),
+            t["lower"].alias("lower"),
+            lemma_of(t["lower"]).alias("lemma"),
+            _part_of_speech(t, {k: k for k in POS_LETTERS}).alias("pos"),
+            _entity(forms, t, i, {k: k for k in ENT_LETTERS}).alias("ent"),
+            t["like_num"].alias("like_num"),
+            t["lower"].isin(PUNCTUATION).alias("is_punct"),
         )
 
     return F.transform(forms, token)
@@ -175,6 +179,15 @@ def _letter(value: Column, letters: dict[str, str], default: str) -> Column:
     return out.otherwise(default)
 
 
+def _encoded(low: Column, lemma: Column, pos: Column, ent: Column, number: Column, punct: Column, text: Column) -> Column:
+    return F.concat(
+        F.lit("\u0001"), low, F.lit("\u0002"), lemma, F.lit("\u0003"), pos, ent,
+        F.when(number, LIKE_NUM_LETTER).otherwise(""),
+        F.when(punct, IS_PUNCT_LETTER).otherwise(""),
+        F.lit("\u0004"), text,
+    )
+
+
 def encode_tokens(tokens: Column) -> Column:
     """Tokens as one string: ``\\1 lower \\2 lemma \\3 flags \\4 text`` each.
 
@@ -182,32 +195,56 @@ def encode_tokens(tokens: Column) -> Column:
     """
 
     def one(t: Column) -> Column:
-        return F.concat(
-            F.lit("\u0001"), t["lower"], F.lit("\u0002"), t["lemma"], F.lit("\u0003"),
-            _letter(t["pos"], POS_LETTERS, "x"),
-            _letter(t["ent"], ENT_LETTERS, "O"),
-            F.when(t["like_num"], LIKE_NUM_LETTER).otherwise(""),
-            F.when(t["is_punct"], IS_PUNCT_LETTER).otherwise(""),
-            F.lit("\u0004"), t["text"],
-        )
+        pos, ent = _letter(t["pos"], POS_LETTERS, "x"), _letter(t["ent"], ENT_LETTERS, "O")
+        return _encoded(t["lower"], t["lemma"], pos, ent, t["like_num"], t["is_punct"], t["text"])
 
     return F.array_join(F.transform(tokens, one), "")
 
 
+ATTRIBUTES = frozenset({"LEMMA", "POS", "ENT_TYPE", "IS_PUNCT"})
+
+
+def encode_forms(forms: Column, needed: Collection[str] = ATTRIBUTES) -> Column:
+    """The same string straight from surface forms, without token structs.
+
+    Attributes that no pattern asks for are left at a default.
+    """
+
+    def one(t: Column, i: Column) -> Column:
+        low = t["lower"]
+        return _encoded(
+            low,
+            lemma_of(low) if "LEMMA" in needed else F.lit(""),
+            _part_of_speech(t, POS_LETTERS) if "POS" in needed else F.lit(POS_LETTERS["X"]),
+            _entity(forms, t, i, ENT_LETTERS) if "ENT_TYPE" in needed else F.lit(ENT_LETTERS[""]),
+            t["like_num"],
+            low.isin(PUNCTUATION) if "IS_PUNCT" in needed else F.lit(False),
+            t["text"],
+        )
+
+    return F.array_join(F.transform(forms, one), "")
+
+
 def annotate(
-    blocks: DataFrame, annotator: Callable[[Column], Column] | None = None, text: str = "text"
+    blocks: DataFrame,
+    annotator: Callable[[Column], Column] | None = None,
+    text: str = "text",
+    needed: Collection[str] = ATTRIBUTES,
 ) -> DataFrame:
     """Add ``raw``, ``tokens`` and ``encoded`` to blocks; all null where the text is.
 
     ``annotator`` maps the text column to a token array of the shape above,
     e.g. a pandas UDF that runs a language model on Arrow batches. The raw
-    tokens are then the ``text`` fields.
+    tokens are then the ``text`` fields. ``needed`` names the attributes that
+    the encoded form must hold.
     """
     if annotator is not None:
         out = blocks.withColumn("tokens", annotator(F.col(text)))
         out = out.withColumn("raw", F.transform("tokens", lambda t: F.concat(t["text"], F.lit(" "))))
-    else:
-        out = blocks.withColumn("raw", raw_tokens(F.col(text)))
-        out = out.withColumn("_forms", surface_forms(F.col("raw")))
-        out = out.withColumn("tokens", annotate_tokens(F.col("_forms"))).drop("_forms")
-    return out.withColumn("encoded", encode_tokens(F.col("tokens")))
+        return out.withColumn("encoded", encode_tokens(F.col("tokens")))
+    out = blocks.withColumn("raw", raw_tokens(F.col(text))).withColumn("_forms", surface_forms(F.col("raw")))
+    return (
+        out.withColumn("tokens", annotate_tokens(F.col("_forms")))
+        .withColumn("encoded", encode_forms(F.col("_forms"), needed))
+        .drop("_forms")
+    )

@@ -248,7 +248,7 @@ _SC = ("sc", """SELECT filename, CAST(page // 3000 AS INT) AS page, page * 10 +
 def best(source: str) -> str:
     return f"""SELECT filename, page, n, likelihood FROM (SELECT filename, page, count(*) AS n, max(likelihood) AS likelihood
        FROM {source} WHERE likelihood > 0.6 GROUP BY filename, page)
-       QUALIFY row_number() OVER (PARTITION BY filename ORDER BY n DESC, likelihood DESC, page) = 1"""
+       QUALIFY row_number() OVER (PARTITION BY filename ORDER BY n DESC, round(likelihood, 9) DESC, page) = 1"""
 
 
 ORACLE["r01_winning_pages"] = ctes(B, _SC) + best("sc")
