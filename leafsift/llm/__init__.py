@@ -1 +1,11 @@
-"""Operators for preparing training text; nothing else in the library imports this package."""
+"""Operators for preparing training text; nothing else in the library imports this package.
+
+Functions that run in Python workers are sent by value, so executors need not
+have this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
