@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafsift.llm.common import table
+from leafsift.llm.decontamination import benchmark_matches, hit_words
 from leafsift.llm.line_dedup import without_common_lines
 from leafsift.llm.packing import pack_documents
 from leafsift.llm.sharding import shard_by_bytes
@@ -19,6 +20,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_hit = hit_words(F.col("hits"))
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2).select(
         "doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -37,7 +45,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op6_simhash, op7_line_dedup, op8_packing, op9_topk)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op4_decontamination, op6_simhash, op7_line_dedup, op8_packing, op9_topk)}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
