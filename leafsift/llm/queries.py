@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafsift.llm.common import table
 from leafsift.llm.decontamination import benchmark_matches, hit_words
+from leafsift.llm.language_id import identify_languages
 from leafsift.llm.line_dedup import without_common_lines
 from leafsift.llm.packing import pack_documents
 from leafsift.llm.sharding import shard_by_bytes
@@ -45,7 +46,13 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_decontamination, op6_simhash, op7_line_dedup, op8_packing, op9_topk)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return identify_languages(docs).select(
+        "doc_id", F.col("lang").alias("declared"), "language", "probability", "text_language", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op4_decontamination, op6_simhash, op7_line_dedup, op8_packing, op9_topk, op10_language_id)}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
