@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafsift.llm.common import table
 from leafsift.llm.decontamination import benchmark_matches, hit_words
+from leafsift.llm.html_text import main_text
 from leafsift.llm.language_id import identify_languages
 from leafsift.llm.line_dedup import without_common_lines
 from leafsift.llm.packing import pack_documents
@@ -15,6 +16,10 @@ from leafsift.llm.simhash import hex_fingerprint, near_duplicates
 from leafsift.llm.topk import top_k
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -52,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("lang").alias("declared"), "language", "probability", "text_language", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_decontamination, op6_simhash, op7_line_dedup, op8_packing, op9_topk, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_sharding, op4_decontamination, op6_simhash, op7_line_dedup, op8_packing, op9_topk, op10_language_id)}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
