@@ -76,7 +76,7 @@ class TextModel:
         labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
         share = min(1.0, rows / max(1, labelled.count()))
         drawn = F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30))
-        counts = trigram_counts(labelled.filter(drawn)).toPandas()  # at most BUCKETS rows a language
+        counts = trigram_counts(labelled.filter(drawn)).toArrow().to_pandas()  # at most BUCKETS rows a language
         languages = sorted(counts["lang"].unique())
         table = np.full((BUCKETS, len(languages) + 1), 1.0 / BUCKETS)
         for i, lang in enumerate(languages):

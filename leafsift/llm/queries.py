@@ -13,6 +13,7 @@ from leafsift.llm.line_dedup import without_common_lines
 from leafsift.llm.packing import pack_documents
 from leafsift.llm.sharding import shard_by_bytes
 from leafsift.llm.simhash import hex_fingerprint, near_duplicates
+from leafsift.llm.suffix_tree import score_documents
 from leafsift.llm.topk import top_k
 
 
@@ -33,6 +34,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2).select(
         "doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -57,7 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("lang").alias("declared"), "language", "probability", "text_language", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_sharding, op4_decontamination, op6_simhash, op7_line_dedup, op8_packing, op9_topk, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_sharding, op4_decontamination, op5_suffix_tree, op6_simhash, op7_line_dedup, op8_packing, op9_topk, op10_language_id)}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
