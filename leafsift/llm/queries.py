@@ -11,6 +11,7 @@ from leafsift.llm.html_text import main_text
 from leafsift.llm.language_id import identify_languages
 from leafsift.llm.line_dedup import without_common_lines
 from leafsift.llm.packing import pack_documents
+from leafsift.llm.pii import find_personal_data, written
 from leafsift.llm.sharding import shard_by_bytes
 from leafsift.llm.simhash import hex_fingerprint, near_duplicates
 from leafsift.llm.suffix_tree import score_documents
@@ -27,6 +28,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+                        written(F.concat("base", "added")).alias("spans"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_hit = hit_words(F.col("hits"))
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).select(
@@ -62,7 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("lang").alias("declared"), "language", "probability", "text_language", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_sharding, op4_decontamination, op5_suffix_tree, op6_simhash, op7_line_dedup, op8_packing, op9_topk, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_sharding, op3_personal_data, op4_decontamination, op5_suffix_tree, op6_simhash, op7_line_dedup, op8_packing, op9_topk, op10_language_id)}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

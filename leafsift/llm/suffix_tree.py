@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from leafsift.llm.common import only, staged
 
-DEPTH, LEAST_SHARE = 5, 4e-5
+DEPTH, LEAST_SHARE = 6, 2e-5
 BASE, END = 257, 256
 HEAD_WORDS, SAMPLE_ROWS = 200_000, 10_000
 #: Bytes of text that a task works on at a time; symbols per piece of the walk.
