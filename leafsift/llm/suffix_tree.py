@@ -34,7 +34,7 @@ DEPTH, LEAST_SHARE = 6, 2e-5
 BASE, END = 257, 256
 HEAD_WORDS, SAMPLE_ROWS = 200_000, 10_000
 #: Bytes of text that a task works on at a time; symbols per piece of the walk.
-CHUNK, PIECE = 4 << 20, 1024
+CHUNK, PIECE = 2 << 20, 1024
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACES = re.compile(rb"[\x20\x09-\x0d]+")
 
@@ -79,9 +79,9 @@ def symbols(texts: list[bytes], lead: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class GramCounts:
-    """Counts of numbers, kept sorted; a merge every few million keeps memory bounded by the distinct ones."""
+    """Counts of numbers, kept sorted; merging now and then keeps memory bounded by the distinct ones."""
 
-    def __init__(self, most: int = 4_000_000):
+    def __init__(self, most: int = 1_500_000):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held, self.most = 0, most
 
@@ -163,7 +163,7 @@ def statistics(rows: DataFrame, head: list[bytes]) -> DataFrame:
 
 
 def frequent_words(rows: DataFrame) -> list[bytes]:
-    """Words to hold in the tasks: those seen twice or more in a sample of about ``SAMPLE_ROWS`` rows, the most frequent first."""
+    """Words to hold in the tasks: the most frequent in a sample of about ``SAMPLE_ROWS`` rows, seen twice or more in it."""
     share = min(1.0, SAMPLE_ROWS / max(1, rows.count()))
     drawn = F.pmod(F.xxhash64("key", F.lit("drawn")), F.lit(1 << 30)) < int(share * (1 << 30))
 
@@ -175,7 +175,15 @@ def frequent_words(rows: DataFrame) -> list[bytes]:
             yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], ["word", "n"])
 
     each = rows.filter(drawn).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
-    return [bytes(r["word"]) for r in each.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()]
+    each = staged(each, "lm-sample")
+    # The least count that leaves HEAD_WORDS at most; there are few different counts.
+    least, words = 2, 0
+    for r in sorted(each.groupBy("n").count().collect(), reverse=True):
+        words += r["count"]
+        if words > HEAD_WORDS:
+            least = r["n"] + 1
+            break
+    return sorted(each.filter(F.col("n") >= least).select("word").toArrow().column(0).to_pylist())
 
 
 class SuffixTree:
@@ -190,10 +198,10 @@ class SuffixTree:
         total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         levels = {}
         for depth in range(DEPTH, -1, -1):
-            modulus = BASE ** (depth + 1)
-            level = grams.groupBy((F.col("code") % modulus).alias("code")).agg(F.sum("n").alias("n"))
-            levels[depth] = staged(level.withColumn("context", F.floor(F.col("code") / BASE).cast("long")), "contexts")
-        tests = None
+            level = levels[depth + 1].select((F.col("code") % BASE ** (depth + 1)).alias("code"), "n") if depth < DEPTH else grams
+            level = level.groupBy("code").agg(F.sum("n").alias("n"))
+            levels[depth] = staged(level.withColumn("context", F.expr(f"code div {BASE}")), "lm-contexts")
+        kept = set()  # at most DEPTH / LEAST_SHARE contexts
         for depth in range(1, DEPTH + 1):
             parent = levels[depth - 1].groupBy("context").agg(F.sum("n").alias("total"))
             up = levels[depth - 1].join(parent, "context").select(F.col("code").alias("up"), (F.col("n") / F.col("total")).alias("p"))
@@ -203,10 +211,8 @@ class SuffixTree:
             each = (
                 levels[depth].join(own, "context").withColumn("up", F.col("code") % BASE**depth).join(up, "up")
                 .groupBy("context").agg(gain.alias("gain"), F.first("total").alias("total"), F.first("kinds").alias("kinds"))
-                .select(F.lit(depth).alias("depth"), "context", (F.col("gain") > (F.col("kinds") - 1) * F.log("total") / 2).alias("kept")))
-            tests = each if tests is None else tests.unionByName(each)
-        # At most DEPTH / LEAST_SHARE contexts.
-        kept = {(r["depth"], r["context"]) for r in tests.filter("kept").collect()}
+                .filter(F.col("gain") > (F.col("kinds") - 1) * F.log("total") / 2))
+            kept |= {(depth, c) for c in each.select("context").toArrow().column(0).to_pylist()}
         states = {(0, 0)}
         for depth, context in kept:  # with all their parts, which are at least as frequent
             for low in range(depth):
@@ -295,25 +301,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     head = frequent_words(rows)
     found = staged(statistics(rows, head), "lm-statistics", "kind")
-    heads = {r["code"]: r["n"] for r in found.filter("kind = 'h'").groupBy("code").agg(F.sum("n").alias("n")).collect()}
-    tree = SuffixTree.grow(staged(
-        found.filter("kind = 'g'").groupBy("code").agg(F.sum("n").alias("n")), "lm-grams"))
+    counts = np.zeros(len(head) + 1, np.int64)  # of the frequent words and, last, the end
+    of_head = found.filter("kind = 'h'").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    counts[of_head.column("code").to_numpy()] = of_head.column("n").to_numpy()
+    tree = SuffixTree.grow(found.filter("kind = 'g'").select("code", "n"))
 
     rare = found.filter("kind = 't'").select("word", "key", "n", "train")
-    in_training = F.sum(F.when(F.col("train"), F.col("n")).otherwise(0)).over(Window.partitionBy("word"))
+    in_training = F.sum(F.when(F.col("train"), F.col("n")).otherwise(0)).over(Window.partitionBy(F.xxhash64("word"), "word"))
     counted = rare.withColumn("c", in_training)
     tails = staged(
         counted.groupBy("key").agg(
             F.sum("n").alias("tokens"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"),
             F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs")), "lm-tails")
     rare_sums = rare.filter("train").groupBy("word").agg(F.sum("n").alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    train_tokens = rare_sums[1] + sum(heads.values())
-    distinct = rare_sums[0] + sum(n > 0 for n in heads.values())
-
-    size = len(head)
-    counts = np.zeros(size + 1, np.int64)
-    for at, n in heads.items():
-        counts[at] = n
+    train_tokens = rare_sums[1] + int(counts.sum())
+    distinct = rare_sums[0] + int((counts > 0).sum())
     sent = rows.sparkSession.sparkContext.broadcast((head, counts, tree.symbol_class, tree.step, tree.logs))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
