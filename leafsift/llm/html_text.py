@@ -167,6 +167,8 @@ def differenced(lines: list[tuple[str, bool]], own: list[int], neighbours: list[
     marked = not all(open_ for _, open_ in lines)  # the markup names the article
     gone: set[int] = set()
     for other in neighbours:
+        if other == own:  # the page itself again tells nothing
+            continue
         shared = common_lines(own, other)
         if 2 * sum(long.get(i, 0) for i in shared) > sum(long.values()):  # copies of one article
             shared = set() if marked else shared - long.keys()
@@ -212,7 +214,7 @@ def _neighbours(cut: DataFrame) -> DataFrame:
     """
     path = F.regexp_replace(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|[?#].*$", "")
     placed = staged(
-        cut.select(host_of(F.col("url")).alias("host"), path.alias("path"), "page_id", "key", "hashes").filter("host <> ''")
+        cut.select(host_of(F.col("url")).alias("host"), path.alias("path"), "page_id", "key", "hashes").filter("host <> '' AND size(hashes) > 0")
         .distinct().repartitionByRange("host", "path", "page_id", "key").withColumn("range", F.spark_partition_id()), "page-order")
     page = F.struct("host", "hashes")
     order = F.struct("host", "path", "page_id", "key")

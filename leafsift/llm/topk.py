@@ -37,8 +37,8 @@ def levels_of(width: int) -> list[int]:
 
 def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
     """Means and deviations of the segments, scaled so that their inner product is the bound."""
-    parts = np.array_split(np.arange(x.shape[1]), segments)
-    out = np.empty((len(x), 2 * segments))
+    parts = [p for p in np.array_split(np.arange(x.shape[1]), segments) if len(p)]
+    out = np.zeros((len(x), 2 * segments))
     for i, part in enumerate(parts):
         block = x[:, part]
         mean = block.mean(axis=1)
