@@ -14,7 +14,7 @@ from leafsift.functions.text import col, strip
 from leafsift.functions.words import STOP_WORDS, SYMBOLS
 
 # Numbers with inner points or commas, words of any script, ellipses, any other single character.
-WORD = r"(\p{Nd}+(?:[.,]\p{Nd}+)*|[\p{L}\p{M}\p{N}_]+|\.{3}|[^\s\p{Z}\p{L}\p{M}\p{N}_])"
+WORD = r"(\p{Nd}+(?:[.,]\p{Nd}+)*+|[\p{L}\p{M}\p{N}_]+|\.{3}|[^\s\p{Z}\p{L}\p{M}\p{N}_])"
 
 
 def clean_text(text: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafsift.functions.distributed import fixed_columns, salted_semi_join
-from leafsift.operators.patterns import compile_patterns, quick_regex
+from leafsift.operators.patterns import quick_regex, searches
 from leafsift.operators.selection import PAGE, block_hits, wider_hits
 from leafsift.operators.tokens import annotate
 from leafsift.plans.registry import Metric, get_metric
@@ -20,17 +20,19 @@ def _token_count(encoded: Column) -> Column:
     return F.length(encoded) - F.length(F.replace(encoded, F.lit("\u0001"), F.lit("")))
 
 
-def first_match(encoded: Column, regexes: Sequence[str]) -> Column:
-    """``struct<start, n, pattern>`` of the first match: lowest start, then shortest, then pattern order."""
+def first_match(encoded: Column, patterns: Sequence[tuple[str, str | None, str | None]]) -> Column:
+    """``struct<start, n, pattern>`` of the first match: lowest start, then shortest, then pattern order.
+
+    ``patterns`` are ``searches``: every regex runs once, and its match is then
+    located as plain text.
+    """
     found = []
-    for number, regex in enumerate(regexes):
-        at = F.regexp_instr(encoded, F.lit(regex))
-        match = F.struct(
-            _token_count(F.substring(encoded, F.lit(1), at - 1)).alias("start"),
-            _token_count(F.regexp_extract(encoded, regex, 0)).alias("n"),
-            F.lit(number).alias("pattern"),
-        )
-        found.append(F.when(at > 0, match))
+    for number, (regex, end, scan) in enumerate(patterns):
+        text = F.regexp_extract(encoded, end, 0) if end else encoded
+        match = F.regexp_extract(text, scan or regex, 2 if scan else 0)
+        before = F.regexp_extract(text, scan, 1) if scan else F.call_function("substring_index", text, match, F.lit(1))
+        span = F.struct(_token_count(before).alias("start"), _token_count(match).alias("n"), F.lit(number).alias("pattern"))
+        found.append(F.when(match != "", span))
     return F.array_min(F.array_compact(F.array(*found)))
 
 
@@ -41,9 +43,9 @@ def _found(
 
     Blocks that cannot match any metric by a plain regex get no tokens.
     """
-    groups: dict[tuple[str, ...], list[Metric]] = {}
+    groups: dict[tuple[tuple[str, str | None, str | None], ...], list[Metric]] = {}
     for m in metrics:
-        groups.setdefault(tuple(compile_patterns(m.patterns, m.kind)), []).append(m)
+        groups.setdefault(tuple(searches(m.patterns, m.kind)), []).append(m)
     quick = {regexes: quick_regex(same[0].patterns, same[0].kind) for regexes, same in groups.items()}
 
     blocks = blocks.withColumn("_low", F.lower("text"))

@@ -13,9 +13,10 @@ from collections.abc import Callable, Collection, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Possessive loops (``*+``) run without recursion in Java, however long a number is.
 # One token with the space after it; a further run of spaces is a token of its own.
 _TOKEN_BODY = (
-    r"(?:[A-Za-z]\.){2,}|\d+(?:[.,:/]\d+)*(?:[A-Za-z]\w*)?|[A-Za-z]\w*|'[A-Za-z]{1,2}\b|\.{2,}|[^ ]"
+    r"(?:[A-Za-z]\.){2,}|\d+(?:[.,:/]\d+)*+(?:[A-Za-z]\w*)?|[A-Za-z]\w*|'[A-Za-z]{1,2}\b|\.{2,}|[^ ]"
 )
 TOKEN = rf"((?:{_TOKEN_BODY}) ?| +)"
 
@@ -94,7 +95,7 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
 
 
-NUMERAL = r"^(?:\d+(?:[.,]\d+)*|\d+/\d+)$"
+NUMERAL = r"^(?:\d+(?:[.,]\d+)*+|\d+/\d+)$"
 
 
 def lemma_of(word: Column) -> Column:

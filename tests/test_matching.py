@@ -132,3 +132,28 @@ def test_match_table_needs_the_page(make_blocks):
     blocks = make_blocks({"A_B_Annual_Report_2020.pdf": {1: ["TRCR fell"], 2: ["TRCR fell", "an injury"], 3: ["TRIFR"]}})
     rows = matching.match_table(blocks, "trifr").orderBy("page").collect()
     assert [(r["name"], r["year"], r["page"], r["match_string"]) for r in rows] == [("A B", "2020", 2, "TRCR"), ("A B", "2020", 3, "TRIFR")]
+
+
+LONG = 100_000
+
+
+@pytest.mark.parametrize("text, metric, span", [
+    ("our " + "7 " * LONG + "employees", "n_employees", (0, LONG + 2)),
+    ("7 " * LONG + "% board female", "company_gender_diversity", (0, LONG + 3)),
+    ("7 " * LONG + "and ethnic", "company_ethnic_diversity", (0, LONG + 2)),
+    ("7 " * LONG + "nothing follows here at all", "company_ethnic_diversity", None),
+    ("number of " + "word " * LONG + "dead died", "n_fatalities", (0, LONG + 4)),
+    ("died " + "7 " * LONG, "n_fatalities", None),
+    ("employees " + "word " * LONG + "nationality", "international_diversity", None),
+    ("employee " * LONG + "nationality", "international_diversity", (0, LONG + 1)),
+    ("medical " * LONG + "insurance insurance insurance", "healthcare", (0, LONG + 2)),
+    ("contractors " * LONG + "7", "n_contractors", (LONG - 5, LONG + 1)),
+    ("gender " * LONG, "company_gender_diversity", None),
+    ("1" + ",1" * LONG + " employees work", "n_employees", (0, 3)),
+    ("1" + ".1" * LONG + " x", "board_gender_diversity", None),
+    ("pay " * LONG + "ratio", "ceo_pay_ratio", (LONG - 1, LONG + 1)),
+])
+def test_long_blocks(spark, text, metric, span):
+    rows = spark.createDataFrame([("A_Annual_Report_1.pdf", 1, 1, text.strip())], "filename string, page int, paragraph int, text string")
+    got = [(r["start"], r["end"]) for r in matching.match_blocks(rows, [metric]).select("start", "end").collect()]
+    assert got == ([span] if span else [])
