@@ -4,6 +4,6 @@ Every operator takes DataFrames and returns DataFrames; nothing is collected
 to the driver. See README.md for a map of the package.
 """
 
-from leafsift.session import checkpoint_dir, get_session
+from leafsift.session import clean_up, get_session
 
-__all__ = ["checkpoint_dir", "get_session"]
+__all__ = ["clean_up", "get_session"]

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from leafsift.functions.distributed import rank_rows
 
-# Passages per list. A report with more positive passages gets further rows
-# (part 1, 2, ...), so no list is unbounded and none is cut short.
-PASSAGES_PER_PART = 10_000
-
 REPORT = ["filename", "name", "year", "metric"]
 
 
@@ -28,12 +24,17 @@ def positive_passages(flagged: DataFrame) -> DataFrame:
     )
 
 
-def collect_passages(flagged: DataFrame, per_part: int = PASSAGES_PER_PART) -> DataFrame:
-    """Reports with positive passages: parallel lists of pages and texts in document order.
+def collect_passages(flagged: DataFrame) -> DataFrame:
+    """Reports with positive passages: parallel lists of pages and texts in document order, one row each.
 
-    ``part`` is 0 but for reports with more than ``per_part`` passages, whose
-    lists go on in parts 1, 2, ...
+    A row holds all passages of its report; ``positive_passages`` is the form
+    for reports too large for that, ``collect_parts`` one between.
     """
+    return _lists(positive_passages(flagged), REPORT, ["page", "paragraph"])
+
+
+def collect_parts(flagged: DataFrame, per_part: int) -> DataFrame:
+    """The same lists cut into rows of at most ``per_part`` passages, numbered by ``part`` from 0."""
     placed = rank_rows(
         positive_passages(flagged)
         .withColumn("_pages", F.floor(F.col("page") / 1024))
@@ -43,31 +44,32 @@ def collect_passages(flagged: DataFrame, per_part: int = PASSAGES_PER_PART) -> D
         ["page", "paragraph"],
         "_at",
     ).withColumn("part", F.floor((F.col("_at") - 1) / per_part).cast("int"))
-    lists = placed.groupBy(*REPORT, "part").agg(
-        F.sort_array(F.collect_list(F.struct("_at", "predicted_page", "predicted_text"))).alias("_p")
+    return _lists(placed, [*REPORT, "part"], ["_at"])
+
+
+def _lists(passages: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    lists = passages.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(*order, "predicted_page", "predicted_text"))).alias("_p")
     )
     return lists.select(
         *REPORT,
         F.lit(1).alias("class"),
-        "part",
+        *keys[len(REPORT) :],
         F.transform("_p", lambda p: p["predicted_page"]).alias("predicted_page"),
         F.transform("_p", lambda p: p["predicted_text"]).alias("predicted_text"),
     )
 
 
-def assemble(
-    reports: DataFrame, flagged: DataFrame, metrics: Sequence[str], per_part: int = PASSAGES_PER_PART
-) -> DataFrame:
-    """Every report and metric with class and lists; class 0 and empty lists where nothing was found."""
+def assemble(reports: DataFrame, flagged: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """One row per report and metric with class and lists; class 0 and empty lists where nothing was found."""
     asked = reports.select(
         "filename", "name", "year", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric")
     )
-    found = collect_passages(flagged, per_part).drop("name", "year")
+    found = collect_passages(flagged).drop("name", "year")
     joined = asked.join(found, ["filename", "metric"], "left")
     return joined.select(
         *REPORT,
         F.coalesce("class", F.lit(0)).alias("class"),
-        F.coalesce("part", F.lit(0)).alias("part"),
         F.coalesce("predicted_page", F.array().cast("array<int>")).alias("predicted_page"),
         F.coalesce("predicted_text", F.array().cast("array<string>")).alias("predicted_text"),
     )

@@ -20,6 +20,8 @@ from leafsift.session import materialise
 
 PAGE = ["filename", "page"]
 _PLAIN = re.compile(r"[\w \-]+", re.ASCII)
+# Ends a piece of a longer block; plain keywords hold printable characters only.
+CUT = "\u0000"
 
 
 def split_keywords(keywords: Sequence[str]) -> tuple[list[str], list[str], list[str]]:
@@ -50,7 +52,8 @@ def _hits_across(blocks: DataFrame, names: Sequence[str], phrases: Sequence[str]
     Only the first and last characters of a block matter, and only on pages
     with a block that ends like the front of a phrase and one that begins like
     the rest. There, every block joins at most as many short neighbourhoods as
-    a phrase has spaces, plus its own.
+    a phrase has spaces, plus its own. A block inside a phrase is there as a
+    whole: one that is longer than its piece ends in a mark that no phrase has.
     """
     reach = max(len(p) for p in phrases) - 1
     steps = max(p.count(" ") for p in phrases)
@@ -62,7 +65,7 @@ def _hits_across(blocks: DataFrame, names: Sequence[str], phrases: Sequence[str]
     ends = blocks.select(
         *PAGE,
         "paragraph",
-        F.left(text, F.lit(reach)).alias("_head"),
+        F.concat(F.left(text, F.lit(reach)), F.when(F.length(text) > reach, CUT).otherwise("")).alias("_head"),
         F.right(text, F.lit(reach)).alias("_tail"),
     )
     ending, beginning = F.col("_tail").rlike(rf"(?:{fronts})\z"), F.col("_head").rlike(rf"\A(?:{rests})")

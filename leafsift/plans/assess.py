@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafsift.operators import categories, naive_bayes, ranking
-from leafsift.operators.assembly import PASSAGES_PER_PART, assemble
+from leafsift.operators.assembly import assemble
 from leafsift.operators.cleaning import clean_blocks
 from leafsift.operators.linear import LinearModel
 from leafsift.operators.matching import match_table
@@ -62,10 +62,9 @@ def assess_metrics(
     metrics: Sequence[str | Metric],
     models: Mapping[str, Any] | None = None,
     annotator: Callable[[Column], Column] | None = None,
-    per_part: int = PASSAGES_PER_PART,
     matches: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per report and metric: ``filename, name, year, metric, class, part, predicted_page, predicted_text``.
+    """One row per report and metric: ``filename, name, year, metric, class, predicted_page, predicted_text``.
 
     All reports and metrics go through cleaning and matching together, unless
     their match table is already at hand.
@@ -81,7 +80,7 @@ def assess_metrics(
     reports = parsed_reports(report_metadata(blocks, "filename"))
     # The flags are read twice below, for ranks and for lists.
     written = materialise(reduce(DataFrame.unionByName, flagged))
-    return assemble(reports, written, [m.name for m in chosen], per_part)
+    return assemble(reports, written, [m.name for m in chosen])
 
 
 def assess_metric(blocks: DataFrame, metric: str | Metric, model: Any = None, **options: Any) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,38 +23,38 @@ def get_session(app: str = "leafsift", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str | None:
+    """This run's folder for intermediate tables, shared by driver and executors; None if the session names none.
 
-    Only a session without that setting (tests, local runs) gets a temporary
-    folder of its own.
+    It lies in ``spark.checkpoint.dir`` (the setting or the context's folder).
+    On a local master the warehouse folder serves as well; a cluster session
+    never falls back to a folder of one machine.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = spark.sparkContext.getCheckpointDir()
-    if path is None:
-        path = tempfile.mkdtemp(prefix="leafsift-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if path is None and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        path = spark.conf.get("spark.sql.warehouse.dir")
+    return path and f"{path}/leafsift-{context.applicationId}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     For an intermediate result that several branches of a plan need: it is
-    computed once, and the loss of an executor does not lose it.
+    computed once, and the loss of an executor does not lose it. Without a
+    shared folder the plan stays as it is and is computed again where needed.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/leafsift-{uuid.uuid4().hex}"
+    folder = shared_dir(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread the rows of a scan with fewer splits than cores, such as one small file.
-
-    A scan that already has a split per core is left alone, so large inputs
-    are never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def clean_up(spark: SparkSession) -> None:
+    """Delete this run's folder; results that still read from it must be written before."""
+    folder = shared_dir(spark)
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

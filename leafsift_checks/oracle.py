@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from leafsift.functions.words import STOP_WORDS, SYMBOLS
-from leafsift.operators import patterns as P
 from leafsift.operators import tokens as T
 from leafsift.plans.registry import METRICS, get_keywords
+from leafsift_checks import token_patterns as P
 from leafsift_checks.derived import report_blocks_sql
 from leafsift_checks.queries import ADHOC, FREE, GRID, NO_NEGATION
 
@@ -16,6 +16,11 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def re2(regex: str) -> str:
+    """Java's possessive loops in RE2, which needs none."""
+    return regex.replace("*+", "*")
+
+
 def qlist(items) -> str:
     return "(" + ", ".join(q(i) for i in items) + ")"
 
@@ -153,9 +158,9 @@ ORACLE["p04_many_metrics"] = ctes(*CLEANED, _PAGES) + " UNION ALL ".join(
 # --- tokens and matches ----------------------------------------------------------
 _LEMMA = " ".join(f"WHEN {q(f)} THEN {q(lemma)}" for f, lemma in T.LEMMA_OF.items())
 TOKENS = [
-    ("r", f"SELECT filename, page, paragraph, text, regexp_extract_all(text, {q(T.TOKEN)}, 1) AS raw FROM c"),
+    ("r", f"SELECT filename, page, paragraph, text, regexp_extract_all(text, {q(re2(T.TOKEN))}, 1) AS raw FROM c"),
     ("tk0", "SELECT filename, page, paragraph, unnest(raw) AS t, generate_subscripts(raw, 1) AS i FROM r"),
-    ("tk1", f"""SELECT *, lower(tx) AS lo, regexp_matches(lower(tx), {q(T.NUMERAL)}) OR lower(tx) IN {qlist(T.NUMBER_WORDS)} AS num
+    ("tk1", f"""SELECT *, lower(tx) AS lo, regexp_matches(lower(tx), {q(re2(T.NUMERAL))}) OR lower(tx) IN {qlist(T.NUMBER_WORDS)} AS num
        FROM (SELECT *, CASE WHEN t LIKE ' %' THEN t ELSE rtrim(t, ' ') END AS tx FROM tk0)"""),
     ("tk2", """SELECT *, lead(lo) OVER w AS nx, lag(lo) OVER w AS pv, coalesce(lag(num) OVER w, false) AS pvnum FROM tk1
        WINDOW w AS (PARTITION BY filename, page, paragraph ORDER BY i)"""),
@@ -241,7 +246,7 @@ def _found(metric: str) -> str:
 ORACLE["m05_matches_by_metric"] = ctes(*CLEANED, *TOKENS) + " UNION ALL ".join(_found(m) for m in METRICS)
 
 # --- ranking -----------------------------------------------------------------------
-_SC = ("sc", """SELECT filename, CAST(page // 3000 AS INT) AS page, page * 10 + paragraph AS paragraph,
+_SC = ("sc", """SELECT filename, CAST(page // 3 AS INT) AS page, page * 10 + paragraph AS paragraph,
    CAST((page * 31 + paragraph * 7) % 20 AS DOUBLE) / 20.0::DOUBLE AS likelihood FROM b""")
 
 
@@ -409,32 +414,33 @@ _CARE = [*CLEANED, *TOKENS, *match_ctes("parental_care"),
          ("fl", "SELECT *, CAST((page + paragraph) % 3 = 0 AS INT) AS flag FROM mt")]
 
 
-def collected(per_part: int, source: str = "fl") -> tuple[str, str]:
-    return ("col", f"""SELECT filename, name, year, 1 AS class, CAST((k - 1) // {per_part} AS INT) AS part,
+def collected(per_part: int | None = None, source: str = "fl") -> tuple[str, str]:
+    part = f", CAST((k - 1) // {per_part} AS INT) AS part" if per_part else ""
+    return ("col", f"""SELECT filename, name, year, 1 AS class{part},
         string_agg(page, ',' ORDER BY k) AS predicted_page, string_agg(text, chr(10) ORDER BY k) AS predicted_text
       FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY page, paragraph) AS k FROM {source} WHERE flag = 1)
       GROUP BY ALL""")
 
 
 ALL_REPORTS = """SELECT r.filename, replace(split_part(r.filename, '_Annual_Report_', 1), '_', ' ') AS name,
-   split_part(split_part(r.filename, '_Annual_Report_', 2), '.', 1) AS year, coalesce(class, 0) AS class, coalesce(part, 0) AS part,
+   split_part(split_part(r.filename, '_Annual_Report_', 2), '.', 1) AS year, coalesce(class, 0) AS class,
    coalesce(predicted_page, '') AS predicted_page, coalesce(predicted_text, '') AS predicted_text
    FROM (SELECT DISTINCT filename FROM b) r LEFT JOIN col ON r.filename = col.filename"""
 ORACLE["a02_report_class"] = ctes(*_CARE) + "SELECT filename, name, year, max(flag) AS class FROM fl GROUP BY ALL"
 ORACLE["a03_positive_passages"] = ctes(*_CARE) + "SELECT filename, paragraph, page AS predicted_page, text AS predicted_text FROM fl WHERE flag = 1"
-ORACLE["a04_collect_passages"] = ctes(*_CARE, collected(10_000)) + "SELECT * FROM col"
-ORACLE["a04_collect_in_parts"] = ctes(*_CARE, collected(1)) + "SELECT * FROM col"
-ORACLE["a05_not_found_rows"] = ctes(*_CARE, collected(10_000)) + ALL_REPORTS
+ORACLE["a04_collect_passages"] = ctes(*_CARE, collected()) + "SELECT * FROM col"
+ORACLE["a04_collect_in_parts"] = ctes(*_CARE, collected(2)) + "SELECT * FROM col"
+ORACLE["a05_not_found_rows"] = ctes(*_CARE, collected()) + ALL_REPORTS
 _LTIFR = [*CLEANED, *TOKENS, *match_ctes("ltifr"), ("fl0", frequent("mt")),
-          ("fl", "SELECT *, predicted_text_class AS flag FROM fl0"), collected(10_000)]
+          ("fl", "SELECT *, predicted_text_class AS flag FROM fl0"), collected()]
 ORACLE["a06_assess_ltifr"] = ctes(*_LTIFR) + ALL_REPORTS
-ORACLE["a07_assess_report"] = ORACLE["a06_assess_ltifr"] + " WHERE r.filename = 'Company_0_Annual_Report_1996.pdf'"
+ORACLE["a07_assess_report"] = ORACLE["a06_assess_ltifr"] + " WHERE r.filename = (SELECT min(filename) FROM mt)"
 _EMP = [*CLEANED, *TOKENS, *match_ctes("n_employees"),
         ("lab", "SELECT *, CAST(contains(text, 'number of employees') AND page % 5 <> 0 AS INT) AS class FROM mt"),
         *model_ctes("lab", "filename, page, paragraph", 3, 0.25), *score_ctes("mt", ["filename", "page", "paragraph"], 3),
         ("win", best("scored")),
         ("fl", """SELECT z.*, CAST(win.page IS NOT NULL AND z.likelihood > 0.6 AS INT) AS flag
-           FROM scored z LEFT JOIN win ON z.filename = win.filename AND z.page = win.page"""), collected(10_000)]
+           FROM scored z LEFT JOIN win ON z.filename = win.filename AND z.page = win.page"""), collected()]
 ORACLE["a01_scored_passages"] = ctes(*_EMP) + "SELECT filename, page, paragraph, round(likelihood, 6) AS likelihood, flag AS predicted_text_class FROM fl"
 ORACLE["a06_assess_n_employees"] = ctes(*_EMP) + ALL_REPORTS
 _FIRST = ("b", f"SELECT * FROM ({report_blocks_sql()}) WHERE filename IN (SELECT DISTINCT filename FROM ({report_blocks_sql()}) ORDER BY filename LIMIT 80)")

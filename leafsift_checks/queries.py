@@ -15,7 +15,6 @@ from leafsift.operators import (
 from leafsift.plans import assess, training
 from leafsift.plans.registry import METRICS, get_keywords
 from leafsift.sources import reports
-from leafsift.session import spread
 from leafsift_checks.derived import report_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +25,12 @@ ADHOC = ["the", "lic[ei]n", "of the"]
 FREE = ["pri.*lost", "headcount"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores, such as one small file, over all cores; leave others alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -262,7 +267,7 @@ def m05_matches_by_metric(spark, sf_dir):
 def _scored(spark, sf_dir):
     """Blocks as if scored: a likelihood that depends on their place."""
     return report_blocks(spark, sf_dir).select(
-        "filename", F.floor(F.col("page") / 3000).cast("int").alias("page"),
+        "filename", F.floor(F.col("page") / 3).cast("int").alias("page"),
         (F.col("page") * 10 + F.col("paragraph")).alias("paragraph"),
         ((F.col("page") * 31 + F.col("paragraph") * 7) % 20 / F.lit(20.0)).alias("likelihood"))
 
@@ -474,7 +479,7 @@ def a04_collect_passages(spark, sf_dir):
 
 @query
 def a04_collect_in_parts(spark, sf_dir):
-    return _flat(assembly.collect_passages(_flagged(spark, sf_dir), per_part=1)).drop("metric")
+    return _flat(assembly.collect_parts(_flagged(spark, sf_dir), 2)).drop("metric")
 
 
 @query
@@ -511,7 +516,10 @@ def a01_scored_passages(spark, sf_dir):
 
 @query
 def a07_assess_report(spark, sf_dir):
-    return _flat(assess.assess_report(report_blocks(spark, sf_dir), "Company_0_Annual_Report_1996.pdf", "ltifr"))
+    """The first report with a match."""
+    blocks = report_blocks(spark, sf_dir)
+    name = assess.report_matches(blocks, ["ltifr"]).agg(F.min("filename")).first()[0]
+    return _flat(assess.assess_report(blocks, name, "ltifr"))
 
 
 @query

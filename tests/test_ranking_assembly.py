@@ -57,7 +57,7 @@ def test_assembly(spark):
 
 def test_long_lists_go_on_in_parts(spark):
     rows = [("hot", p, q, 1) for p in range(1, 40) for q in range(1, 30)] + [("cold", 1, 1, 1)]
-    parts = assembly.collect_passages(flagged(spark, rows), per_part=100).filter("filename = 'hot'").orderBy("part").collect()
+    parts = assembly.collect_parts(flagged(spark, rows), 100).filter("filename = 'hot'").orderBy("part").collect()
     assert [r["part"] for r in parts] == list(range(12))
     assert all(len(r["predicted_page"]) == len(r["predicted_text"]) <= 100 for r in parts)
     assert [t for r in parts for t in r["predicted_text"]] == [f"t{p}.{q}" for _, p, q, _ in rows[:-1]]
