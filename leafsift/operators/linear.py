@@ -1,72 +1,161 @@
-"""Linear text classifiers on Spark ML: support vectors, hinge loss with L2, two-category logistic model.
+"""Linear text classifiers as tables: squared hinge, hinge and logistic loss with L2 penalty.
 
-Features are the same n-gram counts scaled to unit length. A vocabulary that
-provably fits is kept exactly; a larger one is hashed to a fixed width.
+A model is a table ``term, theta1`` and a bias. It is fitted by a fixed number
+of deterministic full-batch rounds: scores are one join by term and one sum
+per passage, the gradient is one sum per term. There is one way for every
+size; no vocabulary passes through the driver, only biases do. Several models
+(settings, folds) go through the same rounds as columns of the same tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel, Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsift.operators.features import ngrams, words
-
-# Largest vocabulary kept term by term; it lives on the driver and in every task.
-EXACT_VOCABULARY = 1 << 18
-
-CLASSIFIERS = ("LinearSVC", "SGDClassifier", "LogisticRegression")
+from leafsift.functions.distributed import explode_rows
+from leafsift.operators.features import term_counts, term_weights
+from leafsift.session import materialise
+
+# Copies of a term row when passages are scored, so that a frequent term is spread over tasks.
+TERM_SALTS = 8
+# Rounds and step of each classifier. The squared hinge and logistic losses of passages of unit length
+# with a bias have slopes that change by at most 4 and 1/2; the hinge loss takes shrinking steps.
+ROUNDS = {"LinearSVC": 10, "SGDClassifier": 5, "LogisticRegression": 10}
+STEP = {"LinearSVC": 0.25, "SGDClassifier": 4.0, "LogisticRegression": 2.0}
+CLASSIFIERS = tuple(ROUNDS)
+
+
+@dataclass(frozen=True)
+class Setting:
+    """One model to fit: ``value`` is C for LinearSVC, else alpha; rows of ``fold`` stay out."""
+
+    classifier: str
+    value: float
+    fold: int | None = None
+
+    def penalty(self, rows: int) -> float:
+        """L2 strength beside the mean loss of ``rows`` passages."""
+        rows = max(rows, 1)
+        return {"LinearSVC": 1.0 / (self.value * rows), "SGDClassifier": self.value, "LogisticRegression": self.value / rows}[self.classifier]
+
+    def slope(self, score: Column) -> Column:
+        """Derivative of a passage's loss by its score; ``y`` is 1 or -1."""
+        margin = F.col("y") * score
+        pull = {
+            "LinearSVC": 2.0 * F.greatest(F.lit(0.0), 1.0 - margin),
+            "SGDClassifier": F.when(margin < 1.0, 1.0).otherwise(0.0),
+            "LogisticRegression": 1.0 / (1.0 + F.exp(margin)),
+        }[self.classifier]
+        return -F.col("y") * pull
+
+    def step(self, number: int) -> float:
+        return STEP[self.classifier] / (number**0.5 if self.classifier == "SGDClassifier" else 1.0)
+
+    def momentum(self, number: int) -> float:
+        return 0.0 if self.classifier == "SGDClassifier" else (number - 1.0) / (number + 2.0)
+
+
+def fit_rounds(counted: DataFrame, ident: Sequence[str], settings: Sequence[Setting]) -> tuple[DataFrame, list[float]]:
+    """Fit all ``settings`` on ``ident, class, fold, terms``: a table ``term, t0, t1, ...`` and the biases.
+
+    Each round steps from a point a little ahead of the last one (but for the
+    hinge loss) and shrinks towards zero by the penalty; the bias is free. A
+    round's tables are written once, so no lineage builds up.
+    """
+    ident, models = list(ident), list(enumerate(settings))
+    weights = materialise(term_weights(counted.select(*ident, "terms")).select(*ident, "term", "w"))
+    passages = materialise(counted.select(*ident, "fold", F.when(F.col("class") == 1, 1.0).otherwise(-1.0).alias("y")))
+    of_fold = {r["fold"]: r["count"] for r in passages.groupBy("fold").count().collect()}
+    rows = [max(1, sum(n for fold, n in of_fold.items() if s.fold is None or fold != s.fold)) for s in settings]
+    bias, ahead = [0.0] * len(settings), [0.0] * len(settings)
+    terms = None
+    for number in range(1, max(ROUNDS[s.classifier] for s in settings) + 1):
+        scored = passages
+        if terms is not None:
+            ahead_of = terms.select("term", *[F.col(f"a{i}") for i, _ in models])
+            sums = weights.join(ahead_of, "term").groupBy(*ident).agg(*[F.sum(F.col("w") * F.col(f"a{i}")).alias(f"z{i}") for i, _ in models])
+            scored = passages.join(sums, ident, "left")
+        slopes = []
+        for i, s in models:
+            score = F.lit(ahead[i]) + (F.lit(0.0) if terms is None else F.coalesce(f"z{i}", F.lit(0.0)))
+            own = F.lit(True) if s.fold is None else F.col("fold") != s.fold
+            slopes.append((F.when(own, s.slope(score)).otherwise(0.0) / rows[i]).alias(f"g{i}"))
+        slopes = materialise(scored.select(*ident, *slopes))
+        down = slopes.agg(*[F.coalesce(F.sum(f"g{i}"), F.lit(0.0)) for i, _ in models]).first()
+        gradient = weights.join(slopes, ident).groupBy("term").agg(*[F.sum(F.col("w") * F.col(f"g{i}")).alias(f"d{i}") for i, _ in models])
+        known = gradient if terms is None else gradient.join(terms, "term")
+        columns = []
+        for i, s in models:
+            before, at = (F.lit(0.0), F.lit(0.0)) if terms is None else (F.col(f"t{i}"), F.col(f"a{i}"))
+            if number > ROUNDS[s.classifier]:
+                columns += [before.alias(f"t{i}"), at.alias(f"a{i}")]
+                continue
+            step, push = s.step(number), s.momentum(number)
+            now = (at - step * F.col(f"d{i}")) / (1.0 + step * s.penalty(rows[i]))
+            columns += [now.alias(f"t{i}"), (now + push * (now - before)).alias(f"a{i}")]
+            moved = ahead[i] - step * down[i]
+            ahead[i], bias[i] = moved + push * (moved - bias[i]), moved
+        terms = materialise(known.select("term", *columns))
+    return terms.select("term", *[f"t{i}" for i, _ in models]), bias
+
+
+def _scores(counted: DataFrame, ident: Sequence[str], terms: DataFrame, weights: dict[str, Column], known: Column | None = None) -> DataFrame:
+    """``ident`` and for each of ``weights`` the sum of counts times it, over the length of the known terms."""
+    ident = list(ident)
+    occurrences = explode_rows(counted.withColumn("_salt", F.pmod(F.hash(*ident), F.lit(TERM_SALTS))), F.col("terms"), "_t").select(
+        *ident, "fold", "_salt", F.col("_t.term").alias("term"), F.col("_t.n").cast("double").alias("n"))
+    salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
+    hits = occurrences.join(salted, ["term", "_salt"])
+    hits = hits if known is None else hits.filter(known)
+    length = F.sqrt(F.sum(F.col("n") * F.col("n")))
+    return hits.groupBy(*ident).agg(*[(F.sum(F.col("n") * w) / length).alias(name) for name, w in weights.items()])
+
+
+def decided(score: Column) -> Column:
+    """1 for a positive score; nine places, so that the order of a sum does not decide."""
+    return F.when(F.round(score, 9) > 0, 1).otherwise(0)
 
 
 @dataclass
 class LinearModel:
-    """A fitted pipeline and the n-gram range of its input."""
+    """``term, theta1`` with the bias, the kind of classifier and the n-gram range of its input."""
 
-    pipeline: PipelineModel
+    terms: DataFrame
+    bias: float
+    classifier: str
     ngram_range: tuple[int, int]
 
-    def predict(self, passages: DataFrame) -> DataFrame:
-        """Add ``prediction`` (0/1), and ``probability`` for the logistic model."""
-        out = self.pipeline.transform(_with_grams(passages, self.ngram_range))
-        out = out.withColumn("prediction", F.col("prediction").cast("int"))
-        extra = [c for c in ("_grams", "_counts", "_features", "rawPrediction") if c in out.columns]
-        if "probability" in out.columns:
-            out = out.withColumn("probability", vector_to_array("probability")[1])
-        return out.drop(*extra)
-
-    def terms(self, spark: SparkSession) -> DataFrame:
-        """``term, theta1``: coefficients by term, for an exact vocabulary (at most 2^18 rows)."""
-        vectorizer, classifier = self.pipeline.stages[0], self.pipeline.stages[-1]
-        if not isinstance(vectorizer, CountVectorizerModel):
-            raise ValueError("hashed features have no terms")
-        rows = list(zip(vectorizer.vocabulary, classifier.coefficients.toArray().tolist()))
-        return spark.createDataFrame(rows, "term string, theta1 double")
+    def predict(self, passages: DataFrame, ident: Sequence[str] = ("doc_id",)) -> DataFrame:
+        """Add ``score``, ``prediction`` (0/1), and ``probability`` for the logistic model, to passages with unique ``ident`` columns."""
+        ident = list(ident)
+        counted = term_counts(passages.select(*ident, "text"), ngram_range=self.ngram_range).withColumn("fold", F.lit(0))
+        sums = _scores(counted, ident, self.terms, {"theta1": F.col("theta1")})
+        out = passages.join(sums, ident, "left").withColumn("score", F.lit(self.bias) + F.coalesce("theta1", F.lit(0.0)))
+        out = out.withColumn("prediction", decided(F.col("score"))).drop("theta1")
+        if self.classifier == "LogisticRegression":
+            out = out.withColumn("probability", 1.0 / (1.0 + F.exp(-F.col("score"))))
+        return out
 
     def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        spark = SparkSession.active()
-        spark.createDataFrame([self.ngram_range], "low int, high int").write.mode("overwrite").parquet(f"{path}/ngrams")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        row = [(self.bias, self.classifier, *self.ngram_range)]
+        self.terms.sparkSession.createDataFrame(row, "bias double, classifier string, low int, high int").write.mode("overwrite").parquet(f"{path}/model")
 
     @staticmethod
-    def load(path: str) -> LinearModel:
-        row = SparkSession.active().read.parquet(f"{path}/ngrams").first()
-        return LinearModel(PipelineModel.load(f"{path}/pipeline"), (row["low"], row["high"]))
-
+    def load(path: str, spark: SparkSession | None = None) -> LinearModel:
+        spark = spark or SparkSession.active()
+        row = spark.read.parquet(f"{path}/model").first()
+        return LinearModel(spark.read.parquet(f"{path}/terms"), row["bias"], row["classifier"], (row["low"], row["high"]))
 
-def _with_grams(df: DataFrame, ngram_range: tuple[int, int]) -> DataFrame:
-    return df.withColumn("_w", words("text")).withColumn("_grams", ngrams(F.col("_w"), *ngram_range)).drop("_w")
 
-
-def _vectorizer(grams: DataFrame):
-    size = grams.select(F.explode_outer("_grams").alias("t")).agg(F.count_distinct("t")).first()[0]
-    if size <= EXACT_VOCABULARY:
-        return CountVectorizer(inputCol="_grams", outputCol="_counts", minDF=1.0, vocabSize=max(size, 1))
-    return HashingTF(inputCol="_grams", outputCol="_counts", numFeatures=EXACT_VOCABULARY)
+def _checked(labelled: DataFrame, classifier: str) -> None:
+    if not {"text", "class"} <= set(labelled.columns):
+        raise ValueError("labelled passages need the columns text and class")
+    if classifier not in CLASSIFIERS:
+        raise ValueError(f"unknown classifier {classifier!r}; known: {', '.join(CLASSIFIERS)}")
 
 
 def train_linear(
@@ -76,21 +165,16 @@ def train_linear(
     alpha: float = 1.0,
     ngram_range: tuple[int, int] = (1, 1),
 ) -> LinearModel:
-    """Fit on ``text, class``. ``C`` is for LinearSVC, ``alpha`` for SGDClassifier (hinge loss, 5 rounds)."""
-    if not {"text", "class"} <= set(labelled.columns):
-        raise ValueError("labelled passages need the columns text and class")
-    grams = _with_grams(labelled.select("text", "class"), ngram_range).drop("text")
-    common = {"featuresCol": "_features", "labelCol": "class"}
-    if classifier == "LinearSVC":
-        fit = LinearSVC(regParam=1.0 / (C * grams.count()), standardization=False, **common)
-    elif classifier == "SGDClassifier":
-        fit = LinearSVC(regParam=alpha, maxIter=5, standardization=False, **common)
-    elif classifier == "LogisticRegression":
-        fit = LogisticRegression(regParam=alpha / max(grams.count(), 1), **common)
-    else:
-        raise ValueError(f"unknown classifier {classifier!r}; known: {', '.join(CLASSIFIERS)}")
-    steps = [_vectorizer(grams), Normalizer(inputCol="_counts", outputCol="_features", p=2.0), fit]
-    return LinearModel(Pipeline(stages=steps).fit(grams), ngram_range)
+    """Fit on ``text, class``. ``C`` is for LinearSVC, ``alpha`` for the others."""
+    _checked(labelled, classifier)
+    # Equal passages of a class count as often as they occur, so a hash of both may name them.
+    named = labelled.select(F.coalesce("text", F.lit("")).alias("text"), "class").withColumn("_id", F.md5("text")).groupBy("_id", "class").agg(
+        F.first("text").alias("text"), F.count(F.lit(1)).alias("_times"))
+    named = named.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).withColumn("fold", F.lit(0))
+    counted = materialise(term_counts(named, ngram_range=ngram_range).select("_id", "class", "_nth", "fold", "terms"))
+    terms, bias = fit_rounds(counted.withColumn("_class", F.col("class")), ["_id", "_class", "_nth"],
+                             [Setting(classifier, C if classifier == "LinearSVC" else alpha)])
+    return LinearModel(terms.withColumnRenamed("t0", "theta1"), bias[0], classifier, ngram_range)
 
 
 def train_category(labelled: DataFrame, ngram_range: tuple[int, int] = (1, 1), alpha: float = 1.0) -> LinearModel:
@@ -98,11 +182,30 @@ def train_category(labelled: DataFrame, ngram_range: tuple[int, int] = (1, 1), a
     return train_linear(labelled, "LogisticRegression", alpha=alpha, ngram_range=ngram_range)
 
 
-def cross_validate_linear(folded: DataFrame, classifier: str, k: int, **params) -> DataFrame:
-    """Out-of-fold predictions: one fit per fold. Input and output as for naive Bayes, without likelihood."""
-    out = None
-    for fold in range(k):
-        model = train_linear(folded.filter(F.col("fold") != fold), classifier, **params)
-        part = model.predict(folded.filter(F.col("fold") == fold)).drop("text")
-        out = part if out is None else out.unionByName(part)
-    return out
+def cross_validate_linear(
+    folded: DataFrame, ident: str, settings: Sequence[tuple[str, float]], k: int, ngram_range: tuple[int, int] = (1, 1)
+) -> DataFrame:
+    """Out-of-fold ``classifier, value, ident, class, fold, score, prediction`` for all settings in the same rounds.
+
+    Terms are counted once; the folds of all settings are fitted together.
+    """
+    for classifier, _ in settings:
+        _checked(folded, classifier)
+    counted = materialise(term_counts(folded.select(ident, "class", "fold", "text"), ngram_range=ngram_range).drop("text"))
+    models = [Setting(c, v, f) for c, v in settings for f in range(k)]
+    terms, bias = fit_rounds(counted, [ident], models)
+    seen = explode_rows(counted, F.col("terms"), "_t").groupBy(F.col("_t.term").alias("term")).agg(
+        F.array(*[F.count_if(F.col("fold") != f) for f in range(k)]).alias("_seen"))
+    # A passage meets the models that left its fold out, and of those only terms of their training rows.
+    own = terms.join(seen, "term").select("term", "_seen", *[
+        F.array(*[F.col(f"t{j * k + f}") for f in range(k)]).alias(f"_s{j}") for j in range(len(settings))])
+    fold = F.col("fold")
+    sums = _scores(counted, [ident], own, {f"_m{j}": F.get(f"_s{j}", fold) for j in range(len(settings))}, F.get("_seen", fold) > 0)
+    joined = counted.select(ident, "class", "fold").join(sums, ident, "left")
+    results = F.array(*[
+        F.struct(F.lit(c).alias("classifier"), F.lit(float(v)).alias("value"),
+                 (F.get(F.array(*[F.lit(b) for b in bias[j * k : (j + 1) * k]]), fold) + F.coalesce(f"_m{j}", F.lit(0.0))).alias("score"))
+        for j, (c, v) in enumerate(settings)])
+    return joined.withColumn("_r", F.explode_outer(results)).select(
+        "_r.classifier", "_r.value", ident, "class", "fold", "_r.score", decided(F.col("_r.score")).alias("prediction"))
+

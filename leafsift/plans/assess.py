@@ -42,14 +42,14 @@ def flag_passages(matches: DataFrame, metric: str | Metric, model: Any = None) -
     if model is None:
         raise ValueError(f"{metric.name} needs a model")
     if metric.scorer == "category":
-        scored = model.predict(rows)
+        scored = model.predict(rows, PASSAGE)
         return scored.withColumn("predicted_text_class", categories.decide("probability")).withColumn(
             "probability_text_class", categories.rounded("probability")
         )
     if isinstance(model, LinearModel):
         if metric.scorer == "best_page":
             raise ValueError(f"{metric.name} is ranked by likelihood, which needs a naive Bayes model")
-        return model.predict(rows).withColumnRenamed("prediction", "predicted_text_class")
+        return model.predict(rows, PASSAGE).withColumnRenamed("prediction", "predicted_text_class")
     vocabulary, totals, ngram_range = model
     scored = naive_bayes.score(rows, PASSAGE, vocabulary, totals, ngram_range)
     if metric.scorer == "best_page":

@@ -34,7 +34,7 @@ def prepare(
 
 
 def train_classifier(labelled: DataFrame, classifier: str = "LinearSVC", ngram_range=(1, 1), C: float = 1.0, alpha: float = 1.0):
-    """A model of all rows: tables for MultinomialNB, a fitted pipeline otherwise."""
+    """A model of all rows: vocabulary and totals for MultinomialNB, a ``LinearModel`` otherwise."""
     if not isinstance(labelled, DataFrame):
         raise ValueError("labelled passages must be a DataFrame with the columns text and class")
     if classifier == "MultinomialNB":
@@ -60,7 +60,8 @@ def cross_validated(
     if classifier == "MultinomialNB":
         predicted = naive_bayes.cross_validate(folded, ident, [alpha], ngram_range, k).drop("alpha")
     else:
-        predicted = linear.cross_validate_linear(folded, classifier, k, C=C, alpha=alpha, ngram_range=ngram_range)
+        setting = (classifier, C if classifier == "LinearSVC" else alpha)
+        predicted = linear.cross_validate_linear(folded, ident, [setting], k, ngram_range).drop("classifier", "value")
     return predicted, classification_scores(predicted)
 
 
@@ -82,27 +83,21 @@ def grid_search_nb(
 
 
 def grid_search_linear(
-    labelled: DataFrame, ident: str, classifier: str, values: Sequence[float], highs: Sequence[int] = NGRAM_HIGHS, k: int = 5
+    labelled: DataFrame, ident: str, settings: Sequence[tuple[str, float]], highs: Sequence[int] = NGRAM_HIGHS, k: int = 5
 ) -> DataFrame:
-    """The same for a linear classifier; one fit per setting and fold."""
+    """The same for ``(classifier, C or alpha)`` settings; all settings and folds share the rounds of an n-gram range."""
     folded = stratified_folds(labelled.select(ident, "text", "class"), F.col(ident), k)
-    name = "C" if classifier == "LinearSVC" else "alpha"
     parts = []
     for high in highs:
-        for value in values:
-            predicted = linear.cross_validate_linear(folded, classifier, k, ngram_range=(1, high), **{name: value})
-            scores = classification_scores(predicted, ["fold"])
-            parts.append(scores.agg(F.avg("f1").alias("f1")).select(
-                F.lit(classifier).alias("classifier"), F.lit(high).alias("ngram_high"), F.lit(float(value)).alias("value"), "f1"
-            ))
+        predicted = linear.cross_validate_linear(folded, ident, settings, k, (1, high))
+        scores = classification_scores(predicted, ["classifier", "value", "fold"])
+        parts.append(scores.groupBy("classifier", "value").agg(F.avg("f1").alias("f1")).select(
+            "classifier", F.lit(high).alias("ngram_high"), "value", "f1"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def grid_search(labelled: DataFrame, ident: str, balance: bool | str = False, replace_nums: bool = False) -> DataFrame:
     """All settings of all three classifiers; ``orderBy(desc("f1"))`` gives the best."""
     rows = prepare(labelled, ident, balance, replace_nums, mask_years=False)
-    return (
-        grid_search_linear(rows, ident, "LinearSVC", SVC_C)
-        .unionByName(grid_search_linear(rows, ident, "SGDClassifier", SGD_ALPHA))
-        .unionByName(grid_search_nb(rows, ident))
-    )
+    settings = [("LinearSVC", c) for c in SVC_C] + [("SGDClassifier", a) for a in SGD_ALPHA]
+    return grid_search_linear(rows, ident, settings).unionByName(grid_search_nb(rows, ident))

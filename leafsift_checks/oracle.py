@@ -47,7 +47,9 @@ def words_of(raw: str) -> str:
 
 
 def ctes(*parts: tuple[str, str]) -> str:
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in parts) + "\n"
+    # A body that several others read is marked, so that it is computed once.
+    return "WITH " + ",\n".join(
+        f"{name} AS {'MATERIALIZED ' if body.startswith('/*M*/') else ''}({body.removeprefix('/*M*/')})" for name, body in parts) + "\n"
 
 
 # --- blocks ------------------------------------------------------------------
@@ -396,6 +398,66 @@ ORACLE["t15_grid_search_nb"] = ctes(*_GRID) + " UNION ALL ".join(
     f"""SELECT 'MultinomialNB' AS classifier, CAST({h} AS INT) AS ngram_high, alpha AS value, round(avg(f1), 6) AS f1 FROM (
       SELECT alpha, fold, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM (SELECT alpha, fold, {_CELLS} FROM cv_{h} GROUP BY alpha, fold))
       GROUP BY alpha""" for h in GRID["highs"])
+
+
+# Fixed numbers of the rounds: how many, the step, the momentum.
+ROUNDS = {"LinearSVC": (10, lambda r: 0.25, lambda r: (r - 1) / (r + 2)), "SGDClassifier": (5, lambda r: 4 * r**-0.5, lambda r: 0.0),
+          "LogisticRegression": (10, lambda r: 2.0, lambda r: (r - 1) / (r + 2))}
+
+
+def linear_ctes(source: str, settings: list[tuple[str, float]], high: int, folds: list[int | None], tag: str = "") -> list[tuple[str, str]]:
+    """Rounds of full-batch descent for models (setting, fold left out) on ``source (doc_id, text, class, fold)``, one row per model and term."""
+    t = tag
+    values = ", ".join(f"({i * len(folds) + j}, '{c}', {v}::DOUBLE, {'NULL' if f is None else f}::INT)"
+                       for i, (c, v) in enumerate(settings) for j, f in enumerate(folds))
+    by = lambda pick, r: "CASE c " + " ".join(f"WHEN '{n}' THEN {pick(n, r)!r}::DOUBLE" for n in ROUNDS) + " END"
+    out = [
+        ("lw" + t, f"SELECT doc_id, class, fold, {word_list('text')} AS w FROM {source}"),
+        ("lg" + t, "/*M*/" + grams("lw" + t, high, "doc_id, class, fold")),
+        ("lx" + t, "/*M*/" + weights("lg" + t, "doc_id")),
+        ("lp" + t, f"/*M*/SELECT doc_id, fold, CASE WHEN class = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM {source}"),
+        ("lm" + t, f"""/*M*/SELECT m, c, v, f, n, CASE c WHEN 'LinearSVC' THEN 1 / (v * n) WHEN 'SGDClassifier' THEN v ELSE v / n END AS pen
+            FROM (SELECT q.*, (SELECT count(*) FROM lp{t} WHERE q.f IS NULL OR fold <> q.f)::DOUBLE AS n FROM (VALUES {values}) q(m, c, v, f))"""),
+        (f"b{t}_0", f"SELECT m, 0::DOUBLE AS bias, 0::DOUBLE AS ahead FROM lm{t}"),
+    ]
+    for r in range(1, max(ROUNDS[c][0] for c, _ in settings) + 1):
+        last = f"{r} > CASE c " + " ".join(f"WHEN '{n}' THEN {ROUNDS[n][0]}" for n in ROUNDS) + " END"
+        step, push = by(lambda n, k: float(ROUNDS[n][1](k)), r), by(lambda n, k: float(ROUNDS[n][2](k)), r)
+        z = "0::DOUBLE" if r == 1 else "coalesce(z, 0)"
+        join = "" if r == 1 else f"LEFT JOIN (SELECT m, doc_id, sum(w * a) AS z FROM lx{t} JOIN t{t}_{r - 1} USING (term) GROUP BY m, doc_id) z USING (m, doc_id)"
+        before = "" if r == 1 else f"JOIN t{t}_{r - 1} USING (m, term)"
+        theta, ahead = ("0::DOUBLE", "0::DOUBLE") if r == 1 else ("theta", "a")
+        out += [
+            (f"g{t}_{r}", f"""/*M*/SELECT m, doc_id, CASE WHEN fold = f THEN 0 ELSE -y * CASE c
+                 WHEN 'LinearSVC' THEN 2 * greatest(0, 1 - y * s) WHEN 'SGDClassifier' THEN CASE WHEN y * s < 1 THEN 1 ELSE 0 END
+                 ELSE 1 / (1 + exp(y * s)) END / n END AS g
+               FROM (SELECT lm{t}.*, doc_id, fold, y, ahead + {z} AS s FROM lp{t} CROSS JOIN lm{t} JOIN b{t}_{r - 1} USING (m) {join})"""),
+            (f"b{t}_{r}", f"""/*M*/SELECT m, CASE WHEN {last} THEN bias ELSE moved END AS bias,
+                 CASE WHEN {last} THEN ahead ELSE moved + {push} * (moved - bias) END AS ahead
+               FROM (SELECT m, c, bias, ahead, ahead - {step} * d AS moved FROM b{t}_{r - 1} JOIN lm{t} USING (m)
+                     JOIN (SELECT m, sum(g) AS d FROM g{t}_{r} GROUP BY m) USING (m))"""),
+            (f"t{t}_{r}", f"""/*M*/SELECT m, term, CASE WHEN {last} THEN theta ELSE now END AS theta,
+                 CASE WHEN {last} THEN a ELSE now + {push} * (now - theta) END AS a
+               FROM (SELECT m, c, term, {theta} AS theta, {ahead} AS a, ({ahead} - {step} * d) / (1 + {step} * pen) AS now
+                     FROM (SELECT m, term, sum(w * g) AS d FROM lx{t} JOIN g{t}_{r} USING (doc_id) GROUP BY m, term) JOIN lm{t} USING (m) {before})"""),
+        ]
+    n = max(ROUNDS[c][0] for c, _ in settings)
+    out.append((f"ls{t}", f"""SELECT m, c, v, doc_id, class, p.fold, bias + coalesce(z, 0) AS score
+        FROM (SELECT DISTINCT doc_id, class, fold FROM lw{t}) p CROSS JOIN lm{t} JOIN b{t}_{n} USING (m)
+        LEFT JOIN (SELECT m, doc_id, sum(g.n * theta) / sqrt(sum(g.n * g.n)) AS z FROM lg{t} g JOIN t{t}_{n} USING (term) JOIN lm{t} USING (m)
+                   WHERE f IS NULL OR (fold = f AND term IN (SELECT term FROM lg{t} o WHERE o.fold <> g.fold)) GROUP BY m, doc_id) USING (m, doc_id)
+        WHERE f IS NULL OR f = p.fold"""))
+    return out
+
+
+BALANCED = ("lab", f"""SELECT doc_id, text, class, 0 AS fold FROM (SELECT *, {shuffled('x', 'class')} AS r,
+   count(*) FILTER (class = 1) OVER () AS p, count(*) FILTER (class = 0) OVER () AS m
+   FROM (SELECT doc_id, text, toxic AS class FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL) x) WHERE class = 1 OR p >= m OR r <= p""")
+_DECIDED = "CAST(round(score, 9) > 0 AS INT) AS prediction"
+for _name, _c, _v in (("t07_linear_svc", "LinearSVC", 1.0), ("t08_sgd_hinge", "SGDClassifier", 1e-3)):
+    ORACLE[_name] = ctes(BALANCED, *linear_ctes("lab", [(_c, _v)], 1, [None])) + f"SELECT doc_id, class, round(score, 4) AS score, {_DECIDED} FROM ls"
+ORACLE["h01_category_model"] = ctes(BALANCED, *linear_ctes("lab", [("LogisticRegression", 1.0)], 1, [None])) + f"""
+   SELECT doc_id, class, round(1 / (1 + exp(-score)), 4) AS probability, {_DECIDED} FROM ls"""
 _SCORE = [*_TOXIC, ("docs", "SELECT doc_id, text FROM documents"), *score_ctes("docs", ["doc_id"], 1)]
 ORACLE["t16_batch_scores"] = ctes(*_SCORE) + "SELECT doc_id, round(likelihood, 6) AS likelihood, CAST(likelihood > 0.5 AS INT) AS predicted_class FROM scored"
 ORACLE["h02_split"] = f"""SELECT doc_id, {shuffled('documents')} <= floor(count(*) OVER () * 0.8::DOUBLE) AS is_train FROM documents"""

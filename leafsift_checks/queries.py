@@ -323,16 +323,20 @@ def t06_nb_model(spark, sf_dir):
     return vocabulary.select("term", rounded("theta0"), rounded("theta1"))
 
 
+def balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.balance_classes(labelled(spark, sf_dir), F.col("doc_id"))
+
+
 @query
 def t07_linear_svc(spark, sf_dir):
-    rows = labelled(spark, sf_dir)
-    return linear.train_linear(rows, "LinearSVC", C=1.0).predict(rows).select("doc_id", "class", "prediction")
+    rows = balanced(spark, sf_dir)
+    return linear.train_linear(rows, "LinearSVC", C=1.0).predict(rows).select("doc_id", "class", rounded("score", 4), "prediction")
 
 
 @query
 def t08_sgd_hinge(spark, sf_dir):
-    rows = labelled(spark, sf_dir)
-    return linear.train_linear(rows, "SGDClassifier", alpha=1e-3).predict(rows).select("doc_id", "class", "prediction")
+    rows = balanced(spark, sf_dir)
+    return linear.train_linear(rows, "SGDClassifier", alpha=1e-3).predict(rows).select("doc_id", "class", rounded("score", 4), "prediction")
 
 
 @query
@@ -414,8 +418,8 @@ def t16_batch_scores(spark, sf_dir):
 
 @query
 def h01_category_model(spark, sf_dir):
-    rows = labelled(spark, sf_dir)
-    return linear.train_category(rows).predict(rows).select("doc_id", "class", rounded("probability", 3), "prediction")
+    rows = balanced(spark, sf_dir)
+    return linear.train_category(rows).predict(rows).select("doc_id", "class", rounded("probability", 4), "prediction")
 
 
 @query

@@ -131,15 +131,32 @@ def test_linear_models_learn(frame, classifier, tmp_path):
     model.save(str(tmp_path / "m"))
     again = linear.LinearModel.load(str(tmp_path / "m")).predict(rows)
     assert again.select("doc_id", "prediction").exceptAll(out.select("doc_id", "prediction")).isEmpty()
-    assert model.terms(rows.sparkSession).count() == len(VOCAB)
-
-
-def test_hashed_features_beyond_the_bound(frame, monkeypatch):
-    monkeypatch.setattr(linear, "EXACT_VOCABULARY", 8)
-    model = linear.train_linear(frame, "LinearSVC")
-    assert model.predict(frame).count() == frame.count()
-    with pytest.raises(ValueError):
-        model.terms(frame.sparkSession)
+    assert model.terms.count() == len(VOCAB)
+
+
+def test_rounds_equal_plain_descent(frame):
+    """The tables hold what the same rounds give with dense vectors."""
+    import numpy as np
+
+    rows = [r for r in frame.collect()]
+    counted = {r["doc_id"]: {t["term"]: t["n"] for t in r["terms"]} for r in features.term_counts(frame).collect()}
+    vocabulary = sorted({t for c in counted.values() for t in c})
+    x = np.array([[counted[r["doc_id"]].get(t, 0) for t in vocabulary] for r in rows], float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    y = np.array([1.0 if r["class"] == 1 else -1.0 for r in rows])
+    for classifier, value in (("LinearSVC", 2.0), ("SGDClassifier", 0.01), ("LogisticRegression", 0.5)):
+        model = linear.train_linear(frame, classifier, C=value, alpha=value)
+        setting, theta, ahead, b, c = linear.Setting(classifier, value), 0 * x[0], 0 * x[0], 0.0, 0.0
+        for k in range(1, linear.ROUNDS[classifier] + 1):
+            margin = y * (x @ ahead + c)
+            pull = {"LinearSVC": 2 * np.maximum(0, 1 - margin), "SGDClassifier": (margin < 1) * 1.0, "LogisticRegression": 1 / (1 + np.exp(margin))}[classifier]
+            slope = -y * pull / len(y)
+            now = (ahead - setting.step(k) * slope @ x) / (1 + setting.step(k) * setting.penalty(len(y)))
+            moved = c - setting.step(k) * slope.sum()
+            ahead, theta = now + setting.momentum(k) * (now - theta), now
+            c, b = moved + setting.momentum(k) * (moved - b), moved
+        got = {r["term"]: r["theta1"] for r in model.terms.collect()}
+        assert model.bias == pytest.approx(b) and [got[t] for t in vocabulary] == pytest.approx(theta.tolist(), abs=1e-9)
 
 
 def test_training_errors(frame):
@@ -152,10 +169,10 @@ def test_training_errors(frame):
 
 
 def test_grid_small(frame):
-    grid = training.grid_search_linear(frame, "doc_id", "LinearSVC", [1.0], [1], k=2).unionByName(
+    grid = training.grid_search_linear(frame, "doc_id", [("LinearSVC", 1.0), ("SGDClassifier", 0.1)], [1], k=2).unionByName(
         training.grid_search_nb(frame, "doc_id", [0.1, 1.0], [1], k=2))
     rows = grid.collect()
-    assert len(rows) == 3 and all(0 <= r["f1"] <= 1 for r in rows)
+    assert len(rows) == 4 and all(0 <= r["f1"] <= 1 for r in rows)
 
 
 def test_top_terms(frame):
