@@ -1,4 +1,4 @@
-"""English stop words and symbols left out of classifier features."""
+"""English stop words and symbols left out of classifier features, and pronouns, which have no lemma."""
 
 STOP_WORDS = (
     "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his "
@@ -13,3 +13,8 @@ STOP_WORDS = (
 ).split()
 
 SYMBOLS = list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") + ["...", "”"]
+
+PRONOUNS = (
+    "i me my mine myself we us our ours ourselves you your yours yourself yourselves he him his himself she her hers "
+    "herself it its itself they them their theirs themselves"
+).split()

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from leafsift.functions.distributed import explode_rows
 from leafsift.functions.text import col, strip
-from leafsift.functions.words import STOP_WORDS, SYMBOLS
+from leafsift.functions.words import PRONOUNS, STOP_WORDS, SYMBOLS
+from leafsift.operators.tokens import lemma_of
 
 # Numbers with inner points or commas, words of any script, ellipses, any other single character.
 WORD = r"(\p{Nd}+(?:[.,]\p{Nd}+)*+|[\p{L}\p{M}\p{N}_]+|\.{3}|[^\s\p{Z}\p{L}\p{M}\p{N}_])"
@@ -23,16 +24,17 @@ def clean_text(text: Column | str) -> Column:
 
 
 def words(text: Column | str) -> Column:
-    """Lower-cased words without stop words and symbols."""
+    """Lemmas of the lower-cased words (pronouns as they are), without stop words and symbols."""
     found = F.regexp_extract_all(clean_text(text), F.lit(WORD), F.lit(1))
+    lemmas = F.transform(found, lambda w: F.when(w.isin(PRONOUNS), w).otherwise(lemma_of(w)))
     # Except with a literal list would drop repeats; the filter keeps them.
     dropped = [F.lit(w) for w in STOP_WORDS + SYMBOLS]
-    return F.filter(found, lambda w: ~w.isin(dropped))
+    return F.filter(lemmas, lambda w: ~w.isin(dropped))
 
 
 def joined_words(text: Column | str) -> Column:
-    """The words as one cleaned-up text."""
-    return F.array_join(words(text), " ")
+    """The words but pronouns as one cleaned-up text."""
+    return F.array_join(F.filter(words(text), lambda w: ~w.isin(PRONOUNS)), " ")
 
 
 def _gram(tokens: Column, n: int):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from leafsift.functions.words import STOP_WORDS, SYMBOLS
+from leafsift.functions.words import PRONOUNS, STOP_WORDS, SYMBOLS
 from leafsift.operators import tokens as T
 from leafsift.plans.registry import METRICS, get_keywords
+from leafsift.plans.training import NB_ALPHA, NGRAM_HIGHS, SGD_ALPHA, SVC_C
 from leafsift_checks import token_patterns as P
 from leafsift_checks.derived import report_blocks_sql
-from leafsift_checks.queries import ADHOC, FREE, GRID, NO_NEGATION
+from leafsift_checks.queries import ADHOC, FREE, LONG_PHRASES, NO_NEGATION
 
 ORACLE: dict[str, str] = {}
 
@@ -148,6 +149,7 @@ def selected(source: str, keywords) -> str:
 
 ORACLE["p01_select_pages"] = ctes(*CLEANED) + selected("c", get_keywords("n_employees"))
 ORACLE["p01_select_pages_across_blocks"] = ctes(*CLEANED) + selected("c", get_keywords("trifr"))
+ORACLE["p03_long_phrases"] = ctes(*CLEANED) + selected("c", LONG_PHRASES)
 ORACLE["p03_adhoc_keywords"] = ctes(D) + selected("d", ADHOC)
 ORACLE["p03_adhoc_regex"] = ctes(*CLEANED) + selected("c", FREE)
 _PAGES = ("pg", "SELECT filename, page, lower(string_agg(text, ' ' ORDER BY paragraph)) AS text FROM c GROUP BY filename, page")
@@ -278,14 +280,20 @@ def cleaned_text(text: str) -> str:
     return f"lower(translate({strip(text)}, chr(10) || chr(13), '  '))"
 
 
-def word_list(text: str) -> str:
-    return f"list_filter(regexp_extract_all({cleaned_text(text)}, {q(WORD)}), lambda x: x NOT IN {qlist(STOP_WORDS + SYMBOLS)})"
+def word_list(text: str, pronouns: bool = True) -> str:
+    """Lemmas of the words: known forms, then plural endings; pronouns stay or go."""
+    lemma = f"""CASE WHEN x IN {qlist(PRONOUNS)} THEN x ELSE CASE x {_LEMMA} ELSE CASE
+      WHEN regexp_matches(x, '^[a-z]{{2,}}ies$') THEN left(x, length(x) - 3) || 'y'
+      WHEN regexp_matches(x, '^[a-z]+(ss|sh|ch|x|z)es$') THEN left(x, length(x) - 2)
+      WHEN regexp_matches(x, '^[a-z]+[^siu]s$') THEN left(x, length(x) - 1) ELSE x END END END"""
+    gone = STOP_WORDS + SYMBOLS + ([] if pronouns else PRONOUNS)
+    return f"list_filter(list_transform(regexp_extract_all({cleaned_text(text)}, {q(WORD)}), lambda x: {lemma}), lambda x: x NOT IN {qlist(gone)})"
 
 
 DW = ("dw", f"SELECT doc_id, {word_list('text')} AS w FROM documents")
 ORACLE["t01_clean_text"] = f"SELECT doc_id, {cleaned_text('text')} AS text FROM documents"
 ORACLE["t02_tokenise"] = ctes(DW) + "SELECT doc_id, array_to_string(w, chr(10)) AS words, CAST(len(w) AS INT) AS n FROM dw"
-ORACLE["t03_joined_words"] = ctes(DW) + "SELECT doc_id, array_to_string(w, ' ') AS text FROM dw"
+ORACLE["t03_joined_words"] = f"SELECT doc_id, array_to_string({word_list('text', False)}, ' ') AS text FROM documents"
 
 
 def grams(source: str, high: int, keys: str = "doc_id") -> str:
@@ -354,6 +362,11 @@ ORACLE["t11_mask_cells"] = f"""SELECT o_orderkey, {masked('text')} AS masked FRO
    THEN CAST(year(o_orderdate) AS VARCHAR) ELSE 'up ' || o_custkey || '.5% in ' || year(o_orderdate) END AS text FROM orders)"""
 
 
+BALANCED_ROWS = f"""SELECT doc_id, text, class, 0 AS fold FROM (SELECT *, {shuffled('x', 'class')} AS r,
+   count(*) FILTER (class = 1) OVER () AS p, count(*) FILTER (class = 0) OVER () AS m
+   FROM (SELECT doc_id, text, toxic AS class FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL) x) WHERE class = 1 OR p >= m OR r <= p"""
+
+
 def folds(k: int) -> tuple[str, str]:
     return ("fo", f"SELECT *, CAST(({shuffled('lab', 'class')} - 1) % {k} AS INT) AS fold FROM lab")
 
@@ -380,7 +393,8 @@ def cv_ctes(k: int, high: int, alphas: list[float], tag: str = "") -> list[tuple
 
 
 ORACLE["t12_folds"] = ctes(LAB, folds(10)) + "SELECT doc_id, class, fold FROM fo"
-_CV = [LAB, folds(10), *cv_ctes(10, 1, [0.25])]
+MASKED = ("lab", f"""SELECT doc_id, {masked('text')} AS text, class FROM (SELECT * FROM ({BALANCED_ROWS}))""")
+_CV = [MASKED, folds(10), *cv_ctes(10, 1, [0.25])]
 ORACLE["t12_cv_predictions"] = ctes(*_CV) + """SELECT doc_id, class, fold, round(likelihood, 6) AS likelihood,
    CAST(likelihood > 0.5 AS INT) AS prediction FROM cv"""
 _CELLS = """count(*) AS n, count(*) FILTER (class = 1 AND likelihood > 0.5) AS tp, count(*) FILTER (class = 0 AND likelihood > 0.5) AS fp,
@@ -391,13 +405,6 @@ ORACLE["t13_scores"] = ctes(*_CV, ("z", f"SELECT {_CELLS} FROM cv")) + """SELECT
 ORACLE["t14_top_terms"] = ctes(*_TOXIC, ("w", "SELECT term, round(theta1, 6) AS weight FROM th")) + """
    (SELECT weight, term, 'lowest' AS side FROM w ORDER BY weight, term LIMIT 10) UNION ALL
    (SELECT weight, term, 'highest' AS side FROM w ORDER BY weight DESC, term DESC LIMIT 10)"""
-_GRID = [LAB, folds(5)]
-for _h in GRID["highs"]:
-    _GRID += cv_ctes(5, _h, GRID["alphas"], f"_{_h}")
-ORACLE["t15_grid_search_nb"] = ctes(*_GRID) + " UNION ALL ".join(
-    f"""SELECT 'MultinomialNB' AS classifier, CAST({h} AS INT) AS ngram_high, alpha AS value, round(avg(f1), 6) AS f1 FROM (
-      SELECT alpha, fold, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM (SELECT alpha, fold, {_CELLS} FROM cv_{h} GROUP BY alpha, fold))
-      GROUP BY alpha""" for h in GRID["highs"])
 
 
 # Fixed numbers of the rounds: how many, the step, the momentum.
@@ -450,14 +457,28 @@ def linear_ctes(source: str, settings: list[tuple[str, float]], high: int, folds
     return out
 
 
-BALANCED = ("lab", f"""SELECT doc_id, text, class, 0 AS fold FROM (SELECT *, {shuffled('x', 'class')} AS r,
-   count(*) FILTER (class = 1) OVER () AS p, count(*) FILTER (class = 0) OVER () AS m
-   FROM (SELECT doc_id, text, toxic AS class FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL) x) WHERE class = 1 OR p >= m OR r <= p""")
+BALANCED = ("lab", BALANCED_ROWS)
 _DECIDED = "CAST(round(score, 9) > 0 AS INT) AS prediction"
 for _name, _c, _v in (("t07_linear_svc", "LinearSVC", 1.0), ("t08_sgd_hinge", "SGDClassifier", 1e-3)):
     ORACLE[_name] = ctes(BALANCED, *linear_ctes("lab", [(_c, _v)], 1, [None])) + f"SELECT doc_id, class, round(score, 4) AS score, {_DECIDED} FROM ls"
 ORACLE["h01_category_model"] = ctes(BALANCED, *linear_ctes("lab", [("LogisticRegression", 1.0)], 1, [None])) + f"""
    SELECT doc_id, class, round(1 / (1 + exp(-score)), 4) AS probability, {_DECIDED} FROM ls"""
+
+_F1 = """SELECT {keys}, round(avg(f1), 6) AS f1 FROM (
+   SELECT {keys}, fold, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1
+   FROM (SELECT {keys}, fold, count(*) FILTER (class = 1 AND hit) AS tp, count(*) FILTER (class = 0 AND hit) AS fp,
+                count(*) FILTER (class = 1 AND NOT hit) AS fn FROM {source} GROUP BY {keys}, fold)) GROUP BY {keys}"""
+_GRID = [("lab", f"SELECT doc_id, text, class FROM ({BALANCED_ROWS})"), folds(5)]
+_GRID_PARTS = []
+for _h in NGRAM_HIGHS:
+    _GRID += cv_ctes(5, _h, NB_ALPHA, f"_{_h}")
+    _GRID_PARTS.append(f"SELECT 'MultinomialNB' AS classifier, CAST({_h} AS INT) AS ngram_high, alpha AS value, f1 FROM ("
+                       + _F1.format(keys="alpha", source=f"(SELECT *, likelihood > 0.5 AS hit FROM cv_{_h})") + ")")
+    _settings = [("LinearSVC", c) for c in SVC_C] + [("SGDClassifier", a) for a in SGD_ALPHA]
+    _GRID += linear_ctes("fo", _settings, _h, list(range(5)), f"_{_h}x")
+    _GRID_PARTS.append(f"SELECT c AS classifier, CAST({_h} AS INT) AS ngram_high, v AS value, f1 FROM ("
+                       + _F1.format(keys="c, v", source=f"(SELECT *, round(score, 9) > 0 AS hit FROM ls_{_h}x)") + ")")
+ORACLE["t15_grid_search"] = ctes(*_GRID) + " UNION ALL ".join(_GRID_PARTS)
 _SCORE = [*_TOXIC, ("docs", "SELECT doc_id, text FROM documents"), *score_ctes("docs", ["doc_id"], 1)]
 ORACLE["t16_batch_scores"] = ctes(*_SCORE) + "SELECT doc_id, round(likelihood, 6) AS likelihood, CAST(likelihood > 0.5 AS INT) AS predicted_class FROM scored"
 ORACLE["h02_split"] = f"""SELECT doc_id, {shuffled('documents')} <= floor(count(*) OVER () * 0.8::DOUBLE) AS is_train FROM documents"""

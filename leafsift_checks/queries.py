@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {}
 TEXTS = ("documents", "pages", "conversations")
 ADHOC = ["the", "lic[ei]n", "of the"]
 FREE = ["pri.*lost", "headcount"]
+LONG_PHRASES = ["is a total recordable", "a total recordable case rate", "every market the ceo pay"]
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -203,6 +204,12 @@ def p03_adhoc_keywords(spark, sf_dir):
     return selection.select_pages(document_blocks(spark, sf_dir), ADHOC)
 
 
+@query
+def p03_long_phrases(spark, sf_dir):
+    """Phrases of four and five words that run over block ends."""
+    return selection.select_pages(cleaned(spark, sf_dir), LONG_PHRASES)
+
+
 @query
 def p03_adhoc_regex(spark, sf_dir):
     return selection.select_pages(cleaned(spark, sf_dir), FREE)
@@ -379,13 +386,14 @@ def t12_folds(spark, sf_dir):
 
 @query
 def t12_cv_predictions(spark, sf_dir):
-    return naive_bayes.cross_validate(_folds(spark, sf_dir), "doc_id", [0.25]).select(
-        "doc_id", "class", "fold", rounded("likelihood"), "prediction")
+    """Balanced classes with numbers masked."""
+    predicted, _ = training.cross_validated(labelled(spark, sf_dir), "doc_id", "MultinomialNB", alpha=0.25, balance=True, replace_nums=True)
+    return predicted.select("doc_id", "class", "fold", rounded("likelihood"), "prediction")
 
 
 @query
 def t13_scores(spark, sf_dir):
-    _, scores = training.cross_validated(labelled(spark, sf_dir), "doc_id", "MultinomialNB", alpha=0.25)
+    _, scores = training.cross_validated(labelled(spark, sf_dir), "doc_id", "MultinomialNB", alpha=0.25, balance=True, replace_nums=True)
     return scores.select("n", *[rounded(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
@@ -396,12 +404,10 @@ def t14_top_terms(spark, sf_dir):
     return naive_bayes.top_terms(vocabulary.select("term", rounded("theta1")), 10)
 
 
-GRID = {"alphas": [0.01, 0.25, 1.0], "highs": [1, 2]}
-
-
 @query
-def t15_grid_search_nb(spark, sf_dir):
-    out = training.grid_search_nb(labelled(spark, sf_dir), "doc_id", GRID["alphas"], GRID["highs"])
+def t15_grid_search(spark, sf_dir):
+    """All 51 settings in 5 folds on balanced classes."""
+    out = training.grid_search(labelled(spark, sf_dir), "doc_id", balance=True)
     return out.select("classifier", "ngram_high", "value", rounded("f1"))
 
 
