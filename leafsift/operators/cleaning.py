@@ -57,8 +57,10 @@ def audit_characters(blocks: DataFrame) -> DataFrame:
 
 def is_table(text: Column | str = "text") -> Column:
     """Does the block look like (part of) a table?"""
-    return (count_matches(text, HARD_BREAK) >= HARD_BREAKS_NEEDED) | (
-        count_matches(text, SOFT_BREAK) >= SOFT_BREAKS_NEEDED
+    # Every hit takes a line feed, which most paragraphs have too few of.
+    feeds = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return (feeds >= min(HARD_BREAKS_NEEDED, SOFT_BREAKS_NEEDED)) & (
+        (count_matches(text, HARD_BREAK) >= HARD_BREAKS_NEEDED) | (count_matches(text, SOFT_BREAK) >= SOFT_BREAKS_NEEDED)
     )
 
 

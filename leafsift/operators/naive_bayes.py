@@ -133,16 +133,20 @@ def cross_validate(
             total = total + F.col(f"{prefix}{f}") if f != fold else total
         return total
 
-    # One row per training set that knows the term.
-    sets = F.array(*[
-        F.when(
-            others("_n_", f) > 0,
-            F.struct(F.lit(f).alias("fold"), others("_0_", f).alias("f0"), others("_1_", f).alias("f1")),
-        )
+    # One row per term: what each training set knows of it, by fold.
+    known = materialise(per_term.select(
+        "term",
+        F.array(*[others("_n_", f) for f in range(k)]).alias("_seen"),
+        *[F.array(*[others(f"_{c}_", f).cast("double") for f in range(k)]).alias(f"_f{c}") for c in (0, 1)],
+    ))
+    sums = known.agg(*[
+        F.sum(F.when(F.get("_seen", F.lit(f)) > 0, value).otherwise(0)).alias(f"_{name}_{f}")
         for f in range(k)
+        for name, value in (("s0", F.get("_f0", F.lit(f))), ("s1", F.get("_f1", F.lit(f))), ("v", F.lit(1)))
     ])
-    known = materialise(explode_rows(per_term, sets, "_s").select("term", "_s.fold", "_s.f0", "_s.f1"))
-    sizes = known.groupBy("fold").agg(F.sum("f0").alias("s0"), F.sum("f1").alias("s1"), F.count(F.lit(1)).alias("v"))
+    sizes = sums.select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("fold"), *[F.col(f"_{name}_{f}").alias(name) for name in ("s0", "s1", "v")]) for f in range(k)
+    ])).alias("_z")).select("_z.*")
 
     rows = counted.groupBy("fold").agg(F.count_if(F.col("class") == 0).alias("n0"), F.count_if(F.col("class") == 1).alias("n1"))
     folds = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
@@ -162,9 +166,13 @@ def cross_validate(
         ident, "fold", F.pmod(F.hash(ident), F.lit(TERM_SALTS)).alias("_salt"),
         F.col("_t.term").alias("term"), F.col("_t.n").cast("double").alias("n"),
     )
-    salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))).alias("_salt")
-    hits = occurrences.join(known.select("term", "fold", "f0", "f1", salts), ["term", "fold", "_salt"]).join(
-        setting.select("fold", "s0", "s1", "v"), "fold"
+    salts_of = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1)))
+    own = F.col("fold")
+    hits = (
+        occurrences.join(known.withColumn("_salt", salts_of), ["term", "_salt"])
+        .filter(F.get("_seen", own) > 0)
+        .withColumns({"f0": F.get("_f0", own), "f1": F.get("_f1", own)})
+        .join(setting.select("fold", "s0", "s1", "v"), "fold")
     )
     score_sums = []
     for i, alpha in enumerate(alphas):

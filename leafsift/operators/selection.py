@@ -62,20 +62,25 @@ def _hits_across(blocks: DataFrame, names: Sequence[str], phrases: Sequence[str]
     fronts = "|".join(sorted({literal_regex(front.split(" ")[-1]) for front, _ in cuts}))
     rests = "|".join(sorted({literal_regex(rest.split(" ")[0]) for _, rest in cuts}))
     text = F.lower("text")
-    ends = blocks.select(
+    ending, beginning = text.rlike(rf"(?:{fronts})\z"), text.rlike(rf"\A(?:{rests})")
+    head = F.concat(F.left(text, F.lit(reach)), F.when(F.length(text) > reach, CUT).otherwise(""))
+    # One pass over the text leaves a short note per block; a block that neither ends nor begins as asked parts its neighbours.
+    ends = materialise(blocks.select(
         *PAGE,
         "paragraph",
-        F.concat(F.left(text, F.lit(reach)), F.when(F.length(text) > reach, CUT).otherwise("")).alias("_head"),
-        F.right(text, F.lit(reach)).alias("_tail"),
-    )
-    ending, beginning = F.col("_tail").rlike(rf"(?:{fronts})\z"), F.col("_head").rlike(rf"\A(?:{rests})")
+        ending.alias("_ending"),
+        beginning.alias("_beginning"),
+        F.when(ending | beginning, head).otherwise(CUT).alias("_head"),
+        F.when(ending, F.right(text, F.lit(reach))).otherwise(CUT).alias("_tail"),
+    ))
     likely = (
-        ends.filter(ending | beginning)
+        ends.filter(F.col("_ending") | F.col("_beginning"))
         .groupBy(*PAGE)
-        .agg(F.bool_or(ending).alias("_ending"), F.bool_or(beginning).alias("_beginning"))
+        .agg(F.bool_or("_ending").alias("_ending"), F.bool_or("_beginning").alias("_beginning"))
         .filter("_ending AND _beginning")
         .select(*PAGE)
     )
+    ends = ends.drop("_ending", "_beginning")
     few = materialise(salted_semi_join(ends, likely, PAGE, F.col("paragraph")))
     placed = rank_rows(
         few.withColumn("_paras", F.floor(F.col("paragraph") / 1024)), PAGE, [["_paras"]], ["paragraph"], "_at"

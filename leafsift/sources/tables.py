@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 LABELLED_SCHEMA = "text STRING, class INT"
 
 
-def read_labelled(spark: SparkSession, path: str, schema: str = LABELLED_SCHEMA) -> DataFrame:
-    """Labelled passages from CSV with a header; texts may span lines."""
+def read_labelled(spark: SparkSession, path: str, schema: str = LABELLED_SCHEMA, multi_line: bool = True) -> DataFrame:
+    """Labelled passages from CSV with a header; texts may span lines.
+
+    Where none does, ``multi_line=False`` lets Spark split large files.
+    """
     return (
-        spark.read.schema(schema).option("header", True).option("multiLine", True)
+        spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
         .option("quote", '"').option("escape", '"').csv(path)
     )
 

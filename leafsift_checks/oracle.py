@@ -8,7 +8,7 @@ from leafsift.plans.registry import METRICS, get_keywords
 from leafsift.plans.training import NB_ALPHA, NGRAM_HIGHS, SGD_ALPHA, SVC_C
 from leafsift_checks import token_patterns as P
 from leafsift_checks.derived import report_blocks_sql
-from leafsift_checks.queries import ADHOC, FREE, LONG_PHRASES, NO_NEGATION
+from leafsift_checks.queries import ADHOC, ASSESSED, FREE, LONG_PHRASES, NO_NEGATION
 
 ORACLE: dict[str, str] = {}
 
@@ -104,6 +104,8 @@ ORACLE["s03_report_metadata"] = ctes(_NAMES) + """SELECT filename, replace(split
   'Annual Report' AS type, split_part(split_part(filename, '_Annual_Report_', 2), '.', 1) AS year
   FROM n WHERE contains(filename, '_Annual_Report_')"""
 ORACLE["s03_quarantined_reports"] = ctes(_NAMES) + "SELECT filename, 'Annual Report' AS type FROM n WHERE NOT contains(filename, '_Annual_Report_')"
+ORACLE["s04_labelled_passages"] = """SELECT translate(text, chr(10) || chr(13), '  ') AS text, CAST(toxic AS INT) AS class
+  FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL"""
 ORACLE["s07_first_reports"] = ctes(D) + """SELECT filename, count(*) AS n_blocks, max(page) AS pages FROM d
   WHERE filename IN (SELECT DISTINCT filename FROM d ORDER BY filename LIMIT 80) GROUP BY filename"""
 
@@ -218,6 +220,8 @@ for _m in ("n_employees", "company_gender_diversity", "n_fatalities", "company_e
 for _m in ("ltifr", "trifr", "ceo_pay_ratio", "parental_care"):
     ORACLE[f"m04_phrase_match_{_m}"] = match_sql(_m)
 
+ORACLE["s05_match_table"] = match_sql("ltifr")
+
 # Patterns with negated tokens, stated on token rows.
 _KEY = "a.filename = z.filename AND a.page = z.page AND a.paragraph = z.paragraph"
 _CONTRACTORS = f"""SELECT DISTINCT a.filename, a.page, a.paragraph FROM tk a JOIN tk z ON {_KEY}
@@ -481,16 +485,18 @@ for _h in NGRAM_HIGHS:
 ORACLE["t15_grid_search"] = ctes(*_GRID) + " UNION ALL ".join(_GRID_PARTS)
 _SCORE = [*_TOXIC, ("docs", "SELECT doc_id, text FROM documents"), *score_ctes("docs", ["doc_id"], 1)]
 ORACLE["t16_batch_scores"] = ctes(*_SCORE) + "SELECT doc_id, round(likelihood, 6) AS likelihood, CAST(likelihood > 0.5 AS INT) AS predicted_class FROM scored"
+ORACLE["s06_saved_model"] = ORACLE["t16_batch_scores"]
 ORACLE["h02_split"] = f"""SELECT doc_id, {shuffled('documents')} <= floor(count(*) OVER () * 0.8::DOUBLE) AS is_train FROM documents"""
 ORACLE["h03_encode_labels"] = ctes(LAB) + "SELECT doc_id, class = 1 AS healthcare, class <> 1 AS no_healthcare FROM lab"
-_PROB = ("pb", "SELECT doc_id, likelihood AS p, toxic AS class FROM scored JOIN labels USING (doc_id) WHERE toxic IS NOT NULL")
+_CATEGORY = [BALANCED, *linear_ctes("lab", [("LogisticRegression", 0.01)], 1, [None]),
+             ("pb", "SELECT doc_id, class, 1 / (1 + exp(-score)) AS p FROM ls")]
 _PAIRS = ("pairs", "SELECT p AS score, class = 1 AS gold FROM pb UNION ALL SELECT 1 - p, class <> 1 FROM pb")
-ORACLE["h04_category_scores"] = ctes(*_SCORE, _PROB, _PAIRS, ("z", """SELECT count(*) FILTER (score >= 0.5 AND gold) + 1e-8 AS tp,
+ORACLE["h04_category_scores"] = ctes(*_CATEGORY, _PAIRS, ("z", """SELECT count(*) FILTER (score >= 0.5 AND gold) + 1e-8 AS tp,
    count(*) FILTER (score >= 0.5 AND NOT gold) + 1e-8 AS fp, count(*) FILTER (score < 0.5 AND gold) + 1e-8 AS fn FROM pairs"""),
   ("y", "SELECT tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM z")) + """SELECT round(p, 6) AS textcat_p, round(r, 6) AS textcat_r,
    round(2 * p * r / (p + r), 6) AS textcat_f FROM y"""
-ORACLE["h05_decide"] = ctes(*_SCORE, _PROB) + "SELECT doc_id, CAST(p >= 0.7 AS INT) AS decision FROM pb"
-ORACLE["h06_rounded_probability"] = ctes(*_SCORE, _PROB) + "SELECT doc_id, round_even(p, 3) AS probability FROM pb"
+ORACLE["h05_decide"] = ctes(*_CATEGORY) + "SELECT doc_id, CAST(p >= 0.7 AS INT) AS decision FROM pb"
+ORACLE["h06_rounded_probability"] = ctes(*_CATEGORY) + "SELECT doc_id, round_even(p, 3) AS probability FROM pb"
 
 # --- results -----------------------------------------------------------------------------
 _CARE = [*CLEANED, *TOKENS, *match_ctes("parental_care"),
@@ -526,5 +532,59 @@ _EMP = [*CLEANED, *TOKENS, *match_ctes("n_employees"),
            FROM scored z LEFT JOIN win ON z.filename = win.filename AND z.page = win.page"""), collected()]
 ORACLE["a01_scored_passages"] = ctes(*_EMP) + "SELECT filename, page, paragraph, round(likelihood, 6) AS likelihood, flag AS predicted_text_class FROM fl"
 ORACLE["a06_assess_n_employees"] = ctes(*_EMP) + ALL_REPORTS
+
+
+def matched(metric: str) -> list[tuple[str, str]]:
+    """Matches of a metric on its pages, as far as assessing needs them."""
+    if metric in NEGATED:
+        return [(f"f_{metric}", NEGATED[metric]), (f"h_{metric}", hit_pages("c", get_keywords(metric))), (f"m_{metric}", f"""
+          SELECT c.filename, c.page, c.paragraph, c.text FROM c
+          SEMI JOIN f_{metric} f ON c.filename = f.filename AND c.page = f.page AND c.paragraph = f.paragraph
+          SEMI JOIN h_{metric} h ON c.filename = h.filename AND c.page = h.page""")]
+    return [*match_ctes(metric, f"n_{metric}"), (f"m_{metric}", f"SELECT filename, page, paragraph, text FROM n_{metric}")]
+
+
+def passages_of(metrics: list[str]) -> list[tuple[str, str]]:
+    parts = [c for m in metrics for c in matched(m)]
+    union = " UNION ALL ".join(f"SELECT {q(m)} AS metric, * FROM m_{m}" for m in metrics)
+    return [*parts, ("mt", f"""/*M*/SELECT *, metric || '|' || filename || '|' || page || '|' || paragraph AS doc_id,
+      replace(split_part(filename, '_Annual_Report_', 1), '_', ' ') AS name, split_part(split_part(filename, '_Annual_Report_', 2), '.', 1) AS year,
+      CAST((page + paragraph) % 3 <> 0 AS INT) AS class, 0 AS fold FROM ({union})""")]
+
+
+def flagged(metrics: list[str]) -> list[tuple[str, str]]:
+    """``fl``: passages with ``flag`` by the scorer of their metric; one Bayes model of all marked matches, one category model of healthcare."""
+    flags, out = [], []
+    bayes = [m for m in metrics if METRICS[m].scorer in ("predict", "best_page")]
+    if bayes:
+        out += [*model_ctes("mt", "doc_id", 1, 0.25), *score_ctes("mt", ["doc_id"], 1)]
+        flags.append(f"SELECT *, likelihood > 0.5 AS flag FROM scored WHERE metric IN {qlist(m for m in bayes if METRICS[m].scorer == 'predict') if any(METRICS[m].scorer == 'predict' for m in bayes) else '(NULL)'}")
+        for m in bayes:
+            if METRICS[m].scorer == "best_page":
+                out += [(f"s_{m}", f"SELECT * FROM scored WHERE metric = {q(m)}"), (f"w_{m}", best(f"s_{m}"))]
+                flags.append(f"SELECT z.*, w.page IS NOT NULL AND z.likelihood > 0.6 AS flag FROM s_{m} z LEFT JOIN w_{m} w ON z.filename = w.filename AND z.page = w.page")
+    for m in metrics:
+        if METRICS[m].scorer == "frequent_page":
+            flags.append(f"SELECT * EXCLUDE (n, predicted_text_class), NULL::DOUBLE AS likelihood, predicted_text_class = 1 AS flag FROM ({frequent(f'(SELECT * FROM mt WHERE metric = {q(m)})')})")
+        if METRICS[m].scorer == "category":
+            out += [("hc", "SELECT * FROM mt WHERE metric = 'healthcare'"), *linear_ctes("hc", [("LogisticRegression", 0.01)], 1, [None], "h")]
+            flags.append("SELECT hc.*, NULL::DOUBLE AS likelihood, 1 / (1 + exp(-score)) >= 0.7 AS flag FROM hc JOIN lsh USING (doc_id)")
+    union = " UNION ALL ".join(f"SELECT metric, filename, name, year, page, paragraph, text, CAST(flag AS INT) AS flag FROM ({f})" for f in flags)
+    return [*out, ("fl", union)]
+
+
+def assessed(metrics: list[str]) -> list[tuple[str, str]]:
+    return [*CLEANED, *TOKENS, *passages_of(metrics), *flagged(metrics),
+            ("col", """SELECT metric, filename, 1 AS class, string_agg(page, ',' ORDER BY page, paragraph) AS predicted_page,
+                string_agg(text, chr(10) ORDER BY page, paragraph) AS predicted_text FROM fl WHERE flag = 1 GROUP BY metric, filename""")]
+
+
+for _m in ASSESSED:
+    ORACLE[f"a06_assess_{_m}"] = ctes(*assessed([_m])) + ALL_REPORTS
+ORACLE["a06_assess_all"] = ctes(*assessed(list(METRICS))) + """SELECT r.filename, replace(split_part(r.filename, '_Annual_Report_', 1), '_', ' ') AS name,
+   split_part(split_part(r.filename, '_Annual_Report_', 2), '.', 1) AS year, r.metric, coalesce(class, 0) AS class,
+   coalesce(predicted_page, '') AS predicted_page, coalesce(predicted_text, '') AS predicted_text
+   FROM (SELECT DISTINCT filename, metric FROM b CROSS JOIN (SELECT unnest([""" + ", ".join(q(m) for m in METRICS) + """]) AS metric)) r
+   LEFT JOIN col ON r.filename = col.filename AND r.metric = col.metric"""
 _FIRST = ("b", f"SELECT * FROM ({report_blocks_sql()}) WHERE filename IN (SELECT DISTINCT filename FROM ({report_blocks_sql()}) ORDER BY filename LIMIT 80)")
 ORACLE["a08_training_candidates"] = ctes(_FIRST, *CLEANED[1:], *TOKENS, *match_ctes("n_employees")) + "SELECT * FROM mt"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from leafsift.operators import (
 )
 from leafsift.plans import assess, training
 from leafsift.plans.registry import METRICS, get_keywords
-from leafsift.sources import reports
+from leafsift.session import shared_dir
+from leafsift.sources import reports, tables
 from leafsift_checks.derived import report_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +84,34 @@ def s02_blocks_from_turns(spark, sf_dir):
     )
 
 
+@query
+def s04_labelled_passages(spark, sf_dir):
+    """Labelled passages written as CSV, one record a line, and scanned again."""
+    rows = labelled(spark, sf_dir).select(F.translate("text", "\n\r", "  ").alias("text"), "class")
+    path = f"{shared_dir(spark)}/labelled-{uuid.uuid4().hex}"
+    rows.write.csv(path, header=True, quoteAll=True, escape='"')
+    return tables.read_labelled(spark, path, multi_line=False)
+
+
+@query
+def s05_match_table(spark, sf_dir):
+    """A match table written by the sink and read again."""
+    path = f"{shared_dir(spark)}/matches-{uuid.uuid4().hex}"
+    tables.write_matches(matching.match_table(cleaned(spark, sf_dir), "ltifr"), path, "parquet")
+    return spark.read.parquet(path).drop("metric")
+
+
+@query
+def s06_saved_model(spark, sf_dir):
+    """A model saved and loaded."""
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    naive_bayes.save_model(*naive_bayes.train(labelled(spark, sf_dir), 0.25), path, "toxic")
+    vocabulary, totals = naive_bayes.load_model(spark, path, "toxic")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = naive_bayes.score(docs, ["doc_id"], vocabulary, totals)
+    return out.select("doc_id", rounded("likelihood"), "predicted_class")
+
+
 def _paths(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     name = F.when(F.col("doc_id") % 7 == 0, F.concat("source", F.lit(".pdf"))).otherwise(
@@ -440,8 +470,8 @@ def h03_encode_labels(spark, sf_dir):
 
 
 def _probabilities(spark, sf_dir):
-    marks = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("class")).filter(F.col("class").isNotNull())
-    return _likelihoods(spark, sf_dir).withColumnRenamed("likelihood", "probability").join(marks, "doc_id")
+    rows = balanced(spark, sf_dir)
+    return linear.train_category(rows, alpha=0.01).predict(rows).select("doc_id", "class", "probability")
 
 
 @query
@@ -524,6 +554,43 @@ def a01_scored_passages(spark, sf_dir):
     return out.select("filename", "page", "paragraph", rounded("likelihood"), "predicted_text_class")
 
 
+def _marked(matches: DataFrame) -> DataFrame:
+    """Matches with a class by a rule that stands in for a reader."""
+    return matches.select("text", ((F.col("page") + F.col("paragraph")) % 3 != 0).cast("int").alias("class"))
+
+
+def _assess_query(metric: str) -> Query:
+    """One metric over all reports; its model is trained on its own marked matches."""
+    def run(spark, sf_dir):
+        blocks = report_blocks(spark, sf_dir)
+        matches = assess.report_matches(blocks, [metric])
+        if metric in FREQUENT:
+            model = None
+        elif metric == "healthcare":
+            model = linear.train_category(_marked(matches), alpha=0.01)
+        else:
+            model = (*naive_bayes.train(_marked(matches), 0.25), (1, 1))
+        return _flat(assess.assess_metric(blocks, metric, model, matches=matches))
+    return run
+
+
+FREQUENT = ["ltifr", "trifr"]
+ASSESSED = ["n_contractors", "healthcare", "ceo_pay_ratio", "trifr", "company_gender_diversity"]
+for _m in ASSESSED:
+    QUERIES[f"a06_assess_{_m}"] = _assess_query(_m)
+
+
+@query
+def a06_assess_all(spark, sf_dir):
+    """All 13 metrics in one pass: one model of all marked matches, and a category model for healthcare."""
+    blocks = report_blocks(spark, sf_dir)
+    matches = assess.report_matches(blocks, list(METRICS))
+    nb = (*naive_bayes.train(_marked(matches), 0.25), (1, 1))
+    models = {m: nb for m in METRICS if m not in FREQUENT}
+    models["healthcare"] = linear.train_category(_marked(matches.filter("metric = 'healthcare'")), alpha=0.01)
+    return _flat(assess.assess_metrics(blocks, list(METRICS), models, matches=matches))
+
+
 @query
 def a07_assess_report(spark, sf_dir):
     """The first report with a match."""

@@ -128,6 +128,13 @@ def test_page_selection_equals_joined_text(make_blocks, metric):
     assert len(blocks) == sum(len(PAGES[f][p]) for f, p in want)
 
 
+def test_no_phrase_across_the_rest_of_a_block(make_blocks):
+    blocks = make_blocks({"A_Annual_Report_2020.pdf": {1: ["x", "ab chief executives and more", "pay rise", "the chief"],
+                                                       2: ["the chief", "executive", "pay rise"], 3: ["the chief", "", "executive pay"]}})
+    got = selection.select_pages(blocks, ["chief executive pay"]).select("page").distinct().collect()
+    assert [r["page"] for r in got] == [2]
+
+
 def test_match_table_needs_the_page(make_blocks):
     blocks = make_blocks({"A_B_Annual_Report_2020.pdf": {1: ["TRCR fell"], 2: ["TRCR fell", "an injury"], 3: ["TRIFR"]}})
     rows = matching.match_table(blocks, "trifr").orderBy("page").collect()
