@@ -7,29 +7,24 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafsift.session import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A session without that setting (tests, a notebook) uses its warehouse
-    folder, which Spark expects to be shared as well; no temporary folder of
-    one machine is ever taken.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return path or f"{spark.conf.get('spark.sql.warehouse.dir')}/_leafsift"
-
-
 def staged(df: DataFrame, what: str, *partitions: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where several later steps need the same rows, so that neither the
-    steps nor the loss of an executor compute them again.
+    steps nor the loss of an executor compute them again. ``clean_up`` of the
+    session module removes the folder of a run.
     """
-    path = f"{shared_folder(df.sparkSession)}/llm-{what}-{uuid.uuid4().hex}"
+    folder = shared_dir(df.sparkSession)
+    if folder is None:
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    path = f"{folder}/llm-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=list(partitions) or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
