@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -88,8 +89,10 @@ def grid_search_linear(
     """The same for ``(classifier, C or alpha)`` settings; all settings and folds share the rounds of an n-gram range."""
     folded = stratified_folds(labelled.select(ident, "text", "class"), F.col(ident), k)
     parts = []
-    for high in highs:
-        predicted = linear.cross_validate_linear(folded, ident, settings, k, (1, high))
+    # The ranges know nothing of each other, so their rounds run side by side.
+    with ThreadPoolExecutor(len(highs)) as pool:
+        runs = list(pool.map(lambda high: linear.cross_validate_linear(folded, ident, settings, k, (1, high)), highs))
+    for high, predicted in zip(highs, runs):
         scores = classification_scores(predicted, ["classifier", "value", "fold"])
         parts.append(scores.groupBy("classifier", "value").agg(F.avg("f1").alias("f1")).select(
             "classifier", F.lit(high).alias("ngram_high"), "value", "f1"))
