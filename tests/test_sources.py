@@ -17,10 +17,10 @@ def test_scan_and_decode(spark, tmp_path):
 
 
 def test_metadata(spark):
-    paths = ["/x/Just_Eat_Annual_Report_2020.pdf", "/x/y/One_Annual_Report_2019.v2.pdf", "/x/nomark.pdf"]
+    paths = ["/x/Blue_Harbour_Annual_Report_2020.pdf", "/x/y/One_Annual_Report_2019.v2.pdf", "/x/nomark.pdf"]
     meta = reports.report_metadata(spark.createDataFrame([(p,) for p in paths], "path string"))
     got = {(r["name"], r["year"], r["type"]) for r in reports.parsed_reports(meta).collect()}
-    assert got == {("Just Eat", "2020", "Annual Report"), ("One", "2019", "Annual Report")}
+    assert got == {("Blue Harbour", "2020", "Annual Report"), ("One", "2019", "Annual Report")}
     assert [r["filename"] for r in reports.quarantined_reports(meta).collect()] == ["nomark.pdf"]
 
 
