@@ -17,10 +17,10 @@ sample and counted exactly. All other words meet their counts in a shuffle.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,14 +34,14 @@ DEPTH, LEAST_SHARE = 6, 2e-5
 BASE, END = 257, 256
 HEAD_WORDS, SAMPLE_ROWS = 200_000, 10_000
 #: Bytes of text that a task works on at a time; symbols per piece of the walk.
-CHUNK, PIECE = 2 << 20, 1024
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-SPACES = re.compile(rb"[\x20\x09-\x0d]+")
+CHUNK, PIECE = 1 << 20, 1024
+#: A-Z to a-z, white space to spaces.
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
 
 def tokens_of(text: str | None) -> bytes:
     """The words of a text, A-Z lower-cased, parted by single spaces."""
-    return SPACES.sub(b" ", (text or "").encode("utf-8", "replace").translate(LOWER)).strip(b" ")
+    return b" ".join((text or "").encode("utf-8", "replace").translate(PLAIN).split())
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -79,27 +79,36 @@ def symbols(texts: list[bytes], lead: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class GramCounts:
-    """Counts of numbers, kept sorted; merging now and then keeps memory bounded by the distinct ones."""
+    """Counts of numbers, kept sorted. What is new is merged in when it is half as much as what is kept, so merging costs little and memory follows the distinct numbers."""
 
-    def __init__(self, most: int = 1_500_000):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held, self.most = 0, most
+    def __init__(self, least: int = 500_000):
+        self.kept = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.least = least
 
     def add(self, values: np.ndarray) -> None:
-        self.parts.append(np.unique(values, return_counts=True))
-        self.held += len(self.parts[-1][0])
-        if self.held > self.most and len(self.parts) > 1:
-            self.parts = [self.merged()]
-            self.held = len(self.parts[0][0])
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        values = np.concatenate([p[0] for p in self.parts])
-        order = np.argsort(values, kind="stable")
-        values, counts = values[order], np.concatenate([p[1] for p in self.parts])[order]
-        first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-        return values[first], np.add.reduceat(counts, first) if len(first) else counts
+        self.new.append(np.unique(values, return_counts=True))
+        if sum(len(v) for v, _ in self.new) > max(self.least, len(self.kept[0]) // 2):
+            self.merged()
+
+    def merged(self, pieces: int = 16) -> tuple[np.ndarray, np.ndarray]:
+        """Merge range by range of the numbers, so that little is held twice."""
+        parts, self.new = [self.kept, *self.new], []
+        largest = max((p[0] for p in parts), key=len)
+        bounds = largest[len(largest) // pieces :: max(1, len(largest) // pieces)]
+        cuts = [[0, *np.searchsorted(v, bounds), len(v)] for v, _ in parts]
+        out = []
+        for k in range(len(bounds) + 1):
+            values = np.concatenate([v[c[k] : c[k + 1]] for (v, _), c in zip(parts, cuts)])
+            counts = np.concatenate([n[c[k] : c[k + 1]] for (_, n), c in zip(parts, cuts)])
+            if len(values):
+                order = np.argsort(values, kind="stable")
+                values, counts = values[order], counts[order]
+                first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+                out.append((values[first], np.add.reduceat(counts, first)))
+        if out:
+            self.kept = np.concatenate([v for v, _ in out]), np.concatenate([n for _, n in out])
+        return self.kept
 
 
 def context_grams(texts: list[bytes]) -> np.ndarray:
@@ -326,7 +335,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             scores = model.scores([text for _, _, text in rows])
             for (doc_id, key, text), own in zip(rows, scores.tolist()):
                 words = text.split(b" ") if text else []
-                at = np.fromiter((frequent.get(w, -1) for w in words), np.int64, len(words))
+                at = np.fromiter(map(frequent.get, words, repeat(-1)), np.int64, len(words))
                 at = np.append(at[at >= 0], len(head))  # and the end
                 out.append((doc_id, key, held_out(doc_id), len(words) + 1, int((counts[at] > 0).sum()), float(logs[at].sum()),
                             len(words) + 1 - len(at), own))
