@@ -30,8 +30,8 @@ PART = 1 << 20
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 OTHER = "other"
 OTHER_PRIOR = 1e-3
-#: Rows that the trigram model is fitted on, expected; and strengths of the priors, in documents.
-FIT_ROWS, SUFFIX_STRENGTH, HOST_STRENGTH = 20_000, 50.0, 20.0
+#: Rows that the trigram model is fitted on, expected, and the least of each language; and strengths of the priors, in documents.
+FIT_ROWS, LEAST_ROWS, SUFFIX_STRENGTH, HOST_STRENGTH = 20_000, 50, 50.0, 20.0
 #: Trigrams overlap and repeat: n of them count as n / (3 + n / 100) independent ones, so as 100 at most.
 OVERLAP, MOST = 3.0, 100.0
 
@@ -72,12 +72,25 @@ class TextModel:
 
     @staticmethod
     def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> TextModel:
-        """Fit on a hash sample of about ``rows`` rows of ``lang, text`` (all, if there are fewer)."""
-        labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        share = min(1.0, rows / max(1, labelled.count()))
-        drawn = F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30))
-        counts = trigram_counts(labelled.filter(drawn)).toArrow().to_pandas()  # at most BUCKETS rows a language
-        languages = sorted(counts["lang"].unique())
+        """Fit on about ``rows`` rows of ``lang, text`` (all, if there are fewer), dealt evenly to the languages of the whole table.
+
+        Languages are counted over all rows with letters. Those with fewer rows than their part enter whole, the others by
+        hash of the text and, if there is one, of ``doc_id``; each with the rows of its least hash at any rate.
+        """
+        labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))
+        drawn = F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in labelled.columns], F.lit("fit")), F.lit(1 << 30))
+        labelled = labelled.select("lang", "text", drawn.alias("_drawn"))
+        sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("_drawn").alias("least")).collect()
+        part, left = 0.0, float(rows)
+        for i, n in enumerate(sorted(r["n"] for r in sizes)):  # what small languages leave goes to the larger ones
+            part = max(part, left / (len(sizes) - i))
+            left -= min(n, part)
+        part = max(part, LEAST_ROWS)
+        languages = sorted(r["lang"] for r in sizes)
+        bounds = labelled.sparkSession.createDataFrame(
+            [(r["lang"], max(r["least"], int(min(1.0, part / r["n"]) * (1 << 30)) - 1)) for r in sizes], "lang string, _bound long")
+        sample = labelled.join(F.broadcast(bounds), "lang").filter("_drawn <= _bound")
+        counts = trigram_counts(sample).toArrow().to_pandas()  # at most BUCKETS rows a language
         table = np.full((BUCKETS, len(languages) + 1), 1.0 / BUCKETS)
         for i, lang in enumerate(languages):
             own = counts[counts["lang"] == lang]
@@ -209,7 +222,8 @@ def identify_languages(docs: DataFrame, text: str = "text", declared: str = "lan
     names = {c: f"_k{i}" for i, c in enumerate(carried)}
     rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col(text).alias("_text"),
                        F.col(declared).cast("string").alias("_declared"), F.col(host).cast("string").alias("_given_host"))
-    plain = rows.select(F.col("_text").alias("text"), F.col("_declared").alias("declared"), F.col("_given_host").alias("host"))
+    ids = [F.col(names["doc_id"]).alias("doc_id")] if "doc_id" in names else []
+    plain = rows.select(F.col("_text").alias("text"), F.col("_declared").alias("declared"), F.col("_given_host").alias("host"), *ids)
     model = model or TextModel.fit(plain.withColumn("lang", F.lower(F.regexp_extract("declared", "^[A-Za-z]+", 0))).filter("lang <> ''"))
     found = Fusion(model, plain).identify(rows, list(names.values()), least)
     return found.select(*[F.col(n).alias(c) for c, n in names.items()], *sorted(results))

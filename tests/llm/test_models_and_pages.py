@@ -86,6 +86,18 @@ def test_languages(spark, make_docs, odd_rows):
     assert nothing[2004] is False and nothing[2000] is True
 
 
+def test_rare_language_beside_many_rows(make_docs):
+    rng = random.Random(11)
+    many = [(i, talk(lang, 20, rng), lang, None, 0) for i in range(4_000) for lang in [("en", "de")[i % 2]]]
+    rare = [(9000 + i, talk("fr", 20, rng), "fr", None, 0) for i in range(8)]
+    copies = [(9100, "qui quo", "la", None, 0)] * 300
+    docs = make_docs(many + rare + copies)
+    model = language_id.TextModel.fit(docs.select("doc_id", "lang", "text"), rows=120)
+    assert model.languages == ["de", "en", "fr", "la"]
+    out = language_id.identify_languages(docs, model=model).filter("doc_id >= 9000").collect()
+    assert all(r.language == r.lang and not r.rejected for r in out)
+
+
 def test_declaration_suffix_and_host_decide_ties(make_docs):
     rows, _ = language_rows()
     both = "der the und of"
