@@ -85,6 +85,26 @@ def test_trees_add_and_leave_alone(make_docs):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
 
 
+def proposed(make_docs, text):
+    row = make_docs([(1, text)]).select(pii.candidates(F.col("text")).alias("c")).first()
+    return {text[c.start:c.end] for c in row.c}
+
+
+def test_overlapping_proposals(make_docs):
+    assert {"12 555-123-4567", "555-123-4567"} <= proposed(make_docs, "item 12 555-123-4567")
+    assert {"2024 (555) 123-4567", "(555) 123-4567"} <= proposed(make_docs, "in 2024 (555) 123-4567 99")
+    assert "hunter2" in proposed(make_docs, "😀 password: hunter2.") and "swordfish" in proposed(make_docs, 'pwd="swordfish"')
+    assert proposed(make_docs, "the secret of success, a token here") == set()
+    assert len(proposed(make_docs, "7 " * 20_000)) < 100  # distinct texts; the spans stay bounded per group
+
+
+def test_best_spans_that_do_not_overlap(spark):
+    spans = [(0, 2, 15, 1.0), (3, 3, 15, 2.0), (3, 3, 7, 1.5), (15, 3, 20, 0.5), (18, 4, 30, 0.4), (25, 4, 40, 0.6)]
+    row = spark.createDataFrame([(spans,), ([],)], "s array<struct<start:int,kind:int,end:int,score:double>>")
+    got = [sorted(tuple(x) for x in r[0]) for r in row.select(pii.best_apart(F.col("s"))).collect()]
+    assert got == [[(3, 3, 15), (15, 3, 20), (25, 4, 40)], []]
+
+
 ITEMS = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "Short item, here"), (3, None), (4, "..."),
          (5, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (10, "short ITEM here"), (None, "unnamed thing éa")]
 
