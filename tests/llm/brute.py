@@ -114,3 +114,56 @@ def best_fit_bins(lengths, capacity):
         at = bisect.bisect_left(room, n)
         bisect.insort(room, (room.pop(at) if at < len(room) else capacity) - n)
     return len(room)
+
+
+def repeated_windows(rows, n=20):
+    """(id, n_words, n_removed, kept) with first places by (id, start, text); null ids last; equal rows have equal places."""
+    import xxhash
+
+    docs = [((i is None, i or 0), SPACED.findall(t or ""), xxhash.xxh64_intdigest((t or "").encode(), 42)) for i, t in rows]
+    signed = [(k, w, h - (1 << 64) if h >> 63 else h) for k, w, h in docs]
+    first = {}
+    for k, w, h in signed:
+        for a in range(len(w) - n + 1):
+            place, win = (*k, a, h), tuple(w[a : a + n])
+            first[win] = min(first.get(win, place), place)
+    out = []
+    for (i, _), (k, w, h) in zip(rows, signed):
+        gone = set()
+        for a in range(len(w) - n + 1):
+            if first[tuple(w[a : a + n])] != (*k, a, h):
+                gone |= set(range(a, a + n))
+        out.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return out
+
+
+def ranked(rows, items, k=20):
+    """(item_id, rank, doc_id, score) for items that are already distinct."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    docs = [(i, Counter(term.findall(lower(t)))) for i, t in rows]
+    docs = [(i, c, sum(c.values())) for i, c in docs if c]
+    n, total, df = len(docs), sum(d[2] for d in docs), Counter(t for _, c, _ in docs for t in c)
+    out = []
+    for item, text in items:
+        asked, scores = Counter(term.findall(lower(text))), []
+        for i, c, length in docs:
+            m = 75 + 25 * length * n // total
+            s = sum(q * math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m))
+                    for t, q in asked.items() if c[t])
+            if s > 0:
+                scores.append((-s, i is None, i or 0, i))
+        out += [(item, r + 1, i, -s) for r, (s, _, _, i) in enumerate(sorted(scores)[:k])]
+    return out
+
+
+def mined(rows, positives=5, negatives=3, low=50, high=95, scale=256):
+    """(anchor, positive, rank, negative, scores) for (id, label, vector) rows; anchors are ids divisible by 50."""
+    good = [(i, y, [math.floor(scale * x) for x in v]) for i, y, v in rows
+            if i is not None and y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for i, y, v in {(i, y, tuple(v)) for i, y, v in good if i % 50 == 0}:
+        s = sorted((-sum(a * b for a, b in zip(v, w)), j, z) for j, z, w in good if j != i and len(w) == len(v))
+        for p, j, z in [x for x in s if x[2] == y][:positives]:
+            found = [(n, m) for n, m, z in s if z != y and low * -p <= 100 * -n <= high * -p][:negatives]
+            out += [(i, j, r + 1, m, -p, -n) for r, (n, m) in enumerate(found)]
+    return out
