@@ -37,15 +37,19 @@ def shared_dir(spark: SparkSession) -> str | None:
     return path and f"{path}/leafsift-{context.applicationId}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, needed: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     For an intermediate result that several branches of a plan need: it is
     computed once, and the loss of an executor does not lose it. Without a
-    shared folder the plan stays as it is and is computed again where needed.
+    shared folder the plan stays as it is and is computed again where needed;
+    with ``needed``, as in loops whose plans would grow from round to round,
+    that is an error.
     """
     folder = shared_dir(df.sparkSession)
     if folder is None:
+        if needed:
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         return df
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)

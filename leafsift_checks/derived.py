@@ -20,7 +20,7 @@ SENTENCES = [
     "The number of agency contractors was {q}.",
     "Gender balance:  {q}% of managers are female.",
     "Lost time injury frequency rate (LTIFR) improved to 0.{f}.",
-    "Staff receive private medical insurance cover for families.",
+    "Staff receive private medical insurance cover for {f} family members.",
     "Maternity and family benefits were extended to {q} colleagues.",
     "The CEO pay ratio was {q}:1 this year.",
     "Some {q}% of the board are from an ethnic minority background.",

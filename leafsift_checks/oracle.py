@@ -49,7 +49,8 @@ def words_of(raw: str) -> str:
 
 def ctes(*parts: tuple[str, str]) -> str:
     # A body that several others read is marked, so that it is computed once.
-    return "WITH " + ",\n".join(
+    recursive = "RECURSIVE " if any("USING KEY" in name for name, _ in parts) else ""
+    return f"WITH {recursive}" + ",\n".join(
         f"{name} AS {'MATERIALIZED ' if body.startswith('/*M*/') else ''}({body.removeprefix('/*M*/')})" for name, body in parts) + "\n"
 
 
@@ -411,54 +412,63 @@ ORACLE["t14_top_terms"] = ctes(*_TOXIC, ("w", "SELECT term, round(theta1, 6) AS
    (SELECT weight, term, 'highest' AS side FROM w ORDER BY weight DESC, term DESC LIMIT 10)"""
 
 
-# Fixed numbers of the rounds: how many, the step, the momentum.
-ROUNDS = {"LinearSVC": (10, lambda r: 0.25, lambda r: (r - 1) / (r + 2)), "SGDClassifier": (5, lambda r: 4 * r**-0.5, lambda r: 0.0),
-          "LogisticRegression": (10, lambda r: 2.0, lambda r: (r - 1) / (r + 2))}
+# The steepest and the most curved that each loss gets; the hinge is rounded over the last hundredth.
+CURVATURE = {"LinearSVC": 2.0, "SGDClassifier": 100.0, "LogisticRegression": 0.25}
 
 
-def linear_ctes(source: str, settings: list[tuple[str, float]], high: int, folds: list[int | None], tag: str = "") -> list[tuple[str, str]]:
-    """Rounds of full-batch descent for models (setting, fold left out) on ``source (doc_id, text, class, fold)``, one row per model and term."""
+def linear_ctes(source: str, settings: list[tuple[str, float]], high: int, folds: list[int | None], tag: str = "", digits: int = 13) -> list[tuple[str, str]]:
+    """Models (setting, fold left out) on ``source (doc_id, text, class, fold)`` as minima of mean loss and penalty.
+
+    The weights are a sum over the passages, so the search is for their coefficients, by accelerated descent on the matrix of inner
+    products (with a constant term): a method of its own, run until the error has shrunk by ``digits`` powers of ten. Equal passages
+    are one row with a number of times.
+    """
     t = tag
-    values = ", ".join(f"({i * len(folds) + j}, '{c}', {v}::DOUBLE, {'NULL' if f is None else f}::INT)"
+    values = ", ".join(f"({i * len(folds) + j}, '{c}', {v}::DOUBLE, {'NULL' if f is None else f}::INT, {CURVATURE[c]}::DOUBLE)"
                        for i, (c, v) in enumerate(settings) for j, f in enumerate(folds))
-    by = lambda pick, r: "CASE c " + " ".join(f"WHEN '{n}' THEN {pick(n, r)!r}::DOUBLE" for n in ROUNDS) + " END"
-    out = [
+    at = "y[j] * s[j]"
+    pull = f"""CASE c WHEN 'LinearSVC' THEN 2 * greatest(0, 1 - {at}) WHEN 'SGDClassifier' THEN greatest(0, least(1, (1 - {at}) * 100))
+               ELSE 1 / (1 + exp({at})) END"""
+    return [
         ("lw" + t, f"SELECT doc_id, class, fold, {word_list('text')} AS w FROM {source}"),
         ("lg" + t, "/*M*/" + grams("lw" + t, high, "doc_id, class, fold")),
         ("lx" + t, "/*M*/" + weights("lg" + t, "doc_id")),
-        ("lp" + t, f"/*M*/SELECT doc_id, fold, CASE WHEN class = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM {source}"),
-        ("lm" + t, f"""/*M*/SELECT m, c, v, f, n, CASE c WHEN 'LinearSVC' THEN 1 / (v * n) WHEN 'SGDClassifier' THEN v ELSE v / n END AS pen
-            FROM (SELECT q.*, (SELECT count(*) FROM lp{t} WHERE q.f IS NULL OR fold <> q.f)::DOUBLE AS n FROM (VALUES {values}) q(m, c, v, f))"""),
-        (f"b{t}_0", f"SELECT m, 0::DOUBLE AS bias, 0::DOUBLE AS ahead FROM lm{t}"),
-    ]
-    for r in range(1, max(ROUNDS[c][0] for c, _ in settings) + 1):
-        last = f"{r} > CASE c " + " ".join(f"WHEN '{n}' THEN {ROUNDS[n][0]}" for n in ROUNDS) + " END"
-        step, push = by(lambda n, k: float(ROUNDS[n][1](k)), r), by(lambda n, k: float(ROUNDS[n][2](k)), r)
-        z = "0::DOUBLE" if r == 1 else "coalesce(z, 0)"
-        join = "" if r == 1 else f"LEFT JOIN (SELECT m, doc_id, sum(w * a) AS z FROM lx{t} JOIN t{t}_{r - 1} USING (term) GROUP BY m, doc_id) z USING (m, doc_id)"
-        before = "" if r == 1 else f"JOIN t{t}_{r - 1} USING (m, term)"
-        theta, ahead = ("0::DOUBLE", "0::DOUBLE") if r == 1 else ("theta", "a")
-        out += [
-            (f"g{t}_{r}", f"""/*M*/SELECT m, doc_id, CASE WHEN fold = f THEN 0 ELSE -y * CASE c
-                 WHEN 'LinearSVC' THEN 2 * greatest(0, 1 - y * s) WHEN 'SGDClassifier' THEN CASE WHEN y * s < 1 THEN 1 ELSE 0 END
-                 ELSE 1 / (1 + exp(y * s)) END / n END AS g
-               FROM (SELECT lm{t}.*, doc_id, fold, y, ahead + {z} AS s FROM lp{t} CROSS JOIN lm{t} JOIN b{t}_{r - 1} USING (m) {join})"""),
-            (f"b{t}_{r}", f"""/*M*/SELECT m, CASE WHEN {last} THEN bias ELSE moved END AS bias,
-                 CASE WHEN {last} THEN ahead ELSE moved + {push} * (moved - bias) END AS ahead
-               FROM (SELECT m, c, bias, ahead, ahead - {step} * d AS moved FROM b{t}_{r - 1} JOIN lm{t} USING (m)
-                     JOIN (SELECT m, sum(g) AS d FROM g{t}_{r} GROUP BY m) USING (m))"""),
-            (f"t{t}_{r}", f"""/*M*/SELECT m, term, CASE WHEN {last} THEN theta ELSE now END AS theta,
-                 CASE WHEN {last} THEN a ELSE now + {push} * (now - theta) END AS a
-               FROM (SELECT m, c, term, {theta} AS theta, {ahead} AS a, ({ahead} - {step} * d) / (1 + {step} * pen) AS now
-                     FROM (SELECT m, term, sum(w * g) AS d FROM lx{t} JOIN g{t}_{r} USING (doc_id) GROUP BY m, term) JOIN lm{t} USING (m) {before})"""),
-        ]
-    n = max(ROUNDS[c][0] for c, _ in settings)
-    out.append((f"ls{t}", f"""SELECT m, c, v, doc_id, class, p.fold, bias + coalesce(z, 0) AS score
-        FROM (SELECT DISTINCT doc_id, class, fold FROM lw{t}) p CROSS JOIN lm{t} JOIN b{t}_{n} USING (m)
-        LEFT JOIN (SELECT m, doc_id, sum(g.n * theta) / sqrt(sum(g.n * g.n)) AS z FROM lg{t} g JOIN t{t}_{n} USING (term) JOIN lm{t} USING (m)
+        ("lp" + t, f"""/*M*/SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM (
+            SELECT min(doc_id) AS doc_id, class, fold, count(*)::DOUBLE AS times FROM {source} GROUP BY text, class, fold)"""),
+        ("le" + t, f"/*M*/SELECT i, term, w FROM lp{t} JOIN lx{t} USING (doc_id)"),
+        ("lk" + t, f"""/*M*/SELECT list(r ORDER BY i) AS kk FROM (
+            SELECT a.i, list(1 + coalesce(v, 0) ORDER BY b.i) AS r FROM lp{t} a CROSS JOIN lp{t} b
+            LEFT JOIN (SELECT p.i, q.i AS j, sum(p.w * q.w) AS v FROM le{t} p JOIN le{t} q USING (term) GROUP BY p.i, q.i) z ON z.i = a.i AND z.j = b.i GROUP BY a.i)"""),
+        ("lm" + t, f"""/*M*/SELECT *, sqrt(pen / top) AS q FROM (SELECT *, pen + curved * (SELECT max(x) FROM (
+              SELECT unnest(list_transform(kk, lambda r: list_dot_product(r, times))) AS x FROM lk{t})) / n AS top FROM (
+            SELECT m, c, v, f, curved, n, CASE c WHEN 'LinearSVC' THEN 1 / (v * n) WHEN 'SGDClassifier' THEN v ELSE v / n END AS pen, y, times FROM (
+              SELECT q.*, sum(CASE WHEN q.f IS NULL OR fold <> q.f THEN times ELSE 0 END) AS n, list(CASE WHEN class = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY i) AS y,
+                     list(CASE WHEN q.f IS NULL OR fold <> q.f THEN times ELSE 0 END ORDER BY i) AS times
+              FROM (VALUES {values}) q(m, c, v, f, curved) CROSS JOIN lp{t} GROUP BY ALL)))"""),
+        (f"ld{t}(m, it, b, a) USING KEY (m)", f"""
+            SELECT m, 0 AS it, list_transform(y, lambda x: 0::DOUBLE) AS b, list_transform(y, lambda x: 0::DOUBLE) AS a FROM lm{t}
+            UNION
+            SELECT m, it + 1, now, list_transform(now, lambda x, j: x + (1 - q) / (1 + q) * (x - b[j])) FROM (
+              SELECT m, it, q, b, list_transform(a, lambda x, j: x - (pen * x - times[j] * y[j] * ({pull}) / n) / top) AS now FROM (
+                SELECT d.m, d.it, d.b, d.a, list_transform(kk, lambda r: list_dot_product(r, d.a)) AS s, lm{t}.* EXCLUDE (m)
+                FROM ld{t} d JOIN lm{t} ON lm{t}.m = d.m CROSS JOIN lk{t} WHERE d.it < ceil({digits} * ln(10) / q)))"""),
+        ("lc" + t, f"/*M*/SELECT m, unnest(b) AS b, generate_subscripts(b, 1) AS i FROM ld{t}"),
+        ("lt" + t, f"/*M*/SELECT m, term, sum(b * w) AS theta FROM lc{t} JOIN le{t} USING (i) GROUP BY m, term"),
+        ("lb" + t, f"/*M*/SELECT m, sum(b) AS bias FROM lc{t} GROUP BY m"),
+        ("ls" + t, f"""SELECT m, c, v, doc_id, class, p.fold, bias + coalesce(z, 0) AS score
+        FROM (SELECT DISTINCT doc_id, class, fold FROM lw{t}) p CROSS JOIN lm{t} JOIN lb{t} USING (m)
+        LEFT JOIN (SELECT m, doc_id, sum(g.n * theta) / sqrt(sum(g.n * g.n)) AS z FROM lg{t} g JOIN lt{t} USING (term) JOIN lm{t} USING (m)
                    WHERE f IS NULL OR (fold = f AND term IN (SELECT term FROM lg{t} o WHERE o.fold <> g.fold)) GROUP BY m, doc_id) USING (m, doc_id)
-        WHERE f IS NULL OR f = p.fold"""))
-    return out
+        WHERE f IS NULL OR f = p.fold"""),
+    ]
+
+
+def linear_scores(source: str, tag: str, high: int = 1) -> list[tuple[str, str]]:
+    """``ps``: scores of ``source (doc_id, text)`` by the one model of the tag."""
+    t = tag
+    return [("pw" + t, f"SELECT doc_id, {word_list('text')} AS w FROM {source}"), ("pg" + t, grams("pw" + t, high, "doc_id")),
+            ("ps" + t, f"""SELECT doc_id, bias + coalesce(z, 0) AS score FROM (SELECT doc_id FROM {source}) CROSS JOIN lb{t}
+              LEFT JOIN (SELECT doc_id, sum(g.n * theta) / sqrt(sum(g.n * g.n)) AS z FROM pg{t} g JOIN lt{t} USING (term) GROUP BY doc_id) USING (doc_id)""")]
 
 
 BALANCED = ("lab", BALANCED_ROWS)
@@ -479,7 +489,7 @@ for _h in NGRAM_HIGHS:
     _GRID_PARTS.append(f"SELECT 'MultinomialNB' AS classifier, CAST({_h} AS INT) AS ngram_high, alpha AS value, f1 FROM ("
                        + _F1.format(keys="alpha", source=f"(SELECT *, likelihood > 0.5 AS hit FROM cv_{_h})") + ")")
     _settings = [("LinearSVC", c) for c in SVC_C] + [("SGDClassifier", a) for a in SGD_ALPHA]
-    _GRID += linear_ctes("fo", _settings, _h, list(range(5)), f"_{_h}x")
+    _GRID += linear_ctes("fo", _settings, _h, list(range(5)), f"_{_h}x", digits=8)
     _GRID_PARTS.append(f"SELECT c AS classifier, CAST({_h} AS INT) AS ngram_high, v AS value, f1 FROM ("
                        + _F1.format(keys="c, v", source=f"(SELECT *, round(score, 9) > 0 AS hit FROM ls_{_h}x)") + ")")
 ORACLE["t15_grid_search"] = ctes(*_GRID) + " UNION ALL ".join(_GRID_PARTS)
@@ -488,8 +498,10 @@ ORACLE["t16_batch_scores"] = ctes(*_SCORE) + "SELECT doc_id, round(likelihood, 6
 ORACLE["s06_saved_model"] = ORACLE["t16_batch_scores"]
 ORACLE["h02_split"] = f"""SELECT doc_id, {shuffled('documents')} <= floor(count(*) OVER () * 0.8::DOUBLE) AS is_train FROM documents"""
 ORACLE["h03_encode_labels"] = ctes(LAB) + "SELECT doc_id, class = 1 AS healthcare, class <> 1 AS no_healthcare FROM lab"
-_CATEGORY = [BALANCED, *linear_ctes("lab", [("LogisticRegression", 0.01)], 1, [None]),
-             ("pb", "SELECT doc_id, class, 1 / (1 + exp(-score)) AS p FROM ls")]
+_CATEGORY = [BALANCED, ("tr", f"SELECT * EXCLUDE (r, k) FROM (SELECT *, {shuffled('lab')} AS r, count(*) OVER () AS k FROM lab) WHERE r <= floor(k * 0.8::DOUBLE)"),
+             ("rest", "SELECT doc_id, text, toxic AS class FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM tr)"),
+             *linear_ctes("tr", [("LogisticRegression", 0.01)], 1, [None]), *linear_scores("rest", ""),
+             ("pb", "SELECT doc_id, class, 1 / (1 + exp(-score)) AS p FROM ps JOIN rest USING (doc_id)")]
 _PAIRS = ("pairs", "SELECT p AS score, class = 1 AS gold FROM pb UNION ALL SELECT 1 - p, class <> 1 FROM pb")
 ORACLE["h04_category_scores"] = ctes(*_CATEGORY, _PAIRS, ("z", """SELECT count(*) FILTER (score >= 0.5 AND gold) + 1e-8 AS tp,
    count(*) FILTER (score >= 0.5 AND NOT gold) + 1e-8 AS fp, count(*) FILTER (score < 0.5 AND gold) + 1e-8 AS fn FROM pairs"""),
@@ -567,8 +579,10 @@ def flagged(metrics: list[str]) -> list[tuple[str, str]]:
         if METRICS[m].scorer == "frequent_page":
             flags.append(f"SELECT * EXCLUDE (n, predicted_text_class), NULL::DOUBLE AS likelihood, predicted_text_class = 1 AS flag FROM ({frequent(f'(SELECT * FROM mt WHERE metric = {q(m)})')})")
         if METRICS[m].scorer == "category":
-            out += [("hc", "SELECT * FROM mt WHERE metric = 'healthcare'"), *linear_ctes("hc", [("LogisticRegression", 0.01)], 1, [None], "h")]
-            flags.append("SELECT hc.*, NULL::DOUBLE AS likelihood, 1 / (1 + exp(-score)) >= 0.7 AS flag FROM hc JOIN lsh USING (doc_id)")
+            out += [("hc", "SELECT * FROM mt WHERE metric = 'healthcare'"),
+                    ("ht", "SELECT doc_id, text, CAST(NOT regexp_matches(text, 'for [0-2] ') AS INT) AS class, 0 AS fold FROM hc WHERE page % 2 = 0"),
+                    *linear_ctes("ht", [("LogisticRegression", 0.01)], 1, [None], "h"), *linear_scores("hc", "h")]
+            flags.append("SELECT hc.*, NULL::DOUBLE AS likelihood, 1 / (1 + exp(-score)) >= 0.7 AS flag FROM hc JOIN psh USING (doc_id)")
     union = " UNION ALL ".join(f"SELECT metric, filename, name, year, page, paragraph, text, CAST(flag AS INT) AS flag FROM ({f})" for f in flags)
     return [*out, ("fl", union)]
 

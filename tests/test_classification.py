@@ -134,29 +134,76 @@ def test_linear_models_learn(frame, classifier, tmp_path):
     assert model.terms.count() == len(VOCAB)
 
 
-def test_rounds_equal_plain_descent(frame):
-    """The tables hold what the same rounds give with dense vectors."""
+def dense(frame):
+    """Unit rows with a constant term, signs, and the vocabulary."""
     import numpy as np
 
-    rows = [r for r in frame.collect()]
+    rows = frame.collect()
     counted = {r["doc_id"]: {t["term"]: t["n"] for t in r["terms"]} for r in features.term_counts(frame).collect()}
     vocabulary = sorted({t for c in counted.values() for t in c})
     x = np.array([[counted[r["doc_id"]].get(t, 0) for t in vocabulary] for r in rows], float)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    y = np.array([1.0 if r["class"] == 1 else -1.0 for r in rows])
-    for classifier, value in (("LinearSVC", 2.0), ("SGDClassifier", 0.01), ("LogisticRegression", 0.5)):
-        model = linear.train_linear(frame, classifier, C=value, alpha=value)
-        setting, theta, ahead, b, c = linear.Setting(classifier, value), 0 * x[0], 0 * x[0], 0.0, 0.0
-        for k in range(1, linear.ROUNDS[classifier] + 1):
-            margin = y * (x @ ahead + c)
-            pull = {"LinearSVC": 2 * np.maximum(0, 1 - margin), "SGDClassifier": (margin < 1) * 1.0, "LogisticRegression": 1 / (1 + np.exp(margin))}[classifier]
-            slope = -y * pull / len(y)
-            now = (ahead - setting.step(k) * slope @ x) / (1 + setting.step(k) * setting.penalty(len(y)))
-            moved = c - setting.step(k) * slope.sum()
-            ahead, theta = now + setting.momentum(k) * (now - theta), now
-            c, b = moved + setting.momentum(k) * (moved - b), moved
-        got = {r["term"]: r["theta1"] for r in model.terms.collect()}
-        assert model.bias == pytest.approx(b) and [got[t] for t in vocabulary] == pytest.approx(theta.tolist(), abs=1e-9)
+    return np.hstack([x, np.ones((len(x), 1))]), np.array([1.0 if r["class"] == 1 else -1.0 for r in rows]), vocabulary, [r["doc_id"] for r in rows]
+
+
+def gradient(x, y, w, classifier, penalty):
+    """Of the mean loss plus the penalty, stated anew."""
+    import numpy as np
+
+    margin = y * (x @ w)
+    pull = {"LinearSVC": 2 * np.maximum(0, 1 - margin), "SGDClassifier": np.clip((1 - margin) / linear.ROUNDED, 0, 1),
+            "LogisticRegression": 1 / (1 + np.exp(margin))}[classifier]
+    return penalty * w - (y * pull) @ x / len(y)
+
+
+@pytest.mark.parametrize("classifier, values, block_rows, tolerance", [
+    ("LinearSVC", (0.01, 1.0, 100.0), 512, 1e-9), ("SGDClassifier", (1e-3, 0.1), 512, 1e-9), ("LogisticRegression", (0.01, 1.0), 512, 1e-9),
+    ("LinearSVC", (0.01, 1.0), 80, 1e-3), ("LogisticRegression", (1.0, 10.0), 80, 1e-3), ("SGDClassifier", (0.2,), 80, 1e-3)])
+def test_models_are_optimal(frame, classifier, values, block_rows, tolerance):
+    """The gradient vanishes, for one block and for several that need rounds; C matters."""
+    import numpy as np
+
+    x, y, vocabulary, _ = dense(frame)
+    settings = [linear.Setting(classifier, v) for v in values]
+    counted = features.term_counts(frame).withColumn("fold", F.lit(0)).select("doc_id", "class", "fold", "terms")
+    terms, bias = linear.fit_models(counted, ["doc_id"], settings, tolerance, block_rows)
+    got = {r["term"]: r for r in terms.collect()}
+    assert set(got) == set(vocabulary)
+    lengths = []
+    for i, s in enumerate(settings):
+        w = np.array([got[t][f"t{i}"] for t in vocabulary] + [bias[i]])
+        assert np.linalg.norm(gradient(x, y, w, classifier, s.penalty(len(y)))) < 1.01 * tolerance * linear.STEEPNESS[classifier]
+        lengths.append(np.linalg.norm(w))
+    assert len(values) == 1 or max(lengths) > 1.5 * min(lengths)
+
+
+def test_folds_stay_out(frame):
+    """A model of a fold is the model of the other rows, and a model's rows are scored by the models that left them out."""
+    folded = sampling.stratified_folds(frame, F.col("doc_id"), 3)
+    out = {(r["value"], r["doc_id"]): r["score"] for r in linear.cross_validate_linear(
+        folded, "doc_id", [("LinearSVC", 0.1), ("LinearSVC", 10.0)], 3).collect()}
+    rest, own = folded.filter("fold <> 1").drop("fold"), folded.filter("fold = 1").drop("fold")
+    for c in (0.1, 10.0):
+        for r in linear.train_linear(rest, "LinearSVC", C=c).predict(own).collect():
+            assert r["score"] == pytest.approx(out[c, r["doc_id"]], abs=1e-5)
+
+
+def test_odd_training_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, class int")
+    assert linear.train_linear(empty).terms.count() == 0
+    one = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "good", 1)], "doc_id long, text string, class int")
+    assert [r["prediction"] for r in linear.train_linear(one).predict(one).orderBy("doc_id").collect()] == [1, 1, 1]
+
+
+def test_rounds_need_a_shared_folder(frame, monkeypatch):
+    monkeypatch.setattr("leafsift.session.shared_dir", lambda spark: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        linear.train_linear(frame)
+
+
+def test_rounds_that_cannot_end_raise(frame):
+    with pytest.raises(RuntimeError):
+        linear.train_linear(frame, tolerance=0.0, most_rounds=1)
 
 
 def test_training_errors(frame):
