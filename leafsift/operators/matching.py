@@ -3,83 +3,55 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafsift.functions.distributed import fixed_columns, salted_semi_join
-from leafsift.operators.patterns import quick_regex, searches
+from leafsift.operators.automaton import with_matches
+from leafsift.operators.patterns import quick_regex, token_patterns
 from leafsift.operators.selection import PAGE, block_hits, wider_hits
-from leafsift.operators.tokens import annotate
 from leafsift.plans.registry import Metric, get_metric
 from leafsift.session import materialise
 from leafsift.sources.reports import report_name, report_year
 
 
-def _token_count(encoded: Column) -> Column:
-    return F.length(encoded) - F.length(F.replace(encoded, F.lit("\u0001"), F.lit("")))
-
-
-def first_match(encoded: Column, patterns: Sequence[tuple[str, str | None, str | None]]) -> Column:
-    """``struct<start, n, pattern>`` of the first match: lowest start, then shortest, then pattern order.
-
-    ``patterns`` are ``searches``: every regex runs once, and its match is then
-    located as plain text.
-    """
-    found = []
-    for number, (regex, end, scan) in enumerate(patterns):
-        text = F.regexp_extract(encoded, end, 0) if end else encoded
-        match = F.regexp_extract(text, scan or regex, 2 if scan else 0)
-        before = F.regexp_extract(text, scan, 1) if scan else F.call_function("substring_index", text, match, F.lit(1))
-        span = F.struct(_token_count(before).alias("start"), _token_count(match).alias("n"), F.lit(number).alias("pattern"))
-        found.append(F.when(match != "", span))
-    return F.array_min(F.array_compact(F.array(*found)))
-
-
-def _found(
+def _marked(
     blocks: DataFrame, metrics: Sequence[Metric], annotator: Callable[[Column], Column] | None
-) -> tuple[DataFrame, Column]:
-    """Blocks with their tokens, and an array column with the first match (or null) per set of patterns.
+) -> tuple[DataFrame, list[tuple[list[Any], str]], list[list[str]]]:
+    """Blocks with ``_of``, the text (or its annotated tokens) where a pattern may match; the sets of patterns and whose they are.
 
-    Blocks that cannot match any metric by a plain regex get no tokens.
+    Blocks that cannot match any metric by a plain regex are not read. Metrics with the same patterns share a set.
     """
-    groups: dict[tuple[tuple[str, str | None, str | None], ...], list[Metric]] = {}
+    sets: list[tuple[list[Any], str]] = []
+    names: list[list[str]] = []
     for m in metrics:
-        groups.setdefault(tuple(searches(m.patterns, m.kind)), []).append(m)
-    quick = {regexes: quick_regex(same[0].patterns, same[0].kind) for regexes, same in groups.items()}
-
-    blocks = blocks.withColumn("_low", F.lower("text"))
-    filtered = annotator is None and all(quick.values())
-    if filtered:
-        anything = F.col("_low").rlike("|".join(f"(?:{q})" for q in quick.values()))
-        blocks = blocks.withColumn("_text", F.when(anything, F.col("text")))
-    else:
-        blocks = blocks.withColumn("_text", F.col("text"))
-    found = []
-    for regexes, same in groups.items():
-        span = first_match(F.col("encoded"), regexes)
-        if filtered:
-            span = F.when(F.col("_low").rlike(quick[regexes]), span)
-        names = F.array(*[F.lit(m.name) for m in same])
-        found.append(F.when(span.isNotNull(), F.struct(names.alias("metrics"), span.alias("m"))))
-    needed = {key for m in metrics if m.kind == "text" for p in m.patterns for token in p for key in token}
-    return annotate(blocks, annotator, "_text", needed), F.array(*found)
-
-
-def _spans(found: DataFrame) -> DataFrame:
-    """One row per match from the array ``_found``."""
-    placed = (
-        found.withColumn("_f", F.explode_outer("_found"))
-        .filter(F.col("_f").isNotNull())
-        .select(*PAGE, "paragraph", "text", "raw", F.col("_f.m").alias("_m"), F.explode_outer("_f.metrics").alias("metric"))
-    )
-    words = F.slice("raw", F.col("_m.start") + 1, F.col("_m.n"))
+        if (m.patterns, m.kind) not in sets:
+            sets.append((m.patterns, m.kind))
+            names.append([])
+        names[sets.index((m.patterns, m.kind))].append(m.name)
+    for patterns, kind in sets:
+        token_patterns(patterns, kind)
+    if annotator is not None:
+        return blocks.withColumn("_of", annotator(F.col("text"))), sets, names
+    quick = [quick_regex(patterns, kind) for patterns, kind in sets]
+    if not all(quick):
+        return blocks.withColumn("_of", F.col("text")), sets, names
+    anything = F.lower("text").rlike("|".join(f"(?:{q})" for q in dict.fromkeys(quick)))
+    return blocks.withColumn("_of", F.when(anything, F.col("text"))), sets, names
+
+
+def _spans(found: DataFrame, names: list[list[str]]) -> DataFrame:
+    """One row per match and metric from the arrays ``_found``."""
+    of_set = F.array(*[F.array(*map(F.lit, group)) for group in names])
+    placed = found.withColumn("_m", F.explode_outer("_found")).filter(F.col("_m").isNotNull())
     return placed.select(
         *PAGE,
         "paragraph",
-        "metric",
+        F.explode(F.get(of_set, F.col("_m.set"))).alias("metric"),
         "text",
-        F.rtrim(F.array_join(words, "")).alias("match_string"),
+        F.col("_m.match_string").alias("match_string"),
         F.col("_m.start").alias("start"),
         (F.col("_m.start") + F.col("_m.n")).alias("end"),
     )
@@ -91,8 +63,9 @@ def match_blocks(
     annotator: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Blocks that match, on whatever page: ``filename, page, paragraph, metric, text, match_string, start, end``."""
-    tokens, found = _found(blocks, [get_metric(m) for m in metrics], annotator)
-    return _spans(tokens.withColumn("_found", found))
+    marked, sets, names = _marked(blocks, [get_metric(m) for m in metrics], annotator)
+    likely = marked.filter(F.col("_of").isNotNull()).select(*PAGE, "paragraph", "text", "_of")
+    return _spans(with_matches(likely, sets, "_of"), names)
 
 
 def match_table(
@@ -108,23 +81,20 @@ def match_table(
     """
     chosen = [get_metric(m) for m in ([metrics] if isinstance(metrics, (str, Metric)) else metrics)]
     keywords = {m.name: m.keywords for m in chosen}
-    tokens, found = _found(cleaned, chosen, annotator)
+    marked, sets, names = _marked(cleaned, chosen, annotator)
     hits = F.array_compact(F.array(*block_hits(keywords)))
-    matching = F.size("_found") > 0
-    noted = fixed_columns(tokens.drop("tokens"), _hits=hits, _found=F.array_compact(found)).filter(
-        (F.size("_hits") > 0) | matching
-    )
-    noted = materialise(noted.select(
-        *PAGE, "paragraph", "_hits", "_found",
-        F.when(matching, F.col("text")).alias("text"), F.when(matching, F.col("raw")).alias("raw"),
-    ))
+    likely = fixed_columns(marked, _hits=hits, _read=F.col("_of")).filter((F.size("_hits") > 0) | F.col("_read").isNotNull())
+    # Only what a pattern may match is read as text; the rest are page keys.
+    likely = likely.select(*PAGE, "paragraph", "_hits", F.when(F.col("_read").isNotNull(), F.col("text")).alias("text"), "_read")
+    noted = with_matches(likely, sets, "_read").filter((F.size("_hits") > 0) | (F.size("_found") > 0))
+    noted = materialise(noted.withColumn("text", F.when(F.size("_found") > 0, F.col("text"))))
     pages = noted.select(*PAGE, F.explode_outer("_hits").alias("_names")).select(
         *PAGE, F.explode_outer("_names").alias("metric")
     )
     for more in wider_hits(cleaned, keywords):
         pages = pages.unionByName(more)
     pages = pages.filter(F.col("metric").isNotNull()).distinct()
-    selected = salted_semi_join(_spans(noted), pages, [*PAGE, "metric"], F.col("paragraph"))
+    selected = salted_semi_join(_spans(noted, names), pages, [*PAGE, "metric"], F.col("paragraph"))
     # Name and year are part of the file name: no join with the reports.
     return selected.select(
         "filename",

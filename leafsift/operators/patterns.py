@@ -1,232 +1,56 @@
-"""Token and phrase patterns as literal regexes over encoded tokens.
+"""Token and phrase patterns: the language, its checks, and a cheap test that spares blocks.
 
 A pattern is a list of token predicates (LEMMA, LOWER, TEXT with REGEX, POS,
 ENT_TYPE, LIKE_NUM, IS_PUNCT; values, IN or NOT_IN; OP ``? * + !``), the form
-users of rule-based matchers already write.
+users of rule-based matchers already write. ``operators/automaton.py`` runs them.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from typing import Any
 
 from leafsift.functions.text import literal_regex
-from leafsift.operators.tokens import (
-    ADPOSITIONS,
-    COUNTRIES,
-    ENT_LETTERS,
-    IS_PUNCT_LETTER,
-    LEMMA_OF,
-    LIKE_NUM_LETTER,
-    NUMBER_WORDS,
-    PEOPLES,
-    POS_LETTERS,
-    SYMBOLS,
-    split_tokens,
-)
-
-ANY_TOKEN = r"\x01[^\x01]*"
-# Any number of tokens, before one: a token begins where the next \x01 stands.
-FREE = r"[\s\S]*?"
-
-
-def _words(spec: Any, end: str) -> str:
-    """One text field up to its closing separator."""
-    rest = rf"[^{end}]*"
-    if spec is None:
-        return rest
-    if isinstance(spec, str):
-        return literal_regex(spec)
-    if set(spec) == {"IN"}:
-        return "(?:" + "|".join(literal_regex(w) for w in spec["IN"]) + ")"
-    if set(spec) == {"NOT_IN"}:
-        return rf"(?!(?:{'|'.join(literal_regex(w) for w in spec['NOT_IN'])}){end}){rest}"
-    raise ValueError(f"unsupported predicate {spec!r}")
-
-
-def _flag(spec: Any, letters: dict[str, str]) -> str:
-    """One of the flag letters of a group."""
-    if spec is None:
-        return "."
-    names = [spec] if isinstance(spec, str) else spec.get("IN", spec.get("NOT_IN"))
-    unknown = [n for n in names if n not in letters]
-    if unknown:
-        raise ValueError(f"the annotation has no {unknown}")
-    inside = "".join(letters[n] for n in names)
-    return f"[^{inside}]" if isinstance(spec, dict) and "NOT_IN" in spec else f"[{inside}]"
-
-
-def _switch(spec: Any, letter: str) -> str:
-    if spec is None:
-        return letter + "?"
-    return letter if spec else ""
-
-
-def _atom(token: dict[str, Any]) -> str:
-    known = {"OP", "LEMMA", "LOWER", "TEXT", "POS", "ENT_TYPE", "LIKE_NUM", "IS_PUNCT"}
-    if set(token) - known:
-        raise ValueError(f"unsupported token attribute {sorted(set(token) - known)}")
-    if not set(token) - {"OP"}:
-        return ANY_TOKEN
-    text = token.get("TEXT")
-    if isinstance(text, dict) and "REGEX" in text:
-        # Found anywhere in the token text, but never beyond the token.
-        if re.search(r"\\[AZzbB]|\^|\$", text["REGEX"]):
-            raise ValueError("anchors are not supported in a token regex")
-        tail = rf"[^\x01]*?(?:{text['REGEX']})[^\x01]*"
-    elif text is not None:
-        tail = _words(text, r"\x01") + r"(?=\x01|\z)"
-    else:
-        tail = r"[^\x01]*"
-    return (
-        r"\x01" + _words(token.get("LOWER"), r"\x02")
-        + r"\x02" + _words(token.get("LEMMA"), r"\x03")
-        + r"\x03" + _flag(token.get("POS"), POS_LETTERS) + _flag(token.get("ENT_TYPE"), ENT_LETTERS)
-        + _switch(token.get("LIKE_NUM"), LIKE_NUM_LETTER) + _switch(token.get("IS_PUNCT"), IS_PUNCT_LETTER)
-        + r"\x04" + tail
-    )
-
-
-def _vocabulary(token: dict[str, Any]) -> tuple[str | None, set[str] | None]:
-    """The words a token can be and the attribute that names them; without a name for closed classes; None for the rest."""
-    for attribute in ("LOWER", "LEMMA"):
-        spec = token.get(attribute)
-        if isinstance(spec, str):
-            return attribute, {spec}
-        if spec and "IN" in spec:
-            return attribute, set(spec["IN"])
-    if token.get("LIKE_NUM") or token.get("ENT_TYPE"):
-        return None, {*NUMBER_WORDS, *COUNTRIES, *PEOPLES, "%", "percent"}
-    if token.get("POS") in ("SYM", "ADP"):
-        return None, set(SYMBOLS if token["POS"] == "SYM" else ADPOSITIONS)
-    return None, None
-
-
-def _disjoint(a: dict[str, Any], b: dict[str, Any]) -> bool:
-    """Can no token satisfy both?"""
-    (named_a, words_a), (named_b, words_b) = _vocabulary(a), _vocabulary(b)
-    if words_a is None or words_b is None or words_a & words_b:
-        return False
-    if named_a and named_b:
-        if named_a == named_b:
-            return True
-        forms, lemmas = (words_a, words_b) if named_a == "LOWER" else (words_b, words_a)
-        return not any(lemma in lemmas for w in forms for lemma in (LEMMA_OF.get(w, w), w[:-1], w[:-2], w[:-3] + "y"))
-    named = words_a if named_a else words_b if named_b else set()
-    return bool(named) and not any(ch.isdigit() for w in named for ch in w)
-
-
-def _implies(a: dict[str, Any], b: dict[str, Any]) -> bool:
-    """Does every token that satisfies ``a`` satisfy ``b``, a plain exclusion of words?"""
-    denied = b.get("LOWER", {})
-    _, words = _vocabulary(a)
-    return set(b) <= {"LOWER", "OP"} and isinstance(denied, dict) and words is not None and "LOWER" in a and not words & set(denied.get("NOT_IN", words))
-
-
-def _simplified(pattern: list[dict[str, Any]]) -> list[dict[str, Any]]:
-    """The same shortest matches with fewer loops.
-
-    Optional tokens at the end match nothing and a run at the end one token;
-    so does a run before free tokens, or one whose tokens may all stand for
-    the last token as well.
-    """
-    tokens = [dict(t) for t in pattern]
-    while tokens and tokens[-1].get("OP") in ("?", "*"):
-        tokens.pop()
-    for i, token in enumerate(tokens):
-        after = tokens[i + 1 :]
-        if token.get("OP") == "+" and (not after or after[0] == {"OP": "*"} or len(after) == 1 and _implies(token, after[0])):
-            del token["OP"]
-    return tokens
-
-
-def _pieces(tokens: list[dict[str, Any]]) -> list[str]:
-    """Regexes of the tokens, one by one; loops over tokens are possessive or single character classes where they can be.
-
-    Java walks possessive loops and character classes without recursion. A run
-    may take all its tokens if none of them can be the next required token.
-    """
-    out: list[str] = []
-    optional_any = 0
-    for i, token in enumerate([*tokens, None]):
-        if token is not None and token == {"OP": "?"}:
-            optional_any += 1
-            continue
-        if optional_any:
-            out.append(f"(?:{ANY_TOKEN}){{0,{optional_any}}}?")
-            optional_any = 0
-        if token is None:
-            break
-        atom, op = _atom(token), token.get("OP")
-        if op is None:
-            out.append(atom)
-        elif op == "!":
-            out.append(f"(?!{atom}){ANY_TOKEN}")
-        elif token == {"OP": "*"}:
-            out.append(FREE)
-        elif token == {"OP": "+"}:
-            out.append(ANY_TOKEN + FREE)
-        elif op == "?":
-            out.append(f"(?:{atom})??")
-        elif op in ("*", "+"):
-            needed = next((t for t in tokens[i + 1 :] if t.get("OP") not in ("?", "*")), None)
-            whole = needed is not None and not any(t == {"OP": "*"} for t in tokens[i + 1 :]) and _disjoint(token, needed)
-            out.append(f"(?:{atom}){op}{'+' if whole else '?'}")
-        else:
-            raise ValueError(f"unknown OP {op!r}")
-    return out
-
-
-def pattern_regex(pattern: list[dict[str, Any]]) -> str:
-    """A token pattern as a regex that prefers the shortest match."""
-    return "".join(_pieces(_simplified(pattern)))
-
-
-def bounds_regex(pattern: list[dict[str, Any]]) -> tuple[str | None, str | None]:
-    """What keeps a search linear on long texts: (the end of the last possible match, a scan for the first match).
-
-    With free tokens before its last token, a pattern is searched in the text
-    up to the last such token only: the first place where it can begin then
-    is a match. A pattern that begins with a run would be tried from each of
-    its tokens: the scan passes a run that leads nowhere as a whole. Its
-    first group is what stands before the match, its second the match.
-    """
-    tokens = _simplified(pattern)
-    pieces = _pieces(tokens)
-    free = [i for i, p in enumerate(pieces) if p.endswith(FREE)]
-    if free:
-        return (rf"\A[\s\S]*{pieces[-1]}" if len(pieces) == free[-1] + 2 else None), None
-    lead = next((i for i, t in enumerate(tokens) if t.get("OP") != "?"), 0)
-    # Tokens that are always optional come before their pieces one to one, but for ``any``.
-    if tokens and tokens[lead].get("OP") == "+" and {"OP": "?"} not in tokens[:lead] and pieces[lead].endswith("++"):
-        start = "".join(f"(?:{_atom(t)})?+" for t in tokens[:lead]) + pieces[lead]
-        rest = "".join(pieces[lead + 1 :])
-        return None, rf"\A((?:{start}(?!{rest})|(?!{start}){ANY_TOKEN}+)*+)({start}{rest})"
-    return None, None
-
-
-def phrase_regex(phrase: str) -> str:
-    """A phrase, equal token by token in lower case."""
-    return "".join(r"\x01" + literal_regex(t.lower()) + r"\x02[^\x01]*" for t in split_tokens(phrase))
-
-
-def compile_patterns(patterns: list[Any], kind: str = "text") -> list[str]:
-    """Regexes of all patterns of a metric; ``kind`` is ``text`` or ``phrase``."""
+from leafsift.operators.tokens import ENT_LETTERS, LEMMA_OF, NUMBER_WORDS, POS_LETTERS, split_tokens
+
+Token = dict[str, Any]
+
+ATTRIBUTES = {"LEMMA", "LOWER", "TEXT", "POS", "ENT_TYPE", "LIKE_NUM", "IS_PUNCT"}
+KNOWN = {"POS": POS_LETTERS, "ENT_TYPE": ENT_LETTERS}
+
+
+def checked(pattern: Sequence[Token]) -> list[Token]:
+    """A pattern as it is, if every token is of the language."""
+    for token in pattern:
+        if set(token) - ATTRIBUTES - {"OP"}:
+            raise ValueError(f"unsupported token attribute {sorted(set(token) - ATTRIBUTES - {'OP'})}")
+        if token.get("OP") not in (None, "?", "*", "+", "!"):
+            raise ValueError(f"unknown OP {token['OP']!r}")
+        for name in ATTRIBUTES & set(token):
+            spec = token[name]
+            if isinstance(spec, dict) and (len(spec) != 1 or set(spec) - ({"IN", "NOT_IN", "REGEX"} if name == "TEXT" else {"IN", "NOT_IN"})):
+                raise ValueError(f"unsupported predicate {spec!r}")
+            if isinstance(spec, dict) and "REGEX" in spec:
+                re.compile(spec["REGEX"])
+            words = [spec] if not isinstance(spec, dict) else [w for v in spec.values() if not isinstance(v, str) for w in v]
+            unknown = [w for w in words if name in KNOWN and w not in KNOWN[name]]
+            if unknown:
+                raise ValueError(f"the annotation has no {unknown}")
+    return list(pattern)
+
+
+def token_patterns(patterns: list[Any], kind: str = "text") -> list[list[Token]]:
+    """All patterns of a metric as token predicates; ``kind`` is ``text`` or ``phrase`` (equal token by token in lower case)."""
     if not isinstance(patterns, list):
         raise ValueError("patterns must be a list")
     if kind == "text":
-        return [pattern_regex(p) for p in patterns]
+        return [checked(p) for p in patterns]
     if kind == "phrase":
-        return [phrase_regex(p) for p in patterns]
+        return [[{"LOWER": t.lower()} for t in split_tokens(p)] for p in patterns]
     raise ValueError(f"{kind!r} is not a pattern kind")
 
 
-def searches(patterns: list[Any], kind: str = "text") -> list[tuple[str, str | None, str | None]]:
-    """For each pattern of a metric its regex with the ``bounds_regex`` that go with it."""
-    bounds = [bounds_regex(p) if kind == "text" else (None, None) for p in patterns]
-    return [(regex, *more) for regex, more in zip(compile_patterns(patterns, kind), bounds)]
-
-
 def _stems(token: dict[str, Any]) -> set[str] | None:
     """Beginnings of every word a required token can be, or None if it can be anything."""
     if token.get("OP") not in (None, "+"):

@@ -111,6 +111,54 @@ def lemma_of(word: Column) -> Column:
     )
 
 
+class WordFacts:
+    """The same rules for one raw token at a time, inside tasks: ``(text, lower, lemma, pos, like_num, is_punct, ent)``.
+
+    The entity is None where it depends on the neighbours; ``entity`` then
+    tells it from theirs. Facts are remembered per token, up to a bound.
+    """
+
+    def __init__(self, most: int = 1 << 17):
+        self.most, self.known = most, {}
+        self.numeral = re.compile(NUMERAL.replace("$", r"\Z"), re.ASCII).match
+        self.endings = tuple(NOUN_ENDINGS)
+        self.plurals = [(re.compile(rule + r"\Z").match, cut, end) for rule, cut, end in (
+            ("[a-z]{2,}ies", 3, "y"), ("[a-z]+(?:ss|sh|ch|x|z)es", 2, ""), ("[a-z]+[^siu]s", 1, ""))]
+
+    def __call__(self, raw: str) -> tuple:
+        found = self.known.get(raw)
+        if found is None:
+            if len(self.known) > self.most:
+                self.known.clear()
+            found = self.known[raw] = self._facts(raw)
+        return found
+
+    def _lemma(self, low: str) -> str:
+        if low in LEMMA_OF:
+            return LEMMA_OF[low]
+        if low.endswith("s"):
+            for fits, cut, end in self.plurals:
+                if fits(low):
+                    return low[:-cut] + end
+        return low
+
+    def _facts(self, raw: str) -> tuple:
+        text = raw if raw.startswith(" ") else raw.rstrip(" ")
+        low = text.lower()
+        number = low in NUMBER_WORDS or self.numeral(low) is not None
+        pos = ("NUM" if number else "ADP" if low in ADPOSITIONS else "SYM" if low in SYMBOLS else "PUNCT" if low in PUNCTUATION
+               else "SPACE" if low.startswith(" ") else "NOUN" if low.endswith(self.endings) else "X")
+        ent = None if number or low in ("%", "percent") else "GPE" if low in COUNTRIES else "NORP" if low in PEOPLES else ""
+        return text, low, self._lemma(low), pos, number, low in PUNCTUATION, ent
+
+    def entity(self, word: tuple, before: tuple | None, after: tuple | None) -> str:
+        if word[4]:
+            if after and after[1] in ("%", "percent"):
+                return "PERCENT"
+            return "MONEY" if before and before[1] in CURRENCIES else "CARDINAL"
+        return "PERCENT" if before and before[4] else ""
+
+
 def surface_forms(raw: Column) -> Column:
     """``ARRAY<STRUCT<text, lower, like_num>>`` from raw tokens."""
 

@@ -8,7 +8,7 @@ from leafsift.plans.registry import METRICS, get_keywords
 from leafsift.plans.training import NB_ALPHA, NGRAM_HIGHS, SGD_ALPHA, SVC_C
 from leafsift_checks import token_patterns as P
 from leafsift_checks.derived import report_blocks_sql
-from leafsift_checks.queries import ADHOC, ASSESSED, FREE, LONG_PHRASES, NO_NEGATION
+from leafsift_checks.queries import ADHOC, ASSESSED, FREE, LONG_PHRASES
 
 ORACLE: dict[str, str] = {}
 
@@ -188,19 +188,46 @@ TOKENS = [
 ]
 ORACLE["m01_annotate_tokens"] = ctes(*CLEANED, *TOKENS) + """SELECT filename, page, paragraph,
    translate(e, chr(1) || chr(2) || chr(3) || chr(4), chr(10) || '|/~') AS encoded FROM enc"""
-ORACLE["m02_pattern_hits"] = ctes(*CLEANED, *TOKENS) + "SELECT " + ", ".join(
-    f"count(*) FILTER (regexp_matches(e, {q(r)})) AS {m}_{i}"
-    for m in NO_NEGATION for i, r in enumerate(P.compile_patterns(METRICS[m].patterns, METRICS[m].kind))) + " FROM enc"
+# Patterns with negated tokens, stated on token rows: where each match starts, its length, the pattern's number.
+_KEY = "a.filename = z.filename AND a.page = z.page AND a.paragraph = z.paragraph"
+_CONTRACTORS = f"""SELECT a.filename, a.page, a.paragraph, a.i - 1 AS st, z.i - a.i + 1 AS n,
+     CASE WHEN a.lemma = 'contractor' THEN 1 WHEN a.ent IN ('C', 'P') THEN 0 ELSE 2 END AS pat
+   FROM tk a JOIN tk z ON {_KEY}
+   LEFT JOIN tk y ON a.filename = y.filename AND a.page = y.page AND a.paragraph = y.paragraph AND y.i = a.i + 1
+   WHERE ((a.ent IN ('C', 'P') OR a.lemma = 'number') AND z.lemma = 'contractor' AND z.i - a.i BETWEEN 2 AND 6 AND y.lemma <> 'employee')
+      OR (a.lemma = 'contractor' AND z.ent IN ('C', 'P') AND z.i - a.i BETWEEN 1 AND 5)"""
+# A run of the first words, one of the second, any other than the third: the run's first word is where it starts.
+_HEALTH = f"""SELECT a.filename, a.page, a.paragraph, a.i - a.run AS st, a.run + 2 AS n, 0 AS pat
+   FROM (SELECT *, row_number() OVER (PARTITION BY filename, page, paragraph, i - k ORDER BY i) AS run FROM (
+     SELECT *, row_number() OVER (PARTITION BY filename, page, paragraph ORDER BY i) AS k FROM tk
+     WHERE lo IN ('medical', 'health', 'healthcare', 'health care', 'life'))) a
+   JOIN tk z ON {_KEY} AND z.i = a.i + 1
+   JOIN tk y ON a.filename = y.filename AND a.page = y.page AND a.paragraph = y.paragraph AND y.i = a.i + 2
+   WHERE z.lo IN ('insurance', 'benefits', 'scheme', 'assurance', 'cover', 'protection')
+     AND y.lo NOT IN ('limited', 'business', 'no', 'co', 'ltd', 'risk', 'liabilites', 'company', 'products')"""
+NEGATED = {"n_contractors": _CONTRACTORS, "healthcare": _HEALTH}
+
+
+def _hits(metric: str) -> list[str]:
+    """For each pattern of a metric, the number of blocks it hits."""
+    m = METRICS[metric]
+    if metric in NEGATED:
+        return [f"(SELECT count(DISTINCT (filename, page, paragraph)) FROM ({NEGATED[metric]}) WHERE pat = {i}) AS {metric}_{i}" for i in range(len(m.patterns))]
+    return [f"(SELECT count(*) FROM enc WHERE regexp_matches(e, {q(r)})) AS {metric}_{i}" for i, r in enumerate(P.compile_patterns(m.patterns, m.kind))]
+
+
+ORACLE["m02_pattern_hits"] = ctes(*CLEANED, *TOKENS) + "SELECT " + ", ".join(h for m in METRICS for h in _hits(m))
 
 
 def match_ctes(metric: str, name: str = "mt") -> list[tuple[str, str]]:
     """First match per block on selected pages: lowest start, shortest, pattern order."""
     m = METRICS[metric]
-    per = " UNION ALL ".join(
+    per = "" if metric in NEGATED else " UNION ALL ".join(
         f"SELECT filename, page, paragraph, e, regexp_extract(e, {q(r)}) AS mm, {i} AS pat FROM enc WHERE regexp_matches(e, {q(r)})"
         for i, r in enumerate(P.compile_patterns(m.patterns, m.kind)))
+    places = f"SELECT *, len(string_split(left(e, strpos(e, mm) - 1), chr(1))) - 1 AS st, len(string_split(mm, chr(1))) - 1 AS n FROM ({per})"
     return [
-        (name + "0", f"SELECT *, len(string_split(left(e, strpos(e, mm) - 1), chr(1))) - 1 AS st, len(string_split(mm, chr(1))) - 1 AS n FROM ({per})"),
+        (name + "0", NEGATED.get(metric, places)),
         (name + "1", f"SELECT filename, page, paragraph, min((st, n, pat)) AS f FROM {name}0 GROUP BY ALL"),
         (name + "h", hit_pages("c", m.keywords)),
         (name, f"""SELECT r.filename, replace(split_part(r.filename, '_Annual_Report_', 1), '_', ' ') AS name,
@@ -223,27 +250,13 @@ for _m in ("ltifr", "trifr", "ceo_pay_ratio", "parental_care"):
 
 ORACLE["s05_match_table"] = match_sql("ltifr")
 
-# Patterns with negated tokens, stated on token rows.
-_KEY = "a.filename = z.filename AND a.page = z.page AND a.paragraph = z.paragraph"
-_CONTRACTORS = f"""SELECT DISTINCT a.filename, a.page, a.paragraph FROM tk a JOIN tk z ON {_KEY}
-   LEFT JOIN tk y ON a.filename = y.filename AND a.page = y.page AND a.paragraph = y.paragraph AND y.i = a.i + 1
-   WHERE ((a.ent IN ('C', 'P') OR a.lemma = 'number') AND z.lemma = 'contractor' AND z.i - a.i BETWEEN 2 AND 6 AND y.lemma <> 'employee')
-      OR (a.lemma = 'contractor' AND z.ent IN ('C', 'P') AND z.i - a.i BETWEEN 1 AND 5)"""
-_HEALTH = f"""SELECT DISTINCT a.filename, a.page, a.paragraph FROM tk a JOIN tk z ON {_KEY} AND z.i = a.i + 1
-   JOIN tk y ON a.filename = y.filename AND a.page = y.page AND a.paragraph = y.paragraph AND y.i = a.i + 2
-   WHERE a.lo IN ('medical', 'health', 'healthcare', 'health care', 'life')
-     AND z.lo IN ('insurance', 'benefits', 'scheme', 'assurance', 'cover', 'protection')
-     AND y.lo NOT IN ('limited', 'business', 'no', 'co', 'ltd', 'risk', 'liabilites', 'company', 'products')"""
-NEGATED = {"n_contractors": _CONTRACTORS, "healthcare": _HEALTH}
-for _m, _sql in NEGATED.items():
-    ORACLE[f"m03_token_match_{_m}"] = ctes(*CLEANED, *TOKENS, ("f", _sql), ("h", hit_pages("c", get_keywords(_m)))) + """
-      SELECT c.* FROM c SEMI JOIN f ON c.filename = f.filename AND c.page = f.page AND c.paragraph = f.paragraph
-      SEMI JOIN h ON c.filename = h.filename AND c.page = h.page"""
+for _m in NEGATED:
+    ORACLE[f"m03_token_match_{_m}"] = match_sql(_m)
 
 
 def _found(metric: str) -> str:
     if metric in NEGATED:
-        body = NEGATED[metric]
+        body = f"SELECT DISTINCT filename, page, paragraph FROM ({NEGATED[metric]})"
     else:
         m = METRICS[metric]
         anyof = "|".join(f"({r})" for r in P.compile_patterns(m.patterns, m.kind))
@@ -548,11 +561,6 @@ ORACLE["a06_assess_n_employees"] = ctes(*_EMP) + ALL_REPORTS
 
 def matched(metric: str) -> list[tuple[str, str]]:
     """Matches of a metric on its pages, as far as assessing needs them."""
-    if metric in NEGATED:
-        return [(f"f_{metric}", NEGATED[metric]), (f"h_{metric}", hit_pages("c", get_keywords(metric))), (f"m_{metric}", f"""
-          SELECT c.filename, c.page, c.paragraph, c.text FROM c
-          SEMI JOIN f_{metric} f ON c.filename = f.filename AND c.page = f.page AND c.paragraph = f.paragraph
-          SEMI JOIN h_{metric} h ON c.filename = h.filename AND c.page = h.page""")]
     return [*match_ctes(metric, f"n_{metric}"), (f"m_{metric}", f"SELECT filename, page, paragraph, text FROM n_{metric}")]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leafsift.functions import text as X
 from leafsift.operators import (
-    assembly, categories, cleaning, evaluate, features, linear, matching, naive_bayes, patterns, ranking, sampling,
+    assembly, automaton, categories, cleaning, evaluate, features, linear, matching, naive_bayes, ranking, sampling,
     selection, tokens,
 )
 from leafsift.plans import assess, training
@@ -259,17 +259,10 @@ def m01_annotate_tokens(spark, sf_dir):
 
 @query
 def m02_pattern_hits(spark, sf_dir):
-    """Blocks hit by each single pattern of the metrics without negated tokens."""
-    encoded = tokens.annotate(cleaned(spark, sf_dir)).select("encoded")
-    flags = []
-    for name in NO_NEGATION:
-        for i, regex in enumerate(patterns.compile_patterns(METRICS[name].patterns, METRICS[name].kind)):
-            flags.append(F.count_if(F.col("encoded").rlike(regex)).alias(f"{name}_{i}"))
-    return encoded.agg(*flags)
-
-
-NO_NEGATION = ["n_employees", "company_gender_diversity", "n_fatalities", "company_ethnic_diversity",
-               "international_diversity", "ceo_pay_ratio", "parental_care", "ltifr", "trifr"]
+    """Blocks hit by each single pattern of all metrics: every pattern is a set of its own in one automaton."""
+    named = {f"{m.name}_{i}": ([p], m.kind) for m in METRICS.values() for i, p in enumerate(m.patterns)}
+    found = automaton.with_matches(cleaned(spark, sf_dir).select("text"), list(named.values()), "text")
+    return found.agg(*[F.count_if(F.array_contains("_found.set", F.lit(i))).alias(name) for i, name in enumerate(named)])
 
 
 def _match_query(metric: str) -> Query:
@@ -278,18 +271,12 @@ def _match_query(metric: str) -> Query:
     return run
 
 
-def _presence_query(metric: str) -> Query:
-    def run(spark, sf_dir):
-        return matching.match_table(cleaned(spark, sf_dir), metric).select("filename", "page", "paragraph", "text")
-    return run
-
-
 for _m in ("n_employees", "company_gender_diversity", "n_fatalities", "company_ethnic_diversity", "international_diversity"):
     QUERIES[f"m06_match_table_{_m}"] = _match_query(_m)
 for _m in ("ltifr", "trifr", "ceo_pay_ratio", "parental_care"):
     QUERIES[f"m04_phrase_match_{_m}"] = _match_query(_m)
 for _m in ("n_contractors", "healthcare"):
-    QUERIES[f"m03_token_match_{_m}"] = _presence_query(_m)
+    QUERIES[f"m03_token_match_{_m}"] = _match_query(_m)
 
 
 @query

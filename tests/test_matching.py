@@ -1,9 +1,10 @@
 import random
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 import pytest
-from leafsift.operators import matching, patterns, selection, tokens
+from leafsift.operators import automaton, matching, patterns, selection, tokens
 from leafsift.plans.registry import METRICS, get_keywords, get_metric, get_patterns, with_patterns
 from pyspark.sql import functions as F
 from restated import first_match, phrase_patterns
@@ -48,11 +49,41 @@ def test_quantifiers_one_by_one(spark):
     rows, tokenised = annotated(spark, texts)
     for op in (None, "?", "*", "+", "!"):
         pattern = [{"LOWER": "a"}, {"LOWER": "b", **({"OP": op} if op else {})}, {"LOWER": "c", "OP": "?"}]
-        regex = patterns.pattern_regex(pattern)
-        found = {r["text"] for r in tokens.annotate(rows).filter(F.col("encoded").rlike(regex)).collect()}
+        found = {r["text"] for r in automaton.with_matches(rows.withColumn("of", F.col("text")), [([pattern], "text")], "of")
+                 .filter(F.size("_found") > 0).collect()}
         assert found == {t for t, toks in tokenised if first_match(toks, [pattern])}, op
 
 
+def test_facts_equal_the_column_rules(spark):
+    """The tasks' rules and the column expressions annotate alike."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([*WORDS, "buses", "boxes", "series", "U.S.", "glass's", "a  b", "...", "3.5x", "%", "usd", "ies"], k=12)) for _ in range(200)]
+    _, tokenised = annotated(spark, texts)
+    facts = tokens.WordFacts()
+    for text, toks in tokenised:
+        raw = re.findall(tokens.TOKEN, text, re.ASCII)
+        words = [facts(t) for t in raw]
+        for i, (word, want) in enumerate(zip(words, toks, strict=True)):
+            ent = word[6] if word[6] is not None else facts.entity(word, words[i - 1] if i else None, words[i + 1] if i + 1 < len(words) else None)
+            assert (*word[:4], ent, *word[4:6]) == tuple(want[k] for k in ("text", "lower", "lemma", "pos", "ent", "like_num", "is_punct"))
+
+
+def test_automaton_equals_brute_force_on_random_patterns():
+    rng = random.Random(11)
+    letters = "abcd"
+    for _ in range(150):
+        sets = [[[{"LOWER": rng.choice([*letters, {"IN": ["a", "b"]}, {"NOT_IN": ["c"]}]), **({"OP": op} if (op := rng.choice([None, None, "?", "*", "+", "!"])) else {})}
+                  for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 3))] for _ in range(3)]
+        machine = automaton.Automaton(sets)
+        for _ in range(12):
+            toks = [{"text": w, "lower": w, "lemma": w, "pos": "X", "ent": "", "like_num": False, "is_punct": False} for w in rng.choices(letters, k=rng.randint(0, 9))]
+            kinds = [machine.class_of(tuple(t.values())) for t in toks]
+            got = {s: (a, a + n, p) for s, a, n, p in machine.first_matches(kinds)}
+            # A pattern of optional tokens alone matches nothing.
+            want = {s: first_match(toks, [p if any(t.get("OP") not in ("?", "*") for t in p) else [{"LOWER": "zz"}] for p in ps]) for s, ps in enumerate(sets)}
+            assert got == {s: w for s, w in want.items() if w}
+
+
 def test_negated_token_consumes_one(spark):
     rows, _ = annotated(spark, ["50 contractors", "50 agency contractors", "50 employee contractors"])
     got = {r["text"] for r in matching.match_blocks(rows, ["n_contractors"]).collect()}
@@ -86,11 +117,12 @@ def test_registry_errors():
     with pytest.raises(ValueError):
         get_patterns(["a", "list"])
     with pytest.raises(ValueError):
-        patterns.compile_patterns("no list", "text")
-    with pytest.raises(ValueError):
-        patterns.compile_patterns([], "other")
+        patterns.token_patterns("no list", "text")
     with pytest.raises(ValueError):
-        patterns.pattern_regex([{"SHAPE": "dd"}])
+        patterns.token_patterns([], "other")
+    for wrong in ({"SHAPE": "dd"}, {"POS": "VERB"}, {"LOWER": "a", "OP": "{2}"}, {"LEMMA": {"FUZZY": "a"}}):
+        with pytest.raises(ValueError):
+            patterns.checked([wrong])
     assert get_keywords(["x"]) == ["x"]
     assert with_patterns("ceo_pay_ratio", ["remuneration"]).patterns == ["remuneration"]
 
