@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leafsift.functions.distributed import fixed_columns, salted_semi_join
 from leafsift.operators.automaton import with_matches
 from leafsift.operators.patterns import quick_regex, token_patterns
-from leafsift.operators.selection import PAGE, block_hits, wider_hits
+from leafsift.operators.selection import PAGE, block_notes, noted_hits
 from leafsift.plans.registry import Metric, get_metric
 from leafsift.session import materialise
 from leafsift.sources.reports import report_name, report_year
@@ -82,18 +82,15 @@ def match_table(
     chosen = [get_metric(m) for m in ([metrics] if isinstance(metrics, (str, Metric)) else metrics)]
     keywords = {m.name: m.keywords for m in chosen}
     marked, sets, names = _marked(cleaned, chosen, annotator)
-    hits = F.array_compact(F.array(*block_hits(keywords)))
-    likely = fixed_columns(marked, _hits=hits, _read=F.col("_of")).filter((F.size("_hits") > 0) | F.col("_read").isNotNull())
-    # Only what a pattern may match is read as text; the rest are page keys.
-    likely = likely.select(*PAGE, "paragraph", "_hits", F.when(F.col("_read").isNotNull(), F.col("text")).alias("text"), "_read")
-    noted = with_matches(likely, sets, "_read").filter((F.size("_hits") > 0) | (F.size("_found") > 0))
+    notes = block_notes(keywords)
+    # Only what a pattern may match is read as text; of the other blocks the notes go on, if they can matter.
+    likely = fixed_columns(marked, **notes, _read=F.col("_of"))
+    if len(notes) == 1:
+        likely = likely.filter((F.size("_hits") > 0) | F.col("_read").isNotNull())
+    likely = likely.select(*PAGE, "paragraph", *notes, F.when(F.col("_read").isNotNull(), F.col("text")).alias("text"), "_read")
+    noted = with_matches(likely, sets, "_read")
     noted = materialise(noted.withColumn("text", F.when(F.size("_found") > 0, F.col("text"))))
-    pages = noted.select(*PAGE, F.explode_outer("_hits").alias("_names")).select(
-        *PAGE, F.explode_outer("_names").alias("metric")
-    )
-    for more in wider_hits(cleaned, keywords):
-        pages = pages.unionByName(more)
-    pages = pages.filter(F.col("metric").isNotNull()).distinct()
+    pages = noted_hits(noted, cleaned, keywords)
     selected = salted_semi_join(_spans(noted, names), pages, [*PAGE, "metric"], F.col("paragraph"))
     # Name and year are part of the file name: no join with the reports.
     return selected.select(

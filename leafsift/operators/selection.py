@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafsift.functions.distributed import explode_rows, rank_rows, salted_semi_join
-from leafsift.functions.text import literal_regex
+from leafsift.functions.distributed import explode_rows, fixed_columns, rank_rows, salted_semi_join
 from leafsift.plans.registry import Metric, get_keywords
 from leafsift.session import materialise
 
@@ -37,42 +37,56 @@ def split_keywords(keywords: Sequence[str]) -> tuple[list[str], list[str], list[
 
 
 def any_keyword(text: Column, keywords: Sequence[str]) -> Column:
-    """Is a keyword found in the lower-cased text? One literal regex, compiled once per task."""
-    parts = [literal_regex(k) if _PLAIN.fullmatch(k) else f"(?:{k})" for k in keywords]
-    return F.lower(text).rlike("|".join(parts))
+    """Is a keyword found in the lower-cased text? Plain ones are looked up as they are, free ones as one literal regex."""
+    low = F.lower(text)
+    found = [F.contains(low, F.lit(k)) for k in keywords if _PLAIN.fullmatch(k)]
+    free = [f"(?:{k})" for k in keywords if not _PLAIN.fullmatch(k)]
+    return reduce(Column.__or__, found + ([low.rlike("|".join(free))] if free else []))
 
 
-def _each(names: Sequence[str]) -> Column:
-    return F.explode_outer(F.array(*map(F.lit, names))).alias("metric")
+def _across(keywords: Mapping[str, Sequence[str]]) -> list[tuple[list[str], list[str]]]:
+    """Phrases that may run over a block end, with the metrics that ask for them."""
+    groups = [(names, split_keywords(words)[1]) for words, names in keyword_groups(keywords).items()]
+    return [(names, phrases) for names, phrases in groups if phrases]
 
 
-def _hits_across(blocks: DataFrame, names: Sequence[str], phrases: Sequence[str]) -> DataFrame:
-    """Pages where a phrase runs over a block end.
+def block_notes(keywords: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+    """What one pass over the text notes of a block.
 
-    Only the first and last characters of a block matter, and only on pages
-    with a block that ends like the front of a phrase and one that begins like
-    the rest. There, every block joins at most as many short neighbourhoods as
-    a phrase has spaces, plus its own. A block inside a phrase is there as a
-    whole: one that is longer than its piece ends in a mark that no phrase has.
+    ``_hits``: the metrics it hits by itself, a list per keyword list. If a phrase
+    may run over a block end, also whether the block ends like the front of a
+    phrase or begins like the rest, and then its first and last characters. A
+    block inside a phrase is a whole word of it, so it does both; one that is
+    longer than its piece ends in a mark that no phrase has, and so does a
+    block that does neither.
     """
-    reach = max(len(p) for p in phrases) - 1
-    steps = max(p.count(" ") for p in phrases)
-    cuts = [(p[:i], p[i + 1 :]) for p in phrases for i, ch in enumerate(p) if ch == " "]
-    # A block inside a phrase is a whole word of it: it begins and ends as asked here too.
-    fronts = "|".join(sorted({literal_regex(front.split(" ")[-1]) for front, _ in cuts}))
-    rests = "|".join(sorted({literal_regex(rest.split(" ")[0]) for _, rest in cuts}))
-    text = F.lower("text")
-    ending, beginning = text.rlike(rf"(?:{fronts})\z"), text.rlike(rf"\A(?:{rests})")
-    head = F.concat(F.left(text, F.lit(reach)), F.when(F.length(text) > reach, CUT).otherwise(""))
-    # One pass over the text leaves a short note per block; a block that neither ends nor begins as asked parts its neighbours.
-    ends = materialise(blocks.select(
-        *PAGE,
-        "paragraph",
-        ending.alias("_ending"),
-        beginning.alias("_beginning"),
-        F.when(ending | beginning, head).otherwise(CUT).alias("_head"),
-        F.when(ending, F.right(text, F.lit(reach))).otherwise(CUT).alias("_tail"),
-    ))
+    flags = []
+    for words, names in keyword_groups(keywords).items():
+        plain, _, _ = split_keywords(words)
+        if plain:
+            flags.append(F.when(any_keyword(F.col("text"), plain), F.array(*map(F.lit, names))))
+    notes = {"_hits": F.array_compact(F.array(*flags)) if flags else F.array().cast("array<array<string>>")}
+    phrases = [p for _, own in _across(keywords) for p in own]
+    if phrases:
+        reach = max(len(p) for p in phrases) - 1
+        cuts = [(p[:i], p[i + 1 :]) for p in phrases for i, ch in enumerate(p) if ch == " "]
+        text = F.lower("text")
+        ending = reduce(Column.__or__, [F.endswith(text, F.lit(w)) for w in sorted({front.split(" ")[-1] for front, _ in cuts})])
+        beginning = reduce(Column.__or__, [F.startswith(text, F.lit(w)) for w in sorted({rest.split(" ")[0] for _, rest in cuts})])
+        head = F.concat(F.left(text, F.lit(reach)), F.when(F.length(text) > reach, CUT).otherwise(""))
+        notes |= {"_ending": ending, "_beginning": beginning, "_head": F.when(ending | beginning, head).otherwise(CUT),
+                  "_tail": F.when(ending, F.right(text, F.lit(reach))).otherwise(CUT)}
+    return notes
+
+
+def _hits_across(ends: DataFrame, groups: Sequence[tuple[list[str], list[str]]]) -> DataFrame:
+    """Pages where a phrase runs over a block end, from the written notes of all blocks.
+
+    Only pages count with a block that ends like the front of a phrase and one
+    that begins like the rest. There, every block joins at most as many short
+    neighbourhoods as a phrase has spaces, plus its own.
+    """
+    steps = max(p.count(" ") for _, phrases in groups for p in phrases)
     likely = (
         ends.filter(F.col("_ending") | F.col("_beginning"))
         .groupBy(*PAGE)
@@ -80,8 +94,7 @@ def _hits_across(blocks: DataFrame, names: Sequence[str], phrases: Sequence[str]
         .filter("_ending AND _beginning")
         .select(*PAGE)
     )
-    ends = ends.drop("_ending", "_beginning")
-    few = materialise(salted_semi_join(ends, likely, PAGE, F.col("paragraph")))
+    few = materialise(salted_semi_join(ends.select(*PAGE, "paragraph", "_head", "_tail"), likely, PAGE, F.col("paragraph")))
     placed = rank_rows(
         few.withColumn("_paras", F.floor(F.col("paragraph") / 1024)), PAGE, [["_paras"]], ["paragraph"], "_at"
     )
@@ -94,17 +107,19 @@ def _hits_across(blocks: DataFrame, names: Sequence[str], phrases: Sequence[str]
         "_head",
         "_tail",
     ).select(*PAGE, "_from", piece.alias("_piece"))
-    # At most ``steps + 1`` pieces per group, of at most ``reach`` characters each.
+    # At most ``steps + 1`` pieces per group, of at most the longest phrase's length each.
     joined = pieces.groupBy(*PAGE, "_from").agg(F.sort_array(F.collect_list("_piece")).alias("_p"))
-    around = F.array_join(F.transform("_p", lambda p: p["t"]), " ")
-    return joined.filter(any_keyword(around, phrases)).select(*PAGE, _each(names)).distinct()
+    around = joined.withColumn("_around", F.array_join(F.transform("_p", lambda p: p["t"]), " "))
+    found = [F.when(any_keyword(F.col("_around"), phrases), F.array(*map(F.lit, names))) for names, phrases in groups]
+    named = explode_rows(around, F.array(*found), "_names")
+    return named.select(*PAGE, F.explode_outer("_names").alias("metric")).distinct()
 
 
 def _hits_whole_page(blocks: DataFrame, names: Sequence[str], patterns: Sequence[str]) -> DataFrame:
     """Pages where a free regex is found in the page text; such a regex needs the text as one value."""
     pages = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("paragraph", "text"))).alias("_b"))
     text = F.array_join(F.transform("_b", lambda b: b["text"]), " ")
-    return pages.filter(any_keyword(text, patterns)).select(*PAGE, _each(names))
+    return pages.filter(any_keyword(text, patterns)).select(*PAGE, F.explode_outer(F.array(*map(F.lit, names))).alias("metric"))
 
 
 def keyword_groups(keywords: Mapping[str, Sequence[str]]) -> dict[tuple[str, ...], list[str]]:
@@ -115,40 +130,28 @@ def keyword_groups(keywords: Mapping[str, Sequence[str]]) -> dict[tuple[str, ...
     return groups
 
 
-def block_hits(keywords: Mapping[str, Sequence[str]]) -> list[Column]:
-    """For each keyword list: the metrics a block hits by itself, or null."""
-    flags = []
-    for words, names in keyword_groups(keywords).items():
-        plain, _, _ = split_keywords(words)
-        if plain:
-            flags.append(F.when(any_keyword(F.col("text"), plain), F.array(*map(F.lit, names))))
-    return flags
-
-
-def wider_hits(blocks: DataFrame, keywords: Mapping[str, Sequence[str]]) -> list[DataFrame]:
-    """Page hits of keywords that may run over a block end, one DataFrame per kind and list."""
-    more = []
+def noted_hits(noted: DataFrame, blocks: DataFrame, keywords: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``filename, page, metric`` from the notes; free regexes look at ``blocks``."""
+    named = explode_rows(noted, F.col("_hits"), "_names").select(*PAGE, "_names").distinct()
+    hits = named.select(*PAGE, F.explode_outer("_names").alias("metric"))
+    groups = _across(keywords)
+    if groups:
+        hits = hits.unionByName(_hits_across(noted, groups))
     for words, names in keyword_groups(keywords).items():
-        _, across, free = split_keywords(words)
-        if across:
-            more.append(_hits_across(blocks, names, across))
+        _, _, free = split_keywords(words)
         if free:
-            more.append(_hits_whole_page(blocks, names, free))
-    return more
+            hits = hits.unionByName(_hits_whole_page(blocks, names, free))
+    return hits.distinct()
 
 
 def page_hits(blocks: DataFrame, keywords: Mapping[str, Sequence[str]]) -> DataFrame:
     """``filename, page, metric`` for many metrics in one pass over the text."""
-    flags, more = block_hits(keywords), wider_hits(blocks, keywords)
-    hits = None
-    if flags:
-        found = explode_rows(blocks, F.array(*flags), "_names").select(*PAGE, "_names").distinct()
-        hits = found.select(*PAGE, F.explode_outer("_names").alias("metric"))
-    for extra in more:
-        hits = extra if hits is None else hits.unionByName(extra)
-    if hits is None:
+    if not any(keywords.values()):
         raise ValueError("no keywords given")
-    return hits.distinct() if more else hits
+    notes = block_notes(keywords)
+    noted = fixed_columns(blocks.select(*PAGE, "paragraph", "text"), **notes).select(*PAGE, "paragraph", *notes)
+    # Notes that are read more than once are written: they are short, and the text is read once.
+    return noted_hits(materialise(noted) if len(notes) > 1 else noted, blocks, keywords)
 
 
 def select_pages(blocks: DataFrame, metric: str | list[str] | Metric) -> DataFrame:
