@@ -1,21 +1,30 @@
 """Text features: cleaned text, words, n-gram counts, length-normalised weights.
 
 A passage is one row, so its words, n-grams and counts are made within the
-row; nothing is shuffled before terms are.
+row, Arrow batch by Arrow batch; nothing is shuffled before terms are. A
+word's lemma is found once per task, whatever the number of its occurrences.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from leafsift.functions.distributed import explode_rows
-from leafsift.functions.text import col, strip
+from leafsift.functions.lemmas import lemma
+from leafsift.functions.text import strip
 from leafsift.functions.words import PRONOUNS, STOP_WORDS, SYMBOLS
-from leafsift.operators.tokens import lemma_of
 
-# Numbers with inner points or commas, words of any script, ellipses, any other single character.
-WORD = r"(\p{Nd}+(?:[.,]\p{Nd}+)*+|[\p{L}\p{M}\p{N}_]+|\.{3}|[^\s\p{Z}\p{L}\p{M}\p{N}_])"
+# Numbers with inner points or commas, words of any script, ellipses, any other single character that is not white space.
+WORD = r"\p{Nd}+(?:[.,]\p{Nd}+)*+|[\p{L}\p{M}\p{N}_]+|\.{3}|[^ \t\n\x0b\f\r\p{Z}\p{L}\p{M}\p{N}_]"
+# Words that a task remembers before it starts anew.
+MOST = 1 << 18
 
 
 def clean_text(text: Column | str) -> Column:
@@ -23,13 +32,38 @@ def clean_text(text: Column | str) -> Column:
     return F.lower(F.translate(strip(text), "\n\r", "  "))
 
 
+class _Reader:
+    """Lemmas of the words of a cleaned text (pronouns as they are), without stop words and symbols."""
+
+    def __init__(self):
+        self.split, self.known = regex.compile(WORD).findall, {}
+        self.dropped, self.pronouns = frozenset(STOP_WORDS + SYMBOLS), frozenset(PRONOUNS)
+
+    def __call__(self, text: str) -> list[str]:
+        known, out = self.known, []
+        if len(known) > MOST:
+            known.clear()
+        for w in self.split(text):
+            found = known.get(w)
+            if found is None:
+                found = w if w in self.pronouns else lemma(w)
+                # The empty string stands for a word that is left out.
+                found = known[w] = "" if found in self.dropped else found
+            if found:
+                out.append(found)
+        return out
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    read = _Reader()
+    for texts in batches:
+        yield pa.array([None if t is None else read(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
 def words(text: Column | str) -> Column:
     """Lemmas of the lower-cased words (pronouns as they are), without stop words and symbols."""
-    found = F.regexp_extract_all(clean_text(text), F.lit(WORD), F.lit(1))
-    lemmas = F.transform(found, lambda w: F.when(w.isin(PRONOUNS), w).otherwise(lemma_of(w)))
-    # Except with a literal list would drop repeats; the filter keeps them.
-    dropped = [F.lit(w) for w in STOP_WORDS + SYMBOLS]
-    return F.filter(lemmas, lambda w: ~w.isin(dropped))
+    return _words(clean_text(text))
 
 
 def joined_words(text: Column | str) -> Column:
@@ -37,45 +71,31 @@ def joined_words(text: Column | str) -> Column:
     return F.array_join(F.filter(words(text), lambda w: ~w.isin(PRONOUNS)), " ")
 
 
-def _gram(tokens: Column, n: int):
-    """The n-gram that starts at a word; ``tokens`` must be a column, not an expression."""
-
-    def gram(word: Column, i: Column) -> Column:
-        return F.concat_ws(" ", word, *[F.get(tokens, i + k) for k in range(1, n)])
-
-    return gram
-
-
-def ngrams(tokens: Column, low: int, high: int) -> Column:
+def ngrams(tokens: list[str], low: int, high: int) -> Iterator[str]:
     """All n-grams with ``low <= n <= high``, words joined by a space."""
-    parts = []
     for n in range(low, high + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        heads = F.slice(tokens, 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
-        parts.append(F.transform(heads, _gram(tokens, n)))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+        yield from tokens if n == 1 else map(" ".join, zip(*(tokens[i:] for i in range(n))))
 
 
 def term_counts(df: DataFrame, text: str = "text", ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
-    """Add ``terms ARRAY<STRUCT<term, n>>``, the n-gram counts of each row, sorted by term."""
+    """Add ``terms ARRAY<STRUCT<term, n>>``, the n-gram counts of each row, sorted by term; empty for a null text."""
     low, high = ngram_range
-    grams = df.withColumn("_w", words(text)).withColumn("_g", F.sort_array(ngrams(F.col("_w"), low, high)))
-    # Runs of equal terms in the sorted list: where each starts, then how far it goes.
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("_g") - 1),
-        lambda i: (i == 0) | (F.get("_g", i) != F.get("_g", i - 1)),
-    )
-    runs = grams.withColumn("_s", F.when(F.size("_g") > 0, starts).otherwise(F.array().cast("array<int>")))
-    terms = F.transform(
-        "_s",
-        lambda s, j: F.struct(
-            F.get("_g", s).alias("term"),
-            (F.coalesce(F.get("_s", j + 1), F.size("_g")) - s).cast("bigint").alias("n"),
-        ),
-    )
-    return runs.withColumn("terms", terms).drop("_w", "_g", "_s")
+
+    @F.arrow_udf(ArrayType(StructType([StructField("term", StringType()), StructField("n", LongType())])))
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        read = _Reader()
+        for texts in batches:
+            terms, counts, ends = [], [], [0]
+            for t in texts.to_pylist():
+                found = Counter(ngrams(read(t or ""), low, high))
+                order = sorted(found)
+                terms += order
+                counts += [found[w] for w in order]
+                ends.append(len(terms))
+            entries = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["term", "n"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+
+    return df.withColumn("terms", counted(clean_text(text)))
 
 
 def norm(terms: Column | str) -> Column:

@@ -11,8 +11,9 @@ import re
 from collections.abc import Sequence
 from typing import Any
 
+from leafsift.functions.lemmas import FORMS
 from leafsift.functions.text import literal_regex
-from leafsift.operators.tokens import ENT_LETTERS, LEMMA_OF, NUMBER_WORDS, POS_LETTERS, split_tokens
+from leafsift.operators.tokens import ENT_LETTERS, NUMBER_WORDS, POS_LETTERS, split_tokens
 
 Token = dict[str, Any]
 
@@ -62,9 +63,9 @@ def _stems(token: dict[str, Any]) -> set[str] | None:
             continue
         stems = {w.strip() for w in words}
         if attribute == "LEMMA":
-            # Plurals end in s, es or ies; other forms are listed.
-            stems |= {w[:-1] for w in words if w.endswith("y")}
-            stems |= {form for form, lemma in LEMMA_OF.items() if lemma in words}
+            # Forms keep the word but for a last y or e; other forms are listed.
+            stems |= {w[:-1] for w in words if w.endswith(("y", "e"))}
+            stems |= {form for form, lemma in FORMS.items() if lemma in words}
         return stems
     if token.get("LIKE_NUM") or token.get("ENT_TYPE") == "CARDINAL":
         return {"[0-9]"} | set(NUMBER_WORDS)

@@ -1,17 +1,22 @@
-"""Token annotation of cleaned blocks (printable ASCII) with column expressions.
+"""Token annotation of cleaned blocks (printable ASCII), Arrow batch by Arrow batch.
 
 Lemmas, parts of speech and entities come from closed lists and suffix rules
 in place of a trained model, so they are approximations; ``annotator`` in
-``annotate`` takes a model-backed pandas UDF instead.
+``annotate`` takes a model-backed pandas UDF instead. A word's facts are found
+once per task, whatever the number of its occurrences.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Collection, Mapping
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+
+from leafsift.functions.lemmas import lemma
 
 # Possessive loops (``*+``) run without recursion in Java, however long a number is.
 # One token with the space after it; a further run of spaces is a token of its own.
@@ -47,41 +52,9 @@ PEOPLES = (
     "malaysian mexican nigerian norwegian polish portuguese romanian russian scottish spanish swedish swiss thai "
     "turkish ukrainian vietnamese welsh european asian african"
 ).split()
-# Word forms a suffix rule would get wrong.
-IRREGULAR = {
-    "be": "am is are was were been being 's 'm 're",
-    "have": "has had having 've",
-    "do": "does did done doing",
-    "die": "died dies dying",
-    "employ": "employs employed employing",
-    "hire": "hires hired hiring",
-    "work": "works worked working",
-    "represent": "represents represented representing",
-    "serve": "serves served serving",
-    "regret": "regrets regretted regretting",
-    "average": "averages averaged averaging",
-    "total": "totals totalled totalling totaled totaling",
-    "number": "numbers numbered numbering",
-    "man": "men",
-    "woman": "women",
-    "child": "children",
-    "people": "peoples",
-    "bus": "buses",
-    "this": "this",
-    "gas": "gas",
-    "always": "always",
-    "species": "species",
-    "series": "series",
-    "business": "businesses",
-    "process": "processes",
-}
-LEMMA_OF = {form: lemma for lemma, forms in IRREGULAR.items() for form in forms.split()}
-
-# One letter per flag in the encoded form, grouped so that letters of a group come in this order.
+# One letter per part of speech and entity.
 POS_LETTERS = {"ADP": "a", "SYM": "s", "NOUN": "n", "NUM": "d", "PUNCT": "p", "SPACE": "w", "X": "x"}
 ENT_LETTERS = {"CARDINAL": "C", "PERCENT": "P", "MONEY": "M", "GPE": "G", "NORP": "R", "": "O"}
-LIKE_NUM_LETTER = "N"
-IS_PUNCT_LETTER = "U"
 
 
 def split_tokens(text: str) -> list[str]:
@@ -90,29 +63,11 @@ def split_tokens(text: str) -> list[str]:
     return [t if t.startswith(" ") else t.rstrip(" ") for t in found]
 
 
-def raw_tokens(text: Column) -> Column:
-    """Tokens with their trailing space, so that joining them gives the text back."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
-
-
 NUMERAL = r"^(?:\d+(?:[.,]\d+)*+|\d+/\d+)$"
 
 
-def lemma_of(word: Column) -> Column:
-    """Lemma of a lower-cased word: irregular forms, then plural suffix rules."""
-    known = F.create_map(*[F.lit(x) for pair in LEMMA_OF.items() for x in pair])
-    return (
-        F.when(word.isin(list(LEMMA_OF)), F.try_element_at(known, word))
-        .when(~F.endswith(word, F.lit("s")), word)
-        .when(word.rlike("^[a-z]{2,}ies$"), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike("^[a-z]+(?:ss|sh|ch|x|z)es$"), F.regexp_replace(word, "es$", ""))
-        .when(word.rlike("^[a-z]+[^siu]s$"), F.regexp_replace(word, "s$", ""))
-        .otherwise(word)
-    )
-
-
 class WordFacts:
-    """The same rules for one raw token at a time, inside tasks: ``(text, lower, lemma, pos, like_num, is_punct, ent)``.
+    """The rules for one raw token at a time, inside tasks: ``(text, lower, lemma, pos, like_num, is_punct, ent)``.
 
     The entity is None where it depends on the neighbours; ``entity`` then
     tells it from theirs. Facts are remembered per token, up to a bound.
@@ -122,8 +77,6 @@ class WordFacts:
         self.most, self.known = most, {}
         self.numeral = re.compile(NUMERAL.replace("$", r"\Z"), re.ASCII).match
         self.endings = tuple(NOUN_ENDINGS)
-        self.plurals = [(re.compile(rule + r"\Z").match, cut, end) for rule, cut, end in (
-            ("[a-z]{2,}ies", 3, "y"), ("[a-z]+(?:ss|sh|ch|x|z)es", 2, ""), ("[a-z]+[^siu]s", 1, ""))]
 
     def __call__(self, raw: str) -> tuple:
         found = self.known.get(raw)
@@ -133,15 +86,6 @@ class WordFacts:
             found = self.known[raw] = self._facts(raw)
         return found
 
-    def _lemma(self, low: str) -> str:
-        if low in LEMMA_OF:
-            return LEMMA_OF[low]
-        if low.endswith("s"):
-            for fits, cut, end in self.plurals:
-                if fits(low):
-                    return low[:-cut] + end
-        return low
-
     def _facts(self, raw: str) -> tuple:
         text = raw if raw.startswith(" ") else raw.rstrip(" ")
         low = text.lower()
@@ -149,7 +93,7 @@ class WordFacts:
         pos = ("NUM" if number else "ADP" if low in ADPOSITIONS else "SYM" if low in SYMBOLS else "PUNCT" if low in PUNCTUATION
                else "SPACE" if low.startswith(" ") else "NOUN" if low.endswith(self.endings) else "X")
         ent = None if number or low in ("%", "percent") else "GPE" if low in COUNTRIES else "NORP" if low in PEOPLES else ""
-        return text, low, self._lemma(low), pos, number, low in PUNCTUATION, ent
+        return text, low, lemma(low), pos, number, low in PUNCTUATION, ent
 
     def entity(self, word: tuple, before: tuple | None, after: tuple | None) -> str:
         if word[4]:
@@ -159,141 +103,32 @@ class WordFacts:
         return "PERCENT" if before and before[4] else ""
 
 
-def surface_forms(raw: Column) -> Column:
-    """``ARRAY<STRUCT<text, lower, like_num>>`` from raw tokens."""
-
-    def one(t: Column) -> Column:
-        text = F.when(F.startswith(t, F.lit(" ")), t).otherwise(F.rtrim(t))
-        low = F.lower(text)
-        return F.struct(text.alias("text"), low.alias("lower"), (low.isin(NUMBER_WORDS) | low.rlike(NUMERAL)).alias("like_num"))
-
-    return F.transform(raw, one)
-
-
-def _entity(forms: Column, t: Column, i: Column, say: Mapping[str, str]) -> Column:
-    """Entity of a token, worded by ``say``, from the token and its neighbours (null beyond the ends)."""
-    low, number = t["lower"], t["like_num"]
-    before, after = F.when(i > 0, F.get(forms, i - 1)), F.get(forms, i + 1)["lower"]
-    percent = F.coalesce(after.isin("%", "percent"), F.lit(False))
-    money = F.coalesce(before["lower"].isin(CURRENCIES), F.lit(False))
-    return (
-        F.when(number, F.when(percent, say["PERCENT"]).when(money, say["MONEY"]).otherwise(say["CARDINAL"]))
-        .when(low.isin("%", "percent") & F.coalesce(before["like_num"], F.lit(False)), say["PERCENT"])
-        .when(low.isin(COUNTRIES), say["GPE"])
-        .when(low.isin(PEOPLES), say["NORP"])
-        .otherwise(say[""])
-    )
-
-
-def _part_of_speech(t: Column, say: Mapping[str, str]) -> Column:
-    low = t["lower"]
-    noun = F.lit(False)
-    for length in sorted({len(e) for e in NOUN_ENDINGS}):
-        noun = noun | F.right(low, F.lit(length)).isin([e for e in NOUN_ENDINGS if len(e) == length])
-    return (
-        F.when(t["like_num"], say["NUM"])
-        .when(low.isin(ADPOSITIONS), say["ADP"])
-        .when(low.isin(SYMBOLS), say["SYM"])
-        .when(low.isin(PUNCTUATION), say["PUNCT"])
-        .when(F.startswith(low, F.lit(" ")), say["SPACE"])
-        .when(noun, say["NOUN"])
-        .otherwise(say["X"])
-    )
-
-
-def annotate_tokens(forms: Column) -> Column:
-    """``ARRAY<STRUCT<text, lower, lemma, pos, ent, like_num, is_punct>>``.
-
-    ``forms`` must be a column: every token looks at its neighbours in it.
-    """
-
-    def token(t: Column, i: Column) -> Column:
-        return F.struct(
-            t["text"].alias("text"),
-            t["lower"].alias("lower"),
-            lemma_of(t["lower"]).alias("lemma"),
-            _part_of_speech(t, {k: k for k in POS_LETTERS}).alias("pos"),
-            _entity(forms, t, i, {k: k for k in ENT_LETTERS}).alias("ent"),
-            t["like_num"].alias("like_num"),
-            t["lower"].isin(PUNCTUATION).alias("is_punct"),
-        )
-
-    return F.transform(forms, token)
-
-
-def _letter(value: Column, letters: dict[str, str], default: str) -> Column:
-    out = None
-    for name, letter in letters.items():
-        out = (F if out is None else out).when(value == name, letter)
-    return out.otherwise(default)
-
-
-def _encoded(low: Column, lemma: Column, pos: Column, ent: Column, number: Column, punct: Column, text: Column) -> Column:
-    return F.concat(
-        F.lit("\u0001"), low, F.lit("\u0002"), lemma, F.lit("\u0003"), pos, ent,
-        F.when(number, LIKE_NUM_LETTER).otherwise(""),
-        F.when(punct, IS_PUNCT_LETTER).otherwise(""),
-        F.lit("\u0004"), text,
-    )
-
-
-def encode_tokens(tokens: Column) -> Column:
-    """Tokens as one string: ``\\1 lower \\2 lemma \\3 flags \\4 text`` each.
-
-    Cleaned text is printable ASCII, so the separators cannot occur in it.
-    """
-
-    def one(t: Column) -> Column:
-        pos, ent = _letter(t["pos"], POS_LETTERS, "x"), _letter(t["ent"], ENT_LETTERS, "O")
-        return _encoded(t["lower"], t["lemma"], pos, ent, t["like_num"], t["is_punct"], t["text"])
-
-    return F.array_join(F.transform(tokens, one), "")
-
-
-ATTRIBUTES = frozenset({"LEMMA", "POS", "ENT_TYPE", "IS_PUNCT"})
-
-
-def encode_forms(forms: Column, needed: Collection[str] = ATTRIBUTES) -> Column:
-    """The same string straight from surface forms, without token structs.
-
-    Attributes that no pattern asks for are left at a default.
-    """
+TOKENS = ArrayType(StructType([StructField(n, StringType()) for n in ("text", "lower", "lemma", "pos", "ent")]
+                              + [StructField(n, BooleanType()) for n in ("like_num", "is_punct")]))
 
-    def one(t: Column, i: Column) -> Column:
-        low = t["lower"]
-        return _encoded(
-            low,
-            lemma_of(low) if "LEMMA" in needed else F.lit(""),
-            _part_of_speech(t, POS_LETTERS) if "POS" in needed else F.lit(POS_LETTERS["X"]),
-            _entity(forms, t, i, ENT_LETTERS) if "ENT_TYPE" in needed else F.lit(ENT_LETTERS[""]),
-            t["like_num"],
-            low.isin(PUNCTUATION) if "IS_PUNCT" in needed else F.lit(False),
-            t["text"],
-        )
 
-    return F.array_join(F.transform(forms, one), "")
+@F.arrow_udf(TOKENS)
+def _annotated(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    facts, split = WordFacts(), re.compile(TOKEN, re.ASCII).findall
+    kinds = [pa.string()] * 5 + [pa.bool_()] * 2
+    for texts in batches:
+        rows, ends, missing = [], [0], []
+        for text in texts:
+            words = [facts(t) for t in split(text.as_py())] if text.is_valid else []
+            for i, w in enumerate(words):
+                ent = w[6] if w[6] is not None else facts.entity(w, words[i - 1] if i else None, words[i + 1] if i + 1 < len(words) else None)
+                rows.append((*w[:4], ent, *w[4:6]))
+            missing.append(not text.is_valid)
+            ends.append(len(rows))
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        tokens = pa.StructArray.from_arrays(columns, ["text", "lower", "lemma", "pos", "ent", "like_num", "is_punct"])
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens, mask=pa.array(missing))
 
 
-def annotate(
-    blocks: DataFrame,
-    annotator: Callable[[Column], Column] | None = None,
-    text: str = "text",
-    needed: Collection[str] = ATTRIBUTES,
-) -> DataFrame:
-    """Add ``raw``, ``tokens`` and ``encoded`` to blocks; all null where the text is.
+def annotate(blocks: DataFrame, annotator: Callable[[Column], Column] | None = None, text: str = "text") -> DataFrame:
+    """Add ``tokens ARRAY<STRUCT<text, lower, lemma, pos, ent, like_num, is_punct>>`` to blocks; null where the text is.
 
-    ``annotator`` maps the text column to a token array of the shape above,
-    e.g. a pandas UDF that runs a language model on Arrow batches. The raw
-    tokens are then the ``text`` fields. ``needed`` names the attributes that
-    the encoded form must hold.
+    ``annotator`` maps the text column to a token array of that shape, e.g. a
+    pandas UDF that runs a language model on Arrow batches.
     """
-    if annotator is not None:
-        out = blocks.withColumn("tokens", annotator(F.col(text)))
-        out = out.withColumn("raw", F.transform("tokens", lambda t: F.concat(t["text"], F.lit(" "))))
-        return out.withColumn("encoded", encode_tokens(F.col("tokens")))
-    out = blocks.withColumn("raw", raw_tokens(F.col(text))).withColumn("_forms", surface_forms(F.col("raw")))
-    return (
-        out.withColumn("tokens", annotate_tokens(F.col("_forms")))
-        .withColumn("encoded", encode_forms(F.col("_forms"), needed))
-        .drop("_forms")
-    )
+    return blocks.withColumn("tokens", (annotator or _annotated)(F.col(text)))

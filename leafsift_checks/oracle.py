@@ -163,7 +163,36 @@ ORACLE["p04_many_metrics"] = ctes(*CLEANED, _PAGES) + " UNION ALL ".join(
     f"SELECT filename, page, {q(m)} AS metric FROM pg WHERE regexp_matches(text, {q('|'.join(get_keywords(m)))})" for m in METRICS)
 
 # --- tokens and matches ----------------------------------------------------------
-_LEMMA = " ".join(f"WHEN {q(f)} THEN {q(lemma)}" for f, lemma in T.LEMMA_OF.items())
+# Word forms that no rule gives, by lemma.
+_FORMS = {"am is are was were been being ''s ''m ''re": "be", "has had having ''ve": "have", "does did done doing": "do", "died dies dying": "die",
+          "lies lied lying": "lie", "goes going gone went": "go", "seeing seen saw": "see", "agreed agreeing": "agree", "created creating": "create",
+          "added adding": "add", "regrets regretted regretting": "regret", "totals totalled totalling totaled totaling": "total",
+          "invited inviting": "invite", "men": "man", "women": "woman", "children": "child", "peoples": "people", "buses": "bus",
+          "businesses": "business", "processes": "process", "mornings": "morning", "evenings": "evening", "ceilings": "ceiling", "siblings": "sibling"}
+_KEPT = ("this gas always species series during morning evening ceiling sibling nothing something anything everything hundred sacred naked "
+         "wicked")
+
+
+def lemma_sql(x: str) -> str:
+    """Lemma of a lower-cased word, rule by rule, the longest suffix first."""
+    forms = " ".join(f"WHEN {x} IN ({', '.join(chr(39) + f + chr(39) for f in forms.split())}) THEN '{lemma}'" for forms, lemma in _FORMS.items())
+    cut = lambda n, add="": f"left({x}, length({x}) - {n})" + (f" || '{add}'" if add else "")
+    has = lambda r: f"regexp_matches({x}, '{r}')"
+    e = ("([^eo]at|iz|is|[aeo]s|[^c]us|ns|rs|[aeiou]c|nc|rc|v|u|dg|rg|ag|[ae]ng|[bcdfgkptz]l|[^aeiou][iu]r|quir|plor|stor|[pl]ar|[vcsu]id|lud|rud|"
+         "[bmfg]in|[bcp]ut|let|mot|vot|quot|vok)")
+    verb = " ".join(f"""WHEN {x} LIKE '%{end}' THEN CASE WHEN {has(f'[aeiouy][a-z]*{end}$')} AND {x} NOT LIKE '%eed' THEN CASE
+        WHEN {has(f'(bb|dd|gg|mm|nn|pp|rr|tt){end}$')} THEN {cut(len(end) + 1)}
+        WHEN {has(f'{e}{end}$')} OR {has(f'^[^aeiou]*[aeiou][^aeiouwxy]{end}$')} THEN {cut(len(end), 'e')}
+        WHEN length({x}) > {len(end) + 2} THEN {cut(len(end))} ELSE {x} END ELSE {x} END""" for end in ("ing", "ed"))
+    return f"""CASE {forms} WHEN {x} IN {qlist(_KEPT.split())} OR NOT {has('^[a-z]+$')} THEN {x}
+        WHEN {has('..iest$')} THEN {cut(4, 'y')} WHEN {x} LIKE '%iest' THEN {x}
+        WHEN {has('..(ies|ied)$')} THEN {cut(3, 'y')} WHEN {has('(ies|ied)$')} THEN {x}
+        WHEN {has('.(ss|sh|ch|x|z)es$')} THEN {cut(2)} WHEN {has('(ss|sh|ch|x|z)es$')} THEN {x}
+        WHEN {has('.(bb|dd|gg|mm|nn|pp|rr|tt)est$')} THEN {cut(4)} WHEN {x} LIKE '%est' THEN {x}
+        {verb}
+        WHEN {has('.[^siu]s$')} THEN {cut(1)} ELSE {x} END"""
+
+
 TOKENS = [
     ("r", f"SELECT filename, page, paragraph, text, regexp_extract_all(text, {q(re2(T.TOKEN))}, 1) AS raw FROM c"),
     ("tk0", "SELECT filename, page, paragraph, unnest(raw) AS t, generate_subscripts(raw, 1) AS i FROM r"),
@@ -171,10 +200,7 @@ TOKENS = [
        FROM (SELECT *, CASE WHEN t LIKE ' %' THEN t ELSE rtrim(t, ' ') END AS tx FROM tk0)"""),
     ("tk2", """SELECT *, lead(lo) OVER w AS nx, lag(lo) OVER w AS pv, coalesce(lag(num) OVER w, false) AS pvnum FROM tk1
        WINDOW w AS (PARTITION BY filename, page, paragraph ORDER BY i)"""),
-    ("tk", f"""SELECT *, CASE lo {_LEMMA} ELSE CASE
-          WHEN regexp_matches(lo, '^[a-z]{{2,}}ies$') THEN left(lo, length(lo) - 3) || 'y'
-          WHEN regexp_matches(lo, '^[a-z]+(ss|sh|ch|x|z)es$') THEN left(lo, length(lo) - 2)
-          WHEN regexp_matches(lo, '^[a-z]+[^siu]s$') THEN left(lo, length(lo) - 1) ELSE lo END END AS lemma,
+    ("tk", f"""SELECT *, {lemma_sql('lo')} AS lemma,
         CASE WHEN num AND nx IN ('%', 'percent') THEN 'P' WHEN lo IN ('%', 'percent') AND pvnum THEN 'P'
              WHEN num AND pv IN {qlist(T.CURRENCIES)} THEN 'M' WHEN num THEN 'C' WHEN lo IN {qlist(T.COUNTRIES)} THEN 'G'
              WHEN lo IN {qlist(T.PEOPLES)} THEN 'R' ELSE 'O' END AS ent,
@@ -299,11 +325,8 @@ def cleaned_text(text: str) -> str:
 
 
 def word_list(text: str, pronouns: bool = True) -> str:
-    """Lemmas of the words: known forms, then plural endings; pronouns stay or go."""
-    lemma = f"""CASE WHEN x IN {qlist(PRONOUNS)} THEN x ELSE CASE x {_LEMMA} ELSE CASE
-      WHEN regexp_matches(x, '^[a-z]{{2,}}ies$') THEN left(x, length(x) - 3) || 'y'
-      WHEN regexp_matches(x, '^[a-z]+(ss|sh|ch|x|z)es$') THEN left(x, length(x) - 2)
-      WHEN regexp_matches(x, '^[a-z]+[^siu]s$') THEN left(x, length(x) - 1) ELSE x END END END"""
+    """Lemmas of the words; pronouns stay or go."""
+    lemma = f"CASE WHEN x IN {qlist(PRONOUNS)} THEN x ELSE {lemma_sql('x')} END"
     gone = STOP_WORDS + SYMBOLS + ([] if pronouns else PRONOUNS)
     return f"list_filter(list_transform(regexp_extract_all({cleaned_text(text)}, {q(WORD)}), lambda x: {lemma}), lambda x: x NOT IN {qlist(gone)})"
 

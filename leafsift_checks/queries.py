@@ -253,8 +253,14 @@ def p04_many_metrics(spark, sf_dir):
 # --- matching --------------------------------------------------------------
 @query
 def m01_annotate_tokens(spark, sf_dir):
+    """Tokens as lines ``lower|lemma/flags~text``."""
+    def line(t):
+        letters = [F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), t[name])
+                   for table, name in ((tokens.POS_LETTERS, "pos"), (tokens.ENT_LETTERS, "ent"))]
+        return F.concat(F.lit("\n"), t["lower"], F.lit("|"), t["lemma"], F.lit("/"), *letters, F.when(t["like_num"], "N").otherwise(""),
+                        F.when(t["is_punct"], "U").otherwise(""), F.lit("~"), t["text"])
     out = tokens.annotate(cleaned(spark, sf_dir))
-    return out.select("filename", "page", "paragraph", F.translate("encoded", "\u0001\u0002\u0003\u0004", "\n|/~").alias("encoded"))
+    return out.select("filename", "page", "paragraph", F.array_join(F.transform("tokens", line), "").alias("encoded"))
 
 
 @query

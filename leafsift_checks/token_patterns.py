@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from typing import Any
 
-from leafsift.operators.tokens import ENT_LETTERS, IS_PUNCT_LETTER, LIKE_NUM_LETTER, POS_LETTERS, split_tokens
+from leafsift.operators.tokens import ENT_LETTERS, POS_LETTERS, split_tokens
 
 TOKEN = r"\x01[^\x01]*"
+LIKE_NUM_LETTER, IS_PUNCT_LETTER = "N", "U"
 
 
 def escaped(word: str) -> str:
