@@ -14,7 +14,7 @@ language stays below the least posterior, is rejected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,13 @@ PART = 1 << 20
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 OTHER = "other"
 OTHER_PRIOR = 1e-3
+#: The two-letter language codes of ISO 639.
+CODES = (
+    "aa ab ae af ak am an ar as av ay az ba be bg bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj "
+    "fo fr fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky "
+    "la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru "
+    "rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo "
+    "za zh zu").split()
 #: Rows that the trigram model is fitted on, expected, and the least of each language; and strengths of the priors, in documents.
 FIT_ROWS, LEAST_ROWS, SUFFIX_STRENGTH, HOST_STRENGTH = 20_000, 50, 50.0, 20.0
 #: Trigrams overlap and repeat: n of them count as n / (3 + n / 100) independent ones, so as 100 at most.
@@ -71,13 +78,15 @@ class TextModel:
         self.languages, self.table = languages, table
 
     @staticmethod
-    def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> TextModel:
+    def fit(labelled: DataFrame, rows: int = FIT_ROWS, codes: Sequence[str] = CODES) -> TextModel:
         """Fit on about ``rows`` rows of ``lang, text`` (all, if there are fewer), dealt evenly to the languages of the whole table.
 
-        Languages are counted over all rows with letters. Those with fewer rows than their part enter whole, the others by
+        Only ``codes`` are languages: tags such as ``und`` or ``zxx``, or of no
+        meaning, say nothing about a text, however many rows bear them, and the
+        number of classes is bounded by the list. Languages are counted over all rows with letters. Those with fewer rows than their part enter whole, the others by
         hash of the text and, if there is one, of ``doc_id``; each with the rows of its least hash at any rate.
         """
-        labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))
+        labelled = labelled.filter(F.col("lang").isin(list(codes)) & F.col("text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))
         drawn = F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in labelled.columns], F.lit("fit")), F.lit(1 << 30))
         labelled = labelled.select("lang", "text", drawn.alias("_drawn"))
         sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("_drawn").alias("least")).collect()
@@ -114,9 +123,9 @@ def posterior(logs: np.ndarray) -> np.ndarray:
 
 
 def _main(declared: Column, languages: list[str]) -> Column:
-    """Primary part of a declared language; what no model knows is ``other``, nothing is null."""
+    """Primary part of a declared language; a language that the model lacks is ``other``, a tag that names none is null, as is nothing."""
     tag = F.lower(F.regexp_extract(F.trim(F.coalesce(declared, F.lit(""))), "^[A-Za-z]+", 0))
-    return F.when(tag == "", None).when(tag.isin(languages), tag).otherwise(OTHER)
+    return F.when(tag.isin(languages), tag).when(tag.isin(CODES), OTHER)
 
 
 def suffix_of(host: Column) -> Column:
@@ -211,7 +220,8 @@ def identify_languages(docs: DataFrame, text: str = "text", declared: str = "lan
     """All columns of ``docs`` with ``language, probability, text_language, rejected``.
 
     Without a ``model``, one is fitted on rows of ``docs`` with a declared
-    language. Texts that are null, empty or without letters have null results
+    language of ``CODES`` (pass a model fitted with ``codes`` of your own for
+    others). Texts that are null, empty or without letters have null results
     and are rejected; null declarations and unknown hosts leave the decision
     to the rest; a table in which no language is declared rejects only texts
     without letters; repeated rows get the same result; empty tables give no

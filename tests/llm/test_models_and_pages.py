@@ -98,6 +98,19 @@ def test_rare_language_beside_many_rows(make_docs):
     assert all(r.language == r.lang and not r.rejected for r in out)
 
 
+def test_tags_that_name_no_language(make_docs):
+    """Rows declared ``und`` and thousands of junk tags neither become languages nor sway the decision."""
+    rng = random.Random(13)
+    truth = {i: ("en", "de")[i % 2] for i in range(1_000)}
+    junk = [f"{a}{b}q{c}" for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghijklmnopqrst"]
+    rows = [(i, talk(lang, 20, rng), "und" if i % 3 else lang, None, 0) for i, lang in truth.items()]
+    rows += [(5_000 + i, talk(("en", "de")[i % 2], 20, rng), tag, None, 0) for i, tag in enumerate(junk)]
+    out = language_id.identify_languages(make_docs(rows)).select("doc_id", "language", "rejected").collect()
+    assert {r.language for r in out} <= {"en", "de", "other"}
+    right = [r.language == (truth[r.doc_id] if r.doc_id in truth else ("en", "de")[(r.doc_id - 5_000) % 2]) and not r.rejected for r in out]
+    assert sum(right) >= 0.98 * len(right) and len(right) == 3_000
+
+
 def test_declaration_suffix_and_host_decide_ties(make_docs):
     rows, _ = language_rows()
     both = "der the und of"
