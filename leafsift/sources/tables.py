@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 LABELLED_SCHEMA = "text STRING, class INT"
+MATCH_SCHEMA = ("filename STRING, name STRING, year STRING, metric STRING, page INT, paragraph INT, text STRING, match_string STRING, "
+                "start INT, end INT")
 
 
 def read_labelled(spark: SparkSession, path: str, schema: str = LABELLED_SCHEMA, multi_line: bool = True) -> DataFrame:
@@ -18,10 +20,17 @@ def read_labelled(spark: SparkSession, path: str, schema: str = LABELLED_SCHEMA,
     )
 
 
+def read_matches(spark: SparkSession, path: str) -> DataFrame:
+    """A match table that was written as CSV."""
+    return spark.read.schema(MATCH_SCHEMA).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+
+
 def write_matches(matches: DataFrame, path: str, fmt: str = "csv") -> None:
     """Match table as CSV with a header, or as parquet."""
     writer = matches.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        # Blanks at the ends are part of a text.
+        writer.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False).csv(path)
     else:
         writer.format(fmt).save(path)

@@ -105,7 +105,8 @@ ORACLE["s03_report_metadata"] = ctes(_NAMES) + """SELECT filename, replace(split
   'Annual Report' AS type, split_part(split_part(filename, '_Annual_Report_', 2), '.', 1) AS year
   FROM n WHERE contains(filename, '_Annual_Report_')"""
 ORACLE["s03_quarantined_reports"] = ctes(_NAMES) + "SELECT filename, 'Annual Report' AS type FROM n WHERE NOT contains(filename, '_Annual_Report_')"
-ORACLE["s04_labelled_passages"] = """SELECT translate(text, chr(10) || chr(13), '  ') AS text, CAST(toxic AS INT) AS class
+ORACLE["s04_labelled_passages"] = "SELECT text, CAST(toxic AS INT) AS class FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL"
+ORACLE["s04_labelled_lines"] = """SELECT translate(text, chr(10) || chr(13), '  ') AS text, CAST(toxic AS INT) AS class
   FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL"""
 ORACLE["s07_first_reports"] = ctes(D) + """SELECT filename, count(*) AS n_blocks, max(page) AS pages FROM d
   WHERE filename IN (SELECT DISTINCT filename FROM d ORDER BY filename LIMIT 80) GROUP BY filename"""
@@ -532,6 +533,7 @@ ORACLE["t15_grid_search"] = ctes(*_GRID) + " UNION ALL ".join(_GRID_PARTS)
 _SCORE = [*_TOXIC, ("docs", "SELECT doc_id, text FROM documents"), *score_ctes("docs", ["doc_id"], 1)]
 ORACLE["t16_batch_scores"] = ctes(*_SCORE) + "SELECT doc_id, round(likelihood, 6) AS likelihood, CAST(likelihood > 0.5 AS INT) AS predicted_class FROM scored"
 ORACLE["s06_saved_model"] = ORACLE["t16_batch_scores"]
+ORACLE["s06_saved_linear_model"] = ORACLE["t07_linear_svc"]
 ORACLE["h02_split"] = f"""SELECT doc_id, {shuffled('documents')} <= floor(count(*) OVER () * 0.8::DOUBLE) AS is_train FROM documents"""
 ORACLE["h03_encode_labels"] = ctes(LAB) + "SELECT doc_id, class = 1 AS healthcare, class <> 1 AS no_healthcare FROM lab"
 _CATEGORY = [BALANCED, ("tr", f"SELECT * EXCLUDE (r, k) FROM (SELECT *, {shuffled('lab')} AS r, count(*) OVER () AS k FROM lab) WHERE r <= floor(k * 0.8::DOUBLE)"),

@@ -16,7 +16,7 @@ from leafsift.operators import (
 from leafsift.plans import assess, training
 from leafsift.plans.registry import METRICS, get_keywords
 from leafsift.session import shared_dir
-from leafsift.sources import reports, tables
+from leafsift.sources import models, reports, tables
 from leafsift_checks.derived import report_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +86,16 @@ def s02_blocks_from_turns(spark, sf_dir):
 
 @query
 def s04_labelled_passages(spark, sf_dir):
-    """Labelled passages written as CSV, one record a line, and scanned again."""
+    """Labelled passages written as CSV, texts over several lines, and scanned again."""
+    rows = labelled(spark, sf_dir).select("text", "class")
+    path = f"{shared_dir(spark)}/labelled-{uuid.uuid4().hex}"
+    rows.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return tables.read_labelled(spark, path)
+
+
+@query
+def s04_labelled_lines(spark, sf_dir):
+    """The same with one record a line, which lets Spark split the files."""
     rows = labelled(spark, sf_dir).select(F.translate("text", "\n\r", "  ").alias("text"), "class")
     path = f"{shared_dir(spark)}/labelled-{uuid.uuid4().hex}"
     rows.write.csv(path, header=True, quoteAll=True, escape='"')
@@ -95,23 +104,32 @@ def s04_labelled_passages(spark, sf_dir):
 
 @query
 def s05_match_table(spark, sf_dir):
-    """A match table written by the sink and read again."""
+    """A match table written by the CSV sink and read again."""
     path = f"{shared_dir(spark)}/matches-{uuid.uuid4().hex}"
-    tables.write_matches(matching.match_table(cleaned(spark, sf_dir), "ltifr"), path, "parquet")
-    return spark.read.parquet(path).drop("metric")
+    tables.write_matches(matching.match_table(cleaned(spark, sf_dir), "ltifr"), path)
+    return tables.read_matches(spark, path).drop("metric")
 
 
 @query
 def s06_saved_model(spark, sf_dir):
-    """A model saved and loaded."""
-    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
-    naive_bayes.save_model(*naive_bayes.train(labelled(spark, sf_dir), 0.25), path, "toxic")
-    vocabulary, totals = naive_bayes.load_model(spark, path, "toxic")
+    """Two versions of a model saved, the current one loaded."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    for alpha in (1.0, 0.25):
+        models.save_model(spark, path, "toxic", (*naive_bayes.train(labelled(spark, sf_dir), alpha), (1, 1)))
+    vocabulary, totals, ngram_range = models.load_model(spark, path, "toxic")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = naive_bayes.score(docs, ["doc_id"], vocabulary, totals)
+    out = naive_bayes.score(docs, ["doc_id"], vocabulary, totals, ngram_range)
     return out.select("doc_id", rounded("likelihood"), "predicted_class")
 
 
+@query
+def s06_saved_linear_model(spark, sf_dir):
+    """A linear model saved and loaded."""
+    path, rows = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", balanced(spark, sf_dir)
+    models.save_model(spark, path, "toxic", linear.train_linear(rows, "LinearSVC", C=1.0))
+    return models.load_model(spark, path, "toxic").predict(rows).select("doc_id", "class", rounded("score", 4), "prediction")
+
+
 def _paths(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     name = F.when(F.col("doc_id") % 7 == 0, F.concat("source", F.lit(".pdf"))).otherwise(

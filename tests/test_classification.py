@@ -123,14 +123,11 @@ def test_categories(spark):
 
 
 @pytest.mark.parametrize("classifier", ["LinearSVC", "SGDClassifier", "LogisticRegression"])
-def test_linear_models_learn(frame, classifier, tmp_path):
+def test_linear_models_learn(frame, classifier):
     rows = frame.filter("doc_id < 120")
     model = linear.train_linear(rows, classifier, alpha=1e-3)
     out = model.predict(rows)
     assert out.filter("prediction = class").count() > 100
-    model.save(str(tmp_path / "m"))
-    again = linear.LinearModel.load(str(tmp_path / "m")).predict(rows)
-    assert again.select("doc_id", "prediction").exceptAll(out.select("doc_id", "prediction")).isEmpty()
     assert model.terms.count() == len(VOCAB)
 
 

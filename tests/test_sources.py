@@ -1,6 +1,7 @@
-from leafsift.operators import naive_bayes
+import pytest
+from leafsift.operators import linear, naive_bayes
 from leafsift.plans import assess
-from leafsift.sources import reports, tables
+from leafsift.sources import models, reports, tables
 from pyspark.sql import functions as F
 
 
@@ -46,10 +47,23 @@ def test_labelled_csv_and_matches(spark, tmp_path, make_blocks):
 
 def test_model_store(spark, tmp_path):
     rows = spark.createDataFrame([("a b", 1), ("c", 0)], "text string, class int")
-    vocabulary, totals = naive_bayes.train(rows)
-    naive_bayes.save_model(vocabulary, totals, str(tmp_path), "n_employees")
-    again, sums = naive_bayes.load_model(spark, str(tmp_path), "n_employees")
-    assert again.exceptAll(vocabulary).isEmpty() and sums.first() == totals.first()
+    store = str(tmp_path / "store")
+    with pytest.raises(ValueError):
+        models.load_model(spark, store, "n_employees")
+    first, second = (*naive_bayes.train(rows, 1.0), (1, 1)), (*naive_bayes.train(rows, 0.5, (1, 2)), (1, 2))
+    assert [models.save_model(spark, store, "n_employees", m) for m in (first, second)] == [1, 2]
+    # A write that broke off: tables without a row of the manifest.
+    rows.write.parquet(f"{store}/models/broken/vocabulary")
+    vocabulary, totals, ngram_range = models.load_model(spark, store, "n_employees")
+    assert vocabulary.exceptAll(second[0]).isEmpty() and totals.first() == second[1].first() and ngram_range == (1, 2)
+    assert models.load_model(spark, store, "n_employees", 1)[1].first() == first[1].first()
+    linear_model = linear.train_linear(rows)
+    assert models.save_model(spark, store, "healthcare", linear_model) == 1
+    again = models.load_model(spark, store, "healthcare")
+    assert again.bias == linear_model.bias and again.terms.exceptAll(linear_model.terms).isEmpty()
+    assert again.predict(rows.withColumn("doc_id", F.col("class"))).filter("prediction = class").count() == 2
+    with pytest.raises(ValueError):
+        models.load_model(spark, store, "n_employees", 7)
 
 
 def test_first_reports(make_blocks):
