@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_queries_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries())
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" not in oracle_sql()
 
 
