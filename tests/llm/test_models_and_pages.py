@@ -1,3 +1,4 @@
+import bisect
 import math
 import random
 
@@ -32,6 +33,124 @@ def test_common_lines_are_a_longest_common_subsequence():
         assert len(html_text.common_lines(a, b)) == table[-1][-1]
 
 
+def test_wrappers_named_like_menus():
+    for wrapper in ('div class="layout has-sidebar"', 'div id="search-page"', 'div class="with-ads content"', 'section class="social"', 'div class="nav"'):
+        for article in ("article", "main"):
+            page = f'<{wrapper}><div class="sidebar">Side</div><{article}><p>The text.</p><div class="share">Share</div></{article}></div>'
+            assert [t for t, _ in html_text.candidate_lines(page)] == ["The text."], page
+    plain = '<div class="with-ads content"><p>Only text.</p><div class="ads">Buy</div></div>'
+    assert html_text.candidate_lines(plain) == [("Only text.", True)]
+    # Where the page names its article, teasers in a sidebar and comments stay out; comments are never the article.
+    teaser = '<div class="sidebar"><article><p>Teaser</p></article></div>'
+    assert html_text.candidate_lines(f"{teaser}<article><p>Story</p></article>") == [("Story", False)]
+    assert html_text.candidate_lines('<div id="comments"><article><p>Nice!</p></article></div><p>Text') == [("Text", True)]
+
+
+def test_deep_and_long_pages():
+    import time
+    import tracemalloc
+
+    start = time.time()
+    lines = html_text.candidate_lines("<div>" * 3_000 + "x</p>" * 30_000 + "<article>" * 3_000 + "deep")
+    assert lines == [("deep", True)] and time.time() - start < 5
+    rng = random.Random(4)
+    a = list(range(20_000))
+    b = a.copy()
+    for _ in range(2_000):  # moved lines, so that most of the table is needed
+        i, j = rng.randrange(len(b)), rng.randrange(len(b))
+        b[i], b[j] = b[j], b[i]
+    tracemalloc.start()
+    common = html_text.common_lines(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Distinct lines: a longest common subsequence is a longest increasing one.
+    piles = []
+    for x in b:
+        at = bisect.bisect_left(piles, x)
+        piles[at:at + 1] = [x]
+    assert len(common) == len(piles) and peak < 40_000_000
+    places = [b.index(a[i]) for i in sorted(common)]
+    assert places == sorted(places)
+
+
+def test_divided_alignment_is_as_long(monkeypatch):
+    rng = random.Random(5)
+    pairs = [([rng.randint(0, 5) for _ in range(rng.randint(0, 40))], [rng.randint(0, 5) for _ in range(rng.randint(0, 40))]) for _ in range(200)]
+    whole = [len(html_text.common_lines(a, b)) for a, b in pairs]
+    monkeypatch.setattr(html_text, "TABLE_BITS", 8)
+    monkeypatch.setattr(html_text, "MANY_PLACES", 2)
+    for (a, b), n in zip(pairs, whole):
+        found = sorted(html_text.common_lines(a, b))
+        rest = iter(b)
+        assert len(found) == n and all(a[i] in rest for i in found)  # a subsequence of both
+
+
+def test_nearest_different_page_over_ranges(spark):
+    """Runs of equal pages, some longer than a range, against a plain search for the nearest different page."""
+    rng = random.Random(6)
+    rows, n = [], 0
+    for host in "ab":
+        for _ in range(25):
+            body = rng.randint(0, 3)
+            for _ in range(rng.choice([1, 1, 2, 3, 30])):
+                rows.append((n, f"http://{host}.example/{n:05d}", f"<div>menu {host}</div><div>story {body}</div><div>foot</div>"))
+                n += 1
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    cut = html_text.staged(html_text._cut(pages), "page-lines")
+    got = {r.key: (r.before, r.after) for r in html_text._neighbours(cut).collect()}
+    keys = [r.key for r in cut.orderBy("page_id").select("key").collect()]
+    host = lambda i: rows[i][1][:14]
+    for i, key in enumerate(keys):
+        for side, step in enumerate((-1, 1)):
+            j = i + step
+            while 0 <= j < n and host(j) == host(i) and rows[j][2] == rows[i][2]:
+                j += step
+            want = keys[j] if 0 <= j < n and host(j) == host(i) else None
+            assert got[key][side] == want, (i, side)
+    text = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    assert all(text[i] == rows[i][2].split("<div>")[2].removesuffix("</div>") for i in text)  # copies in a row lose their menu too
+
+
+def test_copies_of_short_lines_stay(spark):
+    def page(n):
+        return "".join(f"<div>line {i} of a poem</div>" for i in range(19)) + f"<div>read {n} times today</div>"
+
+    pages = spark.createDataFrame([(n, f"http://p.example/{n}", page(n)) for n in (1, 2)], "page_id long, url string, html string")
+    assert all(r.text.count("\n") == 19 for r in html_text.main_text(pages).collect())
+
+
+def test_differencing_against_brute_force(spark):
+    """Unmarked pages whose lines differencing decides, against a plain alignment with the pages next by path."""
+    rng = random.Random(8)
+    rows = []
+    for n in range(60):
+        body = [f"item {n} {i} " + "x" * rng.randint(20, 60) for i in range(rng.randint(2, 6))]
+        menu = [f"menu {i}" for i in range(rng.randint(3, 6))]
+        rows.append((n, f"http://h.example/{n:03d}", menu + body + ["imprint", "terms"][:rng.randint(1, 2)]))
+
+    def common(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        out, i, j = set(), len(a), len(b)
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                out.add(i)
+            elif t[i - 1][j] >= t[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return out
+
+    pages = spark.createDataFrame([(n, u, "".join(f"<div>{x}</div>" for x in ls)) for n, u, ls in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    for n, _, ls in rows:
+        gone = set().union(*(common(ls, rows[m][2]) for m in (n - 1, n + 1) if 0 <= m < 60))
+        assert got[n] == "\n".join(x for i, x in enumerate(ls) if i not in gone)
+
+
 def test_differencing_of_neighbours(spark):
     def page(n, body):
         return f"<html><body><div>Daily Paper</div><div>Mon Tue Wed</div><div>{body}</div><div>All rights reserved</div><div>no {n}</div></body></html>"
