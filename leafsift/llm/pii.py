@@ -4,15 +4,22 @@ Rules find the plain kinds (email, ip, card, phone). Beyond them several
 generators propose spans, which may overlap: disguised addresses, long tokens,
 tokens after a word such as password, numbers of any grouping and the runs of
 digit groups inside them. Boosted trees judge a candidate by its format and by
-what stands around it, and thresholds calibrated on held-out candidates
-select what is added, the best first where they overlap. The trees are fitted on weak labels: a candidate is
-positive if a rule finds it, if it follows a word such as password or token,
-or if it begins like an access key; half of the training rows hide the plus
-sign, the beginning and the context, so that format alone must do as well.
+what stands around it, and thresholds calibrated on the held-out candidates of
+all texts select what is added, the best first where they overlap.
+
+The trees are fitted on weak labels. A candidate is positive if a rule finds
+it, if it follows a word such as password or token, or if it begins like an
+access key. What no rule can find has its positives from rewriting: each
+address and phone of the rules is written out again between its neighbours,
+disguised (``[at]``, ``dot``) or without its plus. What looks like a
+disguised address, or like a phone after a word such as call, and is vouched
+for by nothing has no label. Half of the rows hide the plus sign, the
+beginning and the context, so that format alone must do as well.
 
 Everything runs as column expressions in the row of the text: spans are
 found, judged and sorted without a shuffle, and the trees become one CASE
-expression. Patterns use possessive loops, which Java runs without recursion,
+expression. The judged rows are written once; one grouped count of their
+scores gives the thresholds. Patterns use possessive loops, which Java runs without recursion,
 and start where a run of characters starts, so long texts take linear time.
 """
 
@@ -35,11 +42,15 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-#: The generators: disguised addresses, tokens of 16 characters or more, tokens of any length after a cue, numbers of two digits or more.
+#: The generators: disguised addresses, tokens of 16 characters or more, tokens of any length after a cue (which ends within
+#: 5 signs before), numbers of two digits or more.
 AT = r"[\[({ ]at[\])} ]"
 DISGUISED = (
-    rf"(?<![{LOCAL}])[{LOCAL}]{{1,64}}+(?: ?[\[({{]at[\])}}] ?| at )[A-Za-z0-9-]{{1,63}}+"
-    r"(?:(?: ?[\[({]dot[\])}] ?| dot |\.)[A-Za-z0-9-]{1,63}+)++")
+    rf"(?<![{LOCAL}])[{LOCAL}]++(?: ?[\[({{]at[\])}}] ?| at )[A-Za-z0-9-]++"
+    r"(?:(?: ?[\[({]dot[\])}] ?| dot |\.)[A-Za-z0-9-]++)++")
+BRACKETED, SPELLED = r"[\[({]at[\])}]", r"[\[({ ]dot[\])} ]"
+#: How an address is disguised: what stands for the at and for a dot.
+DISGUISES = [(" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "(dot)"), (" [at] ", "."), ("[at]", "."), (" {at} ", " {dot} ")]
 LONG = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+=*+"
 SECRET_WORDS = "(?:password|passwd|pwd|secret|token|api.?key|access.?key)"
 CUED = (rf"(?<![^\s\"'=:(\[{{,;])(?=[^\s\"'<>,;()\[\]{{}}=:])(?<=(?i:{SECRET_WORDS})\W{{0,5}})"
@@ -51,8 +62,8 @@ SECRET_CUE = rf"(?i){SECRET_WORDS}\W{{0,5}}$"
 #: Beginnings of access keys of public services.
 KEY_PREFIX = "^(?:AKIA|ASIA|ghp_|xoxb-|xoxp-|sk-|eyJ)"
 CUES = {
-    "cue_phone": r"(?i)(?:tel|phone|call|fax|mobile|cell)\w*\W{0,5}$",
-    "cue_mail": r"(?i)(?:mail|contact|write)\w*\W{0,5}$",
+    "cue_phone": r"(?i)(?:tel|phone|call|fax|mobile|cell)\w*(?:\W{1,2}\w{1,6}){0,2}\W{0,5}$",
+    "cue_mail": r"(?i)(?:mail|contact|write)\w*(?:\W{1,2}\w{1,6}){0,2}\W{0,5}$",
     "cue_card": r"(?i)(?:card|visa|account|iban)\w*\W{0,5}$",
     "cue_number": r"(?i)(?:version|license|chapter|page|section|isbn|by-nc|no|nr)\W{0,5}$",
 }
@@ -119,6 +130,11 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {kind: spans(kind) for kind in passing}
 
 
+def longest_group(text: Column) -> Column:
+    """Length of the longest run of digits."""
+    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("[0-9]++"), F.lit(0)), F.length)), F.lit(0))
+
+
 def features(m: Column) -> dict[str, Column]:
     """Numbers that describe a candidate by format and context."""
     text, count = m["m"], lambda p: F.length(F.regexp_replace(m["m"], p, ""))
@@ -128,6 +144,8 @@ def features(m: Column) -> dict[str, Column]:
         "separators": count("[A-Za-z0-9]"), "groups": F.size(F.split(text, "[^0-9]++", -1)),
         "changes": F.size(F.split(text, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", -1)),
         "hex": flag(text.rlike("^[0-9a-f]+$")), "at": flag(text.rlike(AT)),
+        "bracketed": flag(text.rlike(BRACKETED)), "spelled": flag(text.rlike(SPELLED)), "name_end": flag(text.rlike("[A-Za-z]{2,}$")),
+        "zero": flag(text.startswith("0")), "longest": longest_group(text),
         "luhn": flag(F.coalesce(F.call_function("luhn_check", digits(text)), F.lit(False))),
         "plus": flag(text.startswith("+")), "quoted": flag(m["before"].rlike("[\"'=:]$")),
         "assigned": flag(m["before"].rlike(r"[=:]\s*[\"']?$")),
@@ -201,13 +219,49 @@ def is_span(c: Column, spans: Column) -> Column:
 
 
 def weak_label(c: Column, base: Column) -> Column:
-    """1 for what a rule, a cue or the beginning vouches for; null for what only overlaps a span of the rules by a part."""
+    """1 for what a rule, a cue or the beginning vouches for; null for what overlaps a span of the rules by a part or may be a disguise."""
     f, touches = c["f"], overlaps(c, base)
     after_cue = (f["cue_secret"] == 1) & ((f["digits"] > 1) | (f["assigned"] == 1) | (f["upper"] + f["lower"] > 0))
     vouched = after_cue | (f["prefix"] == 1)
-    return F.when(c["part"], F.when(is_span(c, base), 1.0).when(~touches, 0.0)).otherwise((touches | vouched).cast("double"))
+    disguise = (f["at"] == 1) & ((f["bracketed"] == 1) | (f["spelled"] == 1) | (f["cue_mail"] == 1))
+    number = (f["upper"] + f["lower"] == 0) & (f["cue_phone"] == 1) & f["digits"].between(7, 15)
+    whole = F.when(touches & (f["at"] == 1), F.lit(None)).when(touches | vouched, 1.0).when(~disguise & ~number, 0.0)
+    return F.when(c["part"], F.when(is_span(c, base), 1.0).when(~touches & ~number, 0.0)).otherwise(whole)
+
+
+def rewritten(text: Column) -> Column:
+    """Addresses and phones of the rules between their neighbours, disguised: ``around``, and ``plain`` as the rules found it."""
+    none = F.array().cast("array<struct<around:string,plain:string>>")
+
+    def mail(m: Column) -> Column:
+        way = F.pmod(F.xxhash64(m["m"]), F.lit(len(DISGUISES)))
+        at, dot = (F.element_at(F.array(*[F.lit(d[i]) for d in DISGUISES]), (way + 1).cast("int")) for i in (0, 1))
+        name, host = F.substring_index(m["m"], "@", 1), F.substring_index(m["m"], "@", -1)
+        return F.struct(F.concat(m["before"], name, at, F.replace(host, F.lit("."), dot), m["after"]).alias("around"), m["m"].alias("plain"))
+
+    def phone(m: Column) -> Column:
+        return F.struct(F.concat(m["before"], F.substring(m["m"], F.lit(2), F.length(m["m"])), m["after"]).alias("around"),
+                        digits(m["m"]).alias("plain"))
+
+    mails = F.when(F.instr(text, "@") > 0, F.transform(matches(text, EMAIL), mail)).otherwise(none)
+    phones = F.when(F.instr(text, "+") > 0, F.transform(
+        F.filter(matches(text, PHONE), lambda m: F.length(digits(m["m"])).between(9, 15)), phone)).otherwise(none)
+    return F.concat(mails, phones)
 
 
+def disguised(text: Column) -> Column:
+    """Features ``f`` and hash ``h`` of the candidates that are the rewritten addresses and phones of a text."""
+
+    def found(r: Column) -> Column:
+        def told(m: Column) -> Column:
+            back = F.regexp_replace(F.regexp_replace(m, r" ?[\[({]at[\])}] ?| at ", "@"), r" ?[\[({]dot[\])}] ?| dot ", ".")
+            return F.when(F.instr(r["plain"], "@") > 0, back == r["plain"]).otherwise(~m.rlike("[A-Za-z]") & (digits(m) == r["plain"]))
+
+        return F.transform(F.filter(candidates(r["around"]), lambda c: told(F.substring(r["around"], c["start"] + 1, c["end"] - c["start"]))),
+                           lambda c: F.struct(c["f"].alias("f"), F.xxhash64(r["plain"], c["f"]).alias("h")))
+
+    return F.flatten(F.transform(rewritten(text), found))
+
 def best_apart(spans: Column) -> Column:
     """Of ``start, kind, end, score``: from the best score down, each that overlaps none taken before."""
     one = "struct<start:int,kind:int,end:int,score:double>"
@@ -253,46 +307,104 @@ class SpanModel:
 
     @staticmethod
     def fit(docs: DataFrame, rows: int = 5_000, precision: float = 0.98, trees: int = 10, depth: int = 4) -> SpanModel:
-        """Fit on the candidates of a hash sample of about ``rows`` texts; every third candidate only calibrates."""
+        """Trees from a sample of about ``rows`` texts, thresholds from the candidates of all texts."""
+        model = SpanModel.fit_trees(docs, rows, trees, depth)
+        model.calibrate(staged(_judged(docs, model).select("scored", "vouched"), "pii-judged"), precision)
+        return model
+
+    @staticmethod
+    def fit_trees(docs: DataFrame, rows: int = 5_000, trees: int = 10, depth: int = 4) -> SpanModel:
+        """Trees fitted on the candidates of a hash sample of about ``rows`` texts, without thresholds; a third of them is left for those."""
         share = min(1.0, rows / max(1, docs.count()))
-        drawn = F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30))
-        sample = docs.filter(drawn & F.col("text").isNotNull()).select(
-            candidates(F.col("text")).alias("c"), F.concat(*base_spans(F.col("text")).values()).alias("base"))
-        each = sample.select(F.explode("c").alias("c"), "base").select(
-            "c.f.*", weak_label(F.col("c"), F.col("base")).alias("label"), F.xxhash64(F.col("c").dropFields("part", "f.assigned")).alias("h")).filter("label IS NOT NULL")
+        drawn = F.pmod(F.xxhash64("text", *[c for c in ("doc_id",) if c in docs.columns], F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30))
+        # Written first: the optimiser would otherwise look for candidates before the draw.
+        text = staged(docs.filter(drawn & F.col("text").isNotNull()).select("text"), "pii-sample")
+        found = text.select(candidates(F.col("text")).alias("c"), F.concat(*base_spans(F.col("text")).values()).alias("base"),
+                            disguised(F.col("text")).alias("r"))
+        plain = found.select(F.explode("c").alias("c"), "base").select(
+            F.col("c.f").alias("f"), hash_of(F.col("c")).alias("h"), weak_label(F.col("c"), F.col("base")).alias("label"))
+        told = found.select(F.explode("r").alias("r")).select("r.f", "r.h", F.lit(1.0).alias("label"))
+        each = plain.filter("label IS NOT NULL").unionByName(told)
+        names = each.select("f.*").columns
         hidden = F.pmod("h", F.lit(2)) == 0
-        names = [c for c in each.columns if c not in ("label", "h")]
-        rows_ = staged(each.select(
-            "label", "h", *[(F.when(hidden, 0).otherwise(F.col(c)) if c in CONTEXT else F.col(c)).cast("double").alias(c) for c in names]), "pii-fit")
-        fitting, rest = rows_.filter(F.pmod("h", F.lit(3)) > 0), rows_.filter(F.pmod("h", F.lit(3)) == 0)
+        fitting = staged(each.filter(for_fitting(F.col("h"))).select("label", *[
+            (F.when(hidden, 0).otherwise(F.col(f"f.{c}")) if c in CONTEXT else F.col(f"f.{c}")).cast("double").alias(c) for c in names]), "pii-fit")
         if fitting.select("label").distinct().count() < 2:  # nothing to tell apart: only the rules speak
             return SpanModel([], names, {})
         fitted = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, featuresCol="x").fit(
             VectorAssembler(inputCols=names, outputCol="x").transform(fitting))
         parts = re.split(r"Tree \d+ \(weight ([0-9.Ee+-]+)\):\n", fitted.toDebugString)[1:]
-        model = SpanModel([(float(w), t.rstrip().split("\n")) for w, t in zip(parts[::2], parts[1::2])], names, {})
-        f = F.struct(*[F.col(c) for c in names])
-        judged = rest.select(kind_of(f).alias("kind"), (F.floor(model.margin(f) * 100) / 100).alias("score"), "label")
-        table = judged.groupBy("kind", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).orderBy(F.desc("score")).collect()
+        return SpanModel([(float(w), t.rstrip().split("\n")) for w, t in zip(parts[::2], parts[1::2])], names, {})
+
+    def blind_margin(self, f: Column, h: Column) -> Column:
+        """The margin, without the context for every second candidate, as in fitting."""
+        masked = F.struct(*[(F.when(F.pmod(h, F.lit(2)) == 0, 0).otherwise(f[c]) if c in CONTEXT else f[c]).alias(c) for c in self.names])
+        return let(masked, self.margin)
+
+    def calibrate(self, judged: DataFrame, precision: float = 0.98) -> None:
+        """Per kind the least score above which ``precision`` of the labelled candidates of all texts are personal data.
+
+        One grouped count by kind and hundredth of the score, so what the driver sees does not grow with the table.
+        """
+        if not self.trees:
+            return
+        seen = judged.select(F.explode(F.concat(
+            F.transform("scored", lambda c: F.struct(c["kind"].alias("kind"), c["blind"].alias("blind"), c["label"].alias("label"))), "vouched")).alias("c")).select("c.*").filter("label IS NOT NULL")
+        table = seen.groupBy("kind", (F.floor(F.col("blind") * 100) / 100).alias("score")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).orderBy(F.desc("score")).collect()
         for kind in {r["kind"] for r in table}:
             n = good = 0
             for r in table:  # from the best score down, as long as what is above is precise enough
                 if r["kind"] == kind:
                     n, good = n + r["n"], good + r["good"]
                     if good >= precision * n and r["score"] > 0:
-                        model.thresholds[kind] = r["score"]
-        return model
-
-    def added(self, text: Column, base: Column) -> Column:
+                        self.thresholds[kind] = r["score"]
+
+    def scored(self, text: Column, base: Column) -> Column:
+        """All candidates with their scores; ``label`` only for those held out from fitting."""
+        one = "array<struct<start:int,kind:int,end:int,score:double,blind:double,label:double>>"
+        if not self.trees:
+            return F.array().cast(one)
+        return F.transform(candidates(text), lambda c: let(hash_of(c), lambda h: F.struct(
+            c["start"].alias("start"), kind_of(c["f"]).alias("kind"), c["end"].alias("end"), self.margin(c["f"]).alias("score"),
+            self.blind_margin(c["f"], h).alias("blind"), F.when(~for_fitting(h), weak_label(c, base)).alias("label")))).cast(one)
+
+    def vouched(self, text: Column) -> Column:
+        """The held-out rewritten addresses and phones, in the same form as labelled candidates."""
+        one = "array<struct<kind:int,blind:double,label:double>>"
+        if not self.trees:
+            return F.array().cast(one)
+        return F.transform(disguised(text), lambda r: F.struct(
+            kind_of(r["f"]).alias("kind"), self.blind_margin(r["f"], r["h"]).alias("blind"), F.when(~for_fitting(r["h"]), 1.0).alias("label"))).cast(one)
+
+    def chosen(self, scored: Column, base: Column) -> Column:
         """Of the candidates that reach the threshold of their kind and touch no span of the rules, the best ones that do not overlap."""
         if not self.thresholds:
             return F.array().cast(SPANS)
-        scored = F.transform(candidates(text), lambda c: F.struct(
-            c["start"].alias("start"), kind_of(c["f"]).alias("kind"), c["end"].alias("end"), self.margin(c["f"]).alias("score")))
         least = F.create_map(*[F.lit(x) for kind, score in self.thresholds.items() for x in (kind, score)])
         good = F.filter(scored, lambda c: (c["score"] >= F.coalesce(F.try_element_at(least, c["kind"]), F.lit(float("inf"))))
                         & ~overlaps(c, base))
-        return best_apart(good)
+        return best_apart(F.transform(good, lambda c: F.struct(*[c[n].alias(n) for n in ("start", "kind", "end", "score")])))
+
+
+def hash_of(c: Column) -> Column:
+    """Decides whether a candidate fits the trees and whether its context is hidden."""
+    return F.xxhash64(c["start"], c["end"], c["f"])
+
+
+def for_fitting(h: Column) -> Column:
+    """Two of three candidates fit the trees, the third sets thresholds."""
+    return F.pmod(h, F.lit(3)) > 0
+
+
+def _judged(docs: DataFrame, model: SpanModel) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``found`` (spans of the rules by kind), ``base``, ``scored`` and ``vouched``."""
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    # A generator keeps the optimiser from computing the spans once per use.
+    found = F.explode(F.array(F.struct(*[c.alias(k) for k, c in base_spans(F.col("text")).items()])))
+    rows = rows.select("row", "text", found.alias("found")).withColumn("base", F.concat(*[F.col(f"found.{k}") for k in KINDS[:4]]))
+    both = F.struct(model.scored(F.col("text"), F.col("base")).alias("scored"), model.vouched(F.col("text")).alias("vouched"))
+    return rows.select("row", "found", "base", F.explode(F.array(both)).alias("_s")).select("row", "found", "base", "_s.*")
 
 
 def written(spans: Column) -> Column:
@@ -307,18 +419,20 @@ def find_personal_data(docs: DataFrame, model: SpanModel | None = None) -> DataF
     A span is ``start, kind, end``: code points, the end exclusive, the kind
     as its place in ``KINDS``. Null texts count as empty, an empty table gives
     no rows, a table without any candidate adds no spans, repeated rows get
-    the same answer, columns named like the results are replaced.
+    the same answer, columns named like the results are replaced. Without a
+    ``model`` one is fitted, and the judged rows are written to the shared folder.
     """
-    model = model or SpanModel.fit(docs)
-    text = F.coalesce("text", F.lit(""))
     kinds = KINDS[:4]
     results = ["base", "added", *[f"n_{k}" for k in kinds]]
-    # A generator keeps the optimiser from computing the spans once per use.
-    found = F.explode(F.array(F.struct(*[c.alias(k) for k, c in base_spans(text).items()])))
-    rows = docs.drop(*results).withColumn("_b", found)
-    rows = rows.withColumn("base", F.concat(*[F.col(f"_b.{k}") for k in kinds]))
-    rows = rows.withColumn("added", F.explode(F.array(model.added(text, F.col("base")))))
-    return rows.withColumns({f"n_{k}": F.size(f"_b.{k}").cast("long") for k in kinds}).drop("_b")
+    docs = docs.drop(*results)
+    if model is None:
+        model = SpanModel.fit_trees(docs)
+        rows = staged(_judged(docs, model), "pii-judged")
+        model.calibrate(rows)
+    else:
+        rows = _judged(docs, model)
+    added = F.explode(F.array(model.chosen(F.col("scored"), F.col("base")))).alias("added")
+    return rows.select("row.*", "base", added, *[F.size(f"found.{k}").cast("long").alias(f"n_{k}") for k in kinds])
 
 
 def redacted(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
@@ -337,4 +451,3 @@ def redacted(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     done = F.aggregate(F.array_sort(F.concat("base", "added")), start, step,
                        lambda d: F.concat(F.array_join(d["out"], ""), F.substring(F.col("text"), d["at"] + 1, F.length("text"))))
     return found.withColumn("text", F.when(F.col("text").isNotNull(), done)).select(docs.columns)
-

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,52 @@ def test_longest_match_and_empty_tables(spark, make_docs):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_disguised_addresses_bare_phones_and_short_secrets(make_docs):
+    rng = random.Random(21)
+    words = "the of river and house with green from this stone which walk".split()
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    phone = lambda: f"+{rng.randint(1, 99)} {rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}"
+    plain = [lambda: f"{rng.choice(words)}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com", phone, lambda: f"in {rng.randint(1800, 2030)}",
+             lambda: f"{rng.randint(1, 9)}.{rng.randint(0, 99)} percent", lambda: f"20{rng.randint(10, 30)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}",
+             lambda: f"order {rng.randint(1000000, 9999999)}", lambda: f"{rng.randint(1, 99)},{rng.randint(100, 999)}", lambda: f"at {rng.choice(words)}.{rng.choice(words)}",
+             lambda: f"password: {rng.choice(words)}{rng.randint(10, 99)}"]
+    rows = [(i, f"{say(8)} {rng.choice(plain)()} {say(8)} {rng.choice(plain)()} {say(3)}") for i in range(3_000)]
+    hidden = {"email": lambda i: f"{say(4)} " + ("jane.doe{0} [at] example{0} [dot] com", "jane{0} at host{0} dot org", "j_{0}(at)mail.example.net")[i % 3].format(i),
+              "phone": lambda i: f"{say(4)} call us on 0{rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}",
+              "secret": lambda i: f"{say(4)} password: " + ("hunter{}", "x{}!y", "let-me-in{}")[i % 3].format(i)}
+    planted = [(10_000 + 1_000 * k + i, f"{make(i)} {say(6)}", kind) for k, (kind, make) in enumerate(hidden.items()) for i in range(150)]
+    clean = [(20_000 + i, f"{say(6)} {rng.choice(plain[2:8])()} {say(6)}") for i in range(600)]
+    out = {r.doc_id: [pii.KINDS[x.kind] for x in r.added] for r in
+           pii.find_personal_data(make_docs(rows + [p[:2] for p in planted] + clean)).filter("doc_id >= 10000").collect()}
+    for kind in hidden:
+        found = [kind in out[i] for i, _, k in planted if k == kind]
+        assert sum(found) >= 0.9 * len(found), (kind, sum(found))
+    assert sum(bool(out[i]) for i, _ in clean) <= 0.02 * len(clean)
+
+
+def test_selected_spans_against_brute_force(make_docs):
+    """A fixed model (tokens of letters over 15 signs): the spans of a plain search, none of which touches one of the rules."""
+    rng = random.Random(22)
+    pieces = ["word", "A1b2C3d4E5f6G7h8", "x" * 40 + "1", "no_digits_in_this_piece", "1234567890123456789", "a.b@long-host-name-0001.example.com", "😀", "10.0.0.1", "ab12", "\n", "key=Zz9yy8xx7ww6vv5uu4"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    model = pii.SpanModel([(1.0, ["If (feature 0 <= 15.5)", "Predict: -1.0", "Else (feature 0 > 15.5)", "Predict: 1.0"])], ["length", *pii.CONTEXT], {4: 0.5})
+    out = {r.doc_id: sorted((x.start, x.end) for x in r.added) for r in pii.find_personal_data(make_docs(list(enumerate(texts))), model).collect()}
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    for i, text in enumerate(texts):
+        taken = [m.span() for m in mail.finditer(text)]
+        want = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}=*", text)
+                if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b in taken)]
+        assert out[i] == want, text
+
+
+def test_thresholds_come_from_all_texts(make_docs):
+    """A kind that hardly a sampled text shows is judged by what the whole table holds."""
+    rows = [(i, f"plain words {i} and 20{i % 90 + 10}") for i in range(4_000)]
+    rows += [(5_000 + i, f"write to user{i}@mail.example.com or +1 555 {100 + i % 800} {1000 + i}") for i in range(400)]
+    docs = make_docs(rows)
+    trees = pii.SpanModel.fit_trees(docs, rows=1_500)
+    assert trees.trees and not trees.thresholds
+    trees.calibrate(pii._judged(docs, trees))
+    assert {0, 3} <= trees.thresholds.keys()
