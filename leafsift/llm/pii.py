@@ -50,7 +50,11 @@ DISGUISED = (
     r"(?:(?: ?[\[({]dot[\])}] ?| dot |\.)[A-Za-z0-9-]++)++")
 BRACKETED, SPELLED = r"[\[({]at[\])}]", r"[\[({ ]dot[\])} ]"
 #: How an address is disguised: what stands for the at and for a dot.
-DISGUISES = [(" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "(dot)"), (" [at] ", "."), ("[at]", "."), (" {at} ", " {dot} ")]
+DISGUISES = [(" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "(dot)"), (" [at] ", "."), ("(at)", "."), ("[at]", "[dot]"), (" {at} ", " {dot} ")]
+#: How a phone is written without its plus: as it is, or its country code dropped or become a zero.
+BARE = [(r"^\+", ""), (r"^\+[0-9]{1,3}[ .-]+(?=[0-9(])", ""), (r"^\+[0-9]{1,3}[ .-]+\(?([0-9]+)\)?", "0$1")]
+#: Trees tell apart no fewer rows than this, so that single wrong labels are not learned.
+LEAST_ROWS = 10
 LONG = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+=*+"
 SECRET_WORDS = "(?:password|passwd|pwd|secret|token|api.?key|access.?key)"
 CUED = (rf"(?<![^\s\"'=:(\[{{,;])(?=[^\s\"'<>,;()\[\]{{}}=:])(?<=(?i:{SECRET_WORDS})\W{{0,5}})"
@@ -233,15 +237,21 @@ def rewritten(text: Column) -> Column:
     """Addresses and phones of the rules between their neighbours, disguised: ``around``, and ``plain`` as the rules found it."""
     none = F.array().cast("array<struct<around:string,plain:string>>")
 
+    def written_as(m: Column, plain: Column, at: Column, dot: Column) -> Column:
+        address = F.concat(F.substring_index(plain, "@", 1), at, F.replace(F.substring_index(plain, "@", -1), F.lit("."), dot))
+        return F.struct(F.concat(m["before"], address, m["after"]).alias("around"), plain.alias("plain"))
+
     def mail(m: Column) -> Column:
-        way = F.pmod(F.xxhash64(m["m"]), F.lit(len(DISGUISES)))
-        at, dot = (F.element_at(F.array(*[F.lit(d[i]) for d in DISGUISES]), (way + 1).cast("int")) for i in (0, 1))
-        name, host = F.substring_index(m["m"], "@", 1), F.substring_index(m["m"], "@", -1)
-        return F.struct(F.concat(m["before"], name, at, F.replace(host, F.lit("."), dot), m["after"]).alias("around"), m["m"].alias("plain"))
+        way = F.xxhash64(m["m"])
+        at, dot = (F.element_at(F.array(*[F.lit(d[i]) for d in DISGUISES]), (F.pmod(way, F.lit(len(DISGUISES))) + 1).cast("int")) for i in (0, 1))
+        # Every second one without its digits, which are no mark of an address.
+        return written_as(m, F.when(F.shiftright(way, 20) % 2 == 0, F.regexp_replace(m["m"], "[0-9]", "")).otherwise(m["m"]), at, dot)
 
     def phone(m: Column) -> Column:
-        return F.struct(F.concat(m["before"], F.substring(m["m"], F.lit(2), F.length(m["m"])), m["after"]).alias("around"),
-                        digits(m["m"]).alias("plain"))
+        way = F.pmod(F.xxhash64(m["m"]), F.lit(len(BARE)))
+        bare = F.coalesce(*[F.when(way == i, F.regexp_replace(m["m"], *how)) for i, how in enumerate(BARE)])
+        bare = F.when(F.length(digits(bare)) >= 7, bare).otherwise(F.regexp_replace(m["m"], *BARE[0]))
+        return F.struct(F.concat(m["before"], bare, m["after"]).alias("around"), digits(bare).alias("plain"))
 
     mails = F.when(F.instr(text, "@") > 0, F.transform(matches(text, EMAIL), mail)).otherwise(none)
     phones = F.when(F.instr(text, "+") > 0, F.transform(
@@ -331,7 +341,7 @@ class SpanModel:
             (F.when(hidden, 0).otherwise(F.col(f"f.{c}")) if c in CONTEXT else F.col(f"f.{c}")).cast("double").alias(c) for c in names]), "pii-fit")
         if fitting.select("label").distinct().count() < 2:  # nothing to tell apart: only the rules speak
             return SpanModel([], names, {})
-        fitted = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, featuresCol="x").fit(
+        fitted = GBTClassifier(maxIter=trees, maxDepth=depth, minInstancesPerNode=LEAST_ROWS, seed=7, featuresCol="x").fit(
             VectorAssembler(inputCols=names, outputCol="x").transform(fitting))
         parts = re.split(r"Tree \d+ \(weight ([0-9.Ee+-]+)\):\n", fitted.toDebugString)[1:]
         return SpanModel([(float(w), t.rstrip().split("\n")) for w, t in zip(parts[::2], parts[1::2])], names, {})
@@ -354,11 +364,12 @@ class SpanModel:
             F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).orderBy(F.desc("score")).collect()
         for kind in {r["kind"] for r in table}:
             n = good = 0
-            for r in table:  # from the best score down, as long as what is above is precise enough
-                if r["kind"] == kind:
-                    n, good = n + r["n"], good + r["good"]
-                    if good >= precision * n and r["score"] > 0:
-                        self.thresholds[kind] = r["score"]
+            seen_scores = [r for r in table if r["kind"] == kind]
+            for r, below in zip(seen_scores, [*(x["score"] for x in seen_scores[1:]), -float("inf")]):
+                # From the best score down, as long as what is above is precise enough; the bound lies halfway to the next score, not under even odds.
+                n, good = n + r["n"], good + r["good"]
+                if good >= precision * n and r["score"] > 0:
+                    self.thresholds[kind] = max(0.0, (r["score"] + below) / 2)
 
     def scored(self, text: Column, base: Column) -> Column:
         """All candidates with their scores; ``label`` only for those held out from fitting."""
