@@ -1,13 +1,15 @@
 """Benchmark decontamination with suffix arrays of the training shards.
 
 Every task sorts the suffixes of its share of the documents (its shard) by
-words, and looks up all suffixes of the benchmark by binary search, all at
-once. The neighbours of the place found give the longest verbatim match and
-where it is; the range of suffixes that begin with a window of the benchmark
-gives all its occurrences.
-
-Words that the benchmark doesn't have end a match, so suffixes that cannot
-hold even the shortest window are left out before sorting.
+words, and looks up every suffix of the benchmark by binary search, all at
+once. The places found put the suffixes of both sides in one order, in which
+the neighbours of a document's suffix among those of the benchmark have its
+longest verbatim match. The range of suffixes that begin with a window of the
+benchmark gives all its occurrences, and these are compared with all places
+of the window, since the order goes no deeper than a window.
+
+Words that the benchmark doesn't have end a match, so suffixes that begin
+with one are left out before sorting.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ class Benchmark:
     places: list[list[int]]
     items: list[list[str]]
     item_at: list[str]  # the item of each place
+    suffixes: np.ndarray  # a place of each suffix (of as many words as a window) in their order; its number of words
+    sizes: np.ndarray
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -72,7 +76,13 @@ def prepared(items: list[tuple[object, str | None]], window: int) -> Benchmark:
         words += [*own, 0]
         item_at += [min(names)] * (len(own) + 1)
     lengths = np.array([len(w) for w in windows], np.int64)
-    return Benchmark(vocabulary, np.array(words + [0] * (window + 1), np.int32), lengths, places, [sorted(o) for o in owners], item_at)
+    y = np.array(words + [0] * (window + 1), np.int32)
+    suffixes = suffix_array(y, 1, window, len(vocabulary))
+    shared = common_prefix(y, suffixes[:-1], y, suffixes[1:], window)
+    left = np.searchsorted(np.flatnonzero(y == 0), suffixes)
+    sizes = np.minimum(np.flatnonzero(y == 0)[left] - suffixes, window)
+    other = np.append(True, shared < np.maximum(sizes[1:], sizes[:-1]))[: len(suffixes)]  # equal ones are looked up once
+    return Benchmark(vocabulary, y, lengths, places, [sorted(o) for o in owners], item_at, suffixes[other], sizes[other])
 
 
 def numbers(text: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
@@ -108,11 +118,11 @@ def suffix_array(x: np.ndarray, least: int, depth: int, words: int) -> np.ndarra
     return known[np.lexsort(keys[::-1])]
 
 
-def common_prefix(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of equal known words from places ``a`` of ``x`` and ``b`` of ``y`` on."""
+def common_prefix(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Number of equal known words from places ``a`` of ``x`` and ``b`` of ``y`` on, counted up to ``most``."""
     length = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
-    while len(live):
+    while len(live) and (most is None or length[live[0]] < most):
         u, v = a[live] + length[live], b[live] + length[live]
         inside = (u < len(x)) & (v < len(y))
         live, u, v = live[inside], u[inside], v[inside]
@@ -158,7 +168,9 @@ def matched(texts: list[bytes], bench: Benchmark, window: int) -> Iterator[tuple
     found: list[set[str]] = [set() for _ in texts]
     longest: list[tuple] = [(0, None, None)] * len(texts)
     if len(bench.lengths):
-        order = suffix_array(x, int(bench.lengths.min()), window, len(bench.vocabulary))
+        order = suffix_array(x, 1, window, len(bench.vocabulary))
+        for doc, *best in _longest(x, order, starts, bench, window):
+            longest[doc] = tuple(best)
         tests = np.array([p[0] for p in bench.places], np.int64)
         lo = bounds(x, order, bench.words, tests, bench.lengths, False)
         hi = bounds(x, order, bench.words, tests, bench.lengths, True)
@@ -172,12 +184,30 @@ def matched(texts: list[bytes], bench: Benchmark, window: int) -> Iterator[tuple
             for test in bench.places[w]:
                 match = common_prefix(x, places, bench.words, np.full(len(places), test))
                 for doc, at, size in zip(docs.tolist(), inside, match.tolist()):
-                    if size > longest[doc][0]:
+                    if (-size, at, bench.item_at[test]) < (-longest[doc][0], *longest[doc][1:]):
                         longest[doc] = (size, at, bench.item_at[test])
     for size, ranges, items, best in zip(sizes.tolist(), hits, found, longest):
         yield size, _joined(ranges), sorted(items), *best
 
 
+def _longest(x: np.ndarray, order: np.ndarray, starts: np.ndarray, bench: Benchmark, window: int) -> Iterator[tuple[int, int, int, str]]:
+    """Document, words (at most a window), place and item of the longest match of each document that has one, the first of equally long ones."""
+    found = bounds(x, order, bench.words, bench.suffixes, bench.sizes, False)
+    before = np.searchsorted(found, np.arange(len(order)), "right") - 1  # the last suffix of the benchmark not after
+    size, test = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    for near in (before, before + 1):
+        own = np.flatnonzero((near >= 0) & (near < len(found)))
+        place = bench.suffixes[near[own]]
+        match = common_prefix(x, order[own], bench.words, place, window)
+        longer = match > size[own]
+        size[own[longer]], test[own[longer]] = match[longer], place[longer]
+    docs = np.searchsorted(starts, order, "right") - 1
+    best = np.lexsort((order, -size, docs))
+    best = best[np.append(True, docs[best][1:] != docs[best][:-1])[: len(best)]]
+    for k in best[size[best] > 0].tolist():
+        yield int(docs[k]), int(size[k]), int(order[k] - starts[docs[k]]), bench.item_at[test[k]]
+
+
 def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping and adjoining ranges as one."""
     out: list[tuple[int, int]] = []
@@ -225,7 +255,7 @@ def _pass(rows: DataFrame, carried: list[str], bench: Benchmark, window: int) ->
 def _added(before: tuple, now: tuple) -> tuple:
     words, hits, items, *best = now
     hits = _joined([(h["first"], h["last"]) for h in before[1]] + hits)
-    return words, hits, sorted({*before[2], *items}), *(before[3:] if before[3] >= best[0] else best)
+    return words, hits, sorted({*before[2], *items}), *min(before[3:], best, key=lambda b: (-b[0], b[1] or 0))
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, carried: tuple[str, ...] = ("doc_id",),
@@ -235,8 +265,9 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, c
     Returns the ``carried`` columns and ``n_words``, ``hits`` (ranges of
     document words covered by a window of ``window`` item words), ``items``
     (ids, as sorted strings, of items with an occurring window; an item of
-    fewer words is one window) and the longest verbatim match: ``longest`` in
-    words, ``longest_at``, ``longest_item``.
+    fewer words is one window) and the longest verbatim match of any length:
+    ``longest`` in words, ``longest_at`` (its first place), ``longest_item``
+    (an item that has it). Without a common word these are 0, null and null.
 
     The benchmark is the stated query set: it is sent to the tasks in passes
     of about ``pass_words`` words (a bound on the broadcast), and a larger one

@@ -133,6 +133,26 @@ def test_longest_match_and_empty_tables(spark, make_docs):
     assert benchmark_matches(make_docs([(1, "a")]).limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("pass_words", [500_000, 30])
+def test_longest_match_against_brute_force(spark, make_docs, pass_words):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(12)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, " ".join(say(rng.randint(1, 40)))) for i in range(12)]
+    rows = [(i, " ".join(say(rng.randint(0, 9)) + (rng.choice(items)[1].split()[rng.randint(0, 20) :] + ["unknown"]) * rng.randint(0, 1) + say(15)))
+            for i in range(60)] + [(60, "nothing shared"), (61, None), (62, "w3"), (63, items[3][1]), (64, items[3][1] + " " + items[5][1])]
+    got = benchmark_matches(make_docs(rows), spark.createDataFrame(items, "item_id long, text string"), pass_words=pass_words)
+    named = {str(i): t.split() for i, t in items}
+    for r in got.collect():
+        doc = (dict(rows)[r.doc_id] or "").split()
+        assert (r.longest, r.longest_at) == brute.longest_match(doc, named.values())
+        if r.longest:
+            match, item = doc[r.longest_at : r.longest_at + r.longest], named[r.longest_item]
+            assert any(item[k : k + r.longest] == match for k in range(len(item)))
+        else:
+            assert r.longest_item is None
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
