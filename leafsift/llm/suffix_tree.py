@@ -2,11 +2,13 @@
 
 Symbols are the bytes of a text's tokens (words parted by one space) and an
 end. Contexts of up to ``DEPTH`` symbols are counted over the whole training
-corpus. As in the classical algorithm a context is a candidate if it makes up
-at least ``LEAST_SHARE`` of the corpus, which bounds the tree whatever the
-size of the corpus, and is retained if the divergence of its next-symbol
+corpus. As in the classical algorithm a context is a candidate if it occurs
+often enough, and is retained if the divergence of its next-symbol
 distribution from that of its parent (the context without its oldest symbol)
-outweighs its parameters. Distributions are smoothed towards the parent's.
+outweighs its parameters. The least number of occurrences grows with the
+square root of the corpus (``least_count``), so contexts become more as the
+corpus grows, while the tree grows slowly enough to be held by every task.
+Distributions are smoothed towards the parent's.
 The tree becomes an automaton whose states are the longest retained suffixes,
 and a text is scored by walking it.
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from leafsift.llm.common import only, staged
 
-DEPTH, LEAST_SHARE = 6, 2e-5
+DEPTH, LEAST_SHARE, LEAST_ROOT = 6, 2e-5, 0.1
 BASE, END = 257, 256
 HEAD_WORDS, SAMPLE_ROWS = 200_000, 10_000
 #: Bytes of text that a task works on at a time; symbols per piece of the walk.
@@ -39,6 +41,11 @@ CHUNK, PIECE = 1 << 20, 1024
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
 
+def least_count(total: int) -> float:
+    """Occurrences that a context needs in a corpus of ``total`` symbols: a share of a small corpus, a multiple of the root of a larger one."""
+    return min(LEAST_SHARE * total, LEAST_ROOT * total**0.5)
+
+
 def tokens_of(text: str | None) -> bytes:
     """The words of a text, A-Z lower-cased, parted by single spaces."""
     return b" ".join((text or "").encode("utf-8", "replace").translate(PLAIN).split())
@@ -210,12 +217,12 @@ class SuffixTree:
             level = levels[depth + 1].select((F.col("code") % BASE ** (depth + 1)).alias("code"), "n") if depth < DEPTH else grams
             level = level.groupBy("code").agg(F.sum("n").alias("n"))
             levels[depth] = staged(level.withColumn("context", F.expr(f"code div {BASE}")), "lm-contexts")
-        kept = set()  # at most DEPTH / LEAST_SHARE contexts
+        kept = set()  # at most DEPTH * total / least_count(total) contexts
         for depth in range(1, DEPTH + 1):
             parent = levels[depth - 1].groupBy("context").agg(F.sum("n").alias("total"))
             up = levels[depth - 1].join(parent, "context").select(F.col("code").alias("up"), (F.col("n") / F.col("total")).alias("p"))
             own = levels[depth].groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-            own = own.filter(F.col("total") >= F.lit(LEAST_SHARE * total))
+            own = own.filter(F.col("total") >= F.lit(least_count(total)))
             gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p")))
             each = (
                 levels[depth].join(own, "context").withColumn("up", F.col("code") % BASE**depth).join(up, "up")

@@ -74,6 +74,19 @@ def contamination(rows, items, n=10):
     return out
 
 
+def longest_match(doc, items):
+    """Words and first place of the longest run of ``doc`` that some item has."""
+    best = (0, None)
+    for at in range(len(doc)):
+        for item in items:
+            for k in range(len(item)):
+                size = 0
+                while at + size < len(doc) and k + size < len(item) and doc[at + size] == item[k + size]:
+                    size += 1
+                best = (size, at) if size > best[0] else best
+    return best
+
+
 def base_scores(rows):
     tokens = [SPACED.findall(lower(t)) + [None] for _, t in rows]
     out_of = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in rows]
@@ -83,6 +96,42 @@ def base_scores(rows):
             for (i, _), held, ws in zip(rows, out_of, tokens)]
 
 
+def suffix_tree_scores(rows, depth, least_count, end=256, base=257):
+    """log10 probability of each text under the tree of the training texts, symbol by symbol."""
+    texts = [[*" ".join(SPACED.findall(lower(t))).encode(), end] for _, t in rows]
+    train = [t for t, (i, _) in zip(texts, rows) if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
+    nexts = {}
+    for text in train:
+        padded = [end] * depth + text
+        for k in range(depth, len(padded)):
+            for d in range(depth + 1):
+                nexts.setdefault(tuple(padded[k - d : k]), Counter())[padded[k]] += 1
+    total = sum(map(len, train))
+    states = {()}
+    for context, own in nexts.items():
+        n, up = sum(own.values()), nexts[context[1:]] if context else None
+        if context and n >= least_count(total):
+            gain = sum(c * math.log(c / n / (up[s] / sum(up.values()))) for s, c in own.items())
+            if gain > (len(own) - 1) * math.log(n) / 2:
+                states |= {context[a:b] for a in range(len(context)) for b in range(a + 1, len(context) + 1)}
+
+    def p(context, symbol):
+        own = nexts.get(context, Counter())
+        n = sum(own.values())
+        if not context:
+            return (own[symbol] + 1) / (n + base)
+        return (own[symbol] + len(own) * p(context[1:], symbol)) / (n + len(own))
+
+    out = []
+    for text in texts:
+        padded, score = [end] * depth + text, 0.0
+        for k in range(depth, len(padded)):
+            context = next(c for d in range(depth, -1, -1) if (c := tuple(padded[k - d : k])) in states)
+            score += math.log10(p(context, padded[k]))
+        out.append(score)
+    return out
+
+
 def fingerprint(text):
     import xxhash
 

@@ -254,10 +254,25 @@ def test_scores(make_docs, odd_rows):
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert all(math.isclose(g[5], w[5], abs_tol=1e-4, rel_tol=1e-9) for g, w in zip(got, want))
     held = [r for r in out.collect() if r.held_out and r.doc_id and r.doc_id >= 100]
-    assert sum(r.score for r in held) > 1.2 * sum(r.base_score for r in held) or sum(r.score for r in held) < 0
+    assert held and sum(r.score for r in held) > 1.2 * sum(r.base_score for r in held)
     assert suffix_tree.score_documents(make_docs(rows).limit(0)).count() == 0
 
 
+def test_scores_against_brute_force(make_docs):
+    rng = random.Random(15)
+    rows = [(i, talk("en", rng.randint(0, 30), rng) + ("  Ünseen" if i % 50 == 7 else "")) for i in range(300)] + [(300, None), (301, "")]
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(make_docs(rows)).collect()}
+    want = brute.suffix_tree_scores(rows, suffix_tree.DEPTH, suffix_tree.least_count)
+    assert len(got) == len(rows) and all(math.isclose(got[i], w, rel_tol=1e-4) for (i, _), w in zip(rows, want))
+
+
+def test_contexts_grow_with_the_corpus():
+    counts = [suffix_tree.least_count(n) for n in (0, 10**5, 10**7, 10**9, 10**13)]
+    assert counts == sorted(counts) and counts[1] == suffix_tree.LEAST_SHARE * 10**5
+    room = [n / suffix_tree.least_count(n) for n in (10**7, 10**8, 10**9, 10**13)]
+    assert all(b > 2 * a for a, b in zip(room[1:], room[2:]))
+
+
 def grown(spark, texts):
     grams = suffix_tree.context_grams([suffix_tree.tokens_of(t) for t in texts])
     return suffix_tree.SuffixTree.grow(spark.createDataFrame([(int(g), 1) for g in grams], "code long, n long"))
