@@ -5,7 +5,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pytest
 from leafsift.functions import lemmas
-from leafsift.operators import automaton, matching, patterns, selection, tokens
+from leafsift.operators import assembly, automaton, cleaning, matching, naive_bayes, patterns, ranking, selection, tokens
 from leafsift.plans.registry import METRICS, get_keywords, get_metric, get_patterns, with_patterns
 from pyspark.sql import functions as F
 from restated import first_match, phrase_patterns
@@ -201,3 +201,20 @@ def test_long_blocks(spark, text, metric, span):
     rows = spark.createDataFrame([("A_Annual_Report_1.pdf", 1, 1, text.strip())], "filename string, page int, paragraph int, text string")
     got = [(r["start"], r["end"]) for r in matching.match_blocks(rows, [metric]).select("start", "end").collect()]
     assert got == ([span] if span else [])
+
+
+def test_growing_sides_are_not_broadcast(spark, make_blocks):
+    """Written tables look small to the planner; neither page keys nor table numbers nor terms may go through the driver for that."""
+    table = "Quantity\nPrice\nItem\n12\n345\n67\n890\n12\n"
+    blocks = make_blocks({f"A{i}_Annual_Report_2020.pdf": {1: ["The LTIFR improved.", table, table], 2: [table]} for i in range(20)})
+    numbered = cleaning.number_tables(blocks.filter(cleaning.is_table()))
+    matches = matching.match_table(cleaning.clean_blocks(blocks, write_tables=True), "ltifr")
+    flagged = ranking.flag_frequent_pages(matches)
+    model = naive_bayes.train(matches.select("text", F.lit(1).alias("class")).unionByName(blocks.select("text", F.lit(0).alias("class"))))
+    scored = naive_bayes.score(matches, ["filename", "page", "paragraph"], *model)
+    for df, rows in ((numbered, 60), (matches, 20), (flagged, 20), (scored.drop("likelihood"), 20), (assembly.collect_parts(flagged, 2), 20)):
+        assert len(df.collect()) == rows
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # Totals of one row come by a broadcast of their own; a shuffled side, whose size is measured, may become one.
+        wide = [line for line in plan.split("\n") if "BroadcastHashJoin" in line and ("_salt" in line or "_paras" in line)]
+        assert not wide and "SortMergeJoin" in plan
