@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from leafsift.functions.text import mask_numbers
 from leafsift.operators import categories, evaluate, features, linear, naive_bayes, sampling
@@ -78,6 +79,22 @@ def test_cross_validation(frame, passages):
                 assert r["likelihood"] == pytest.approx(models[r["fold"]](text_of[r["doc_id"]]), abs=1e-9)
 
 
+def test_texts_are_read_in_pieces_of_characters():
+    """A batch is so many rows, however long: words are held for a piece of it, in order, with nulls and empty texts."""
+    texts = ["x" * (features.PIECE // 2 + 1), None, "", "short", "y" * (3 * features.PIECE), None] * 3
+    pieces = list(features._pieces(iter([pa.array(texts), pa.array([], pa.string()), pa.array([None], pa.string())])))
+    assert [t for piece in pieces for t in piece] == [*texts, None]
+    assert len(pieces) > 3 and all(sum(len(t or "") for t in piece[:-1]) < features.PIECE for piece in pieces)
+
+
+def test_long_batches_keep_their_rows(spark):
+    """One batch of several pieces: every row gets its own counts."""
+    frame = spark.range(40).select("id", F.when(F.col("id") % 7 != 0, F.repeat(F.concat(F.lit("term"), F.col("id"), F.lit(" ")), 9000)).alias("text")).coalesce(1)
+    got = {r["id"]: (r["terms"], r["words"]) for r in features.term_counts(frame).select(
+        "id", "terms", F.size(features.words("text")).alias("words")).collect()}
+    assert got == {i: ([(f"term{i}", 9000)], 9000) if i % 7 else ([], None) for i in range(40)}
+
+
 def test_term_counts_and_words(spark):
     rows = spark.createDataFrame([("  The Rate, the RATE\n3.5 it's “x” ",), ("",), ("of the",)], "text string")
     got = [{t["term"]: t["n"] for t in r["terms"]} for r in features.term_counts(rows, ngram_range=(1, 2)).collect()]
