@@ -79,6 +79,27 @@ def test_cross_validation(frame, passages):
                 assert r["likelihood"] == pytest.approx(models[r["fold"]](text_of[r["doc_id"]]), abs=1e-9)
 
 
+@pytest.mark.parametrize("held", [0, 2, 1000])
+def test_frequent_terms_are_summed_where_they_are_read(spark, monkeypatch, held):
+    """Only the terms that are not held are shuffled; scores are the same however many are."""
+    labelled = spark.createDataFrame([("alpha beta beta gamma", 1), ("alpha delta", 0), ("alpha gamma gamma", 0)], "text string, class int")
+    vocabulary, totals = naive_bayes.train(labelled, 0.5)
+    texts = ["alpha alpha beta omega", "omega", None, "gamma delta beta", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(naive_bayes, "HELD_TERMS", held)
+    counts = []
+    monkeypatch.setattr(naive_bayes, "materialise", lambda df: counts.append(df) or df)
+    got = {r["doc_id"]: r["likelihood"] for r in naive_bayes.score(rows, ["doc_id"], vocabulary, totals).collect()}
+    assert {t["term"] for r in counts[0].collect() for t in r["rest"]} == {
+        0: {"alpha", "beta", "gamma", "delta", "omega"}, 2: {"gamma", "delta", "omega"}, 1000: {"omega"}}[held]
+    thetas, prior = {r["term"]: (r["theta0"], r["theta1"]) for r in vocabulary.collect()}, totals.first()
+    for i, text in enumerate(texts):
+        n = {t: c for t, c in Counter((text or "").split()).items() if t in thetas}
+        length = math.sqrt(sum(c * c for c in n.values())) or 1.0
+        s0, s1 = (prior[f"prior{k}"] + sum(c * thetas[t][k] for t, c in n.items()) / length for k in (0, 1))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(s0 - s1)), abs=1e-12)
+
+
 def test_texts_are_read_in_pieces_of_characters():
     """A batch is so many rows, however long: words are held for a piece of it, in order, with nulls and empty texts."""
     texts = ["x" * (features.PIECE // 2 + 1), None, "", "short", "y" * (3 * features.PIECE), None] * 3
