@@ -230,6 +230,16 @@ def test_odd_training_tables(spark):
     assert [r["prediction"] for r in linear.train_linear(one).predict(one).orderBy("doc_id").collect()] == [1, 1, 1]
 
 
+def test_passages_are_not_broadcast_in_rounds(spark):
+    """The inner products of a round are one row per passage, however small that is measured."""
+    weights = spark.createDataFrame([(i, t, 0.5) for i in range(6) for t in "ab"], "id long, term string, w double")
+    state = spark.createDataFrame([("a", [1.0]), ("b", [3.0]), (linear.BIAS, [0.25])], "term string, x array<double>")
+    out = linear._scored(spark.range(7), weights, state, "x", ["id"], 1)
+    assert {r["id"]: r["z"][0] for r in out.collect()} == {i: 2.25 if i < 6 else 0.25 for i in range(7)}
+    joins = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "LeftOuter" in line and "[id#" in line]
+    assert joins and not any("BroadcastHashJoin" in line for line in joins)
+
+
 def test_rounds_need_a_shared_folder(frame, monkeypatch):
     monkeypatch.setattr("leafsift.session.shared_dir", lambda spark: None)
     with pytest.raises(ValueError, match="checkpoint"):
