@@ -10,6 +10,7 @@ from pyspark.sql import DataFrameWriter
 
 NAMES = [
     "a06_assess_healthcare",
+    "a01_scored_passages",
 ]
 
 
