@@ -11,6 +11,7 @@ from pyspark.sql import DataFrameWriter
 NAMES = [
     "a06_assess_healthcare",
     "a01_scored_passages",
+    "a05_not_found_rows",
 ]
 
 
