@@ -12,6 +12,7 @@ NAMES = [
     "a06_assess_healthcare",
     "a01_scored_passages",
     "a05_not_found_rows",
+    "a06_assess_ceo_pay_ratio",
 ]
 
 
