@@ -13,6 +13,7 @@ NAMES = [
     "a01_scored_passages",
     "a05_not_found_rows",
     "a06_assess_ceo_pay_ratio",
+    "a04_collect_in_parts",
 ]
 
 
