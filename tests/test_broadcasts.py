@@ -14,6 +14,7 @@ NAMES = [
     "a05_not_found_rows",
     "a06_assess_ceo_pay_ratio",
     "a04_collect_in_parts",
+    "s05_match_table",
 ]
 
 
