@@ -15,6 +15,7 @@ NAMES = [
     "a06_assess_ceo_pay_ratio",
     "a04_collect_in_parts",
     "s05_match_table",
+    "a07_assess_report",
 ]
 
 
