@@ -16,6 +16,7 @@ NAMES = [
     "a04_collect_in_parts",
     "s05_match_table",
     "a07_assess_report",
+    "a06_assess_n_contractors",
 ]
 
 
