@@ -17,6 +17,7 @@ NAMES = [
     "s05_match_table",
     "a07_assess_report",
     "a06_assess_n_contractors",
+    "a06_assess_company_gender_diversity",
 ]
 
 
