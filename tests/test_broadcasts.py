@@ -18,6 +18,7 @@ NAMES = [
     "a07_assess_report",
     "a06_assess_n_contractors",
     "a06_assess_company_gender_diversity",
+    "m04_phrase_match_ltifr",
 ]
 
 
