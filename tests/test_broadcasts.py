@@ -19,6 +19,7 @@ NAMES = [
     "a06_assess_n_contractors",
     "a06_assess_company_gender_diversity",
     "m04_phrase_match_ltifr",
+    "a03_positive_passages",
 ]
 
 
