@@ -20,6 +20,7 @@ NAMES = [
     "a06_assess_company_gender_diversity",
     "m04_phrase_match_ltifr",
     "a03_positive_passages",
+    "a04_collect_passages",
 ]
 
 
