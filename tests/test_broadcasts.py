@@ -21,6 +21,7 @@ NAMES = [
     "m04_phrase_match_ltifr",
     "a03_positive_passages",
     "a04_collect_passages",
+    "a06_assess_ltifr",
 ]
 
 
