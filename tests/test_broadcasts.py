@@ -22,6 +22,7 @@ NAMES = [
     "a03_positive_passages",
     "a04_collect_passages",
     "a06_assess_ltifr",
+    "m03_token_match_healthcare",
 ]
 
 
