@@ -23,6 +23,7 @@ NAMES = [
     "a04_collect_passages",
     "a06_assess_ltifr",
     "m03_token_match_healthcare",
+    "m03_token_match_n_contractors",
 ]
 
 
