@@ -24,6 +24,7 @@ NAMES = [
     "a06_assess_ltifr",
     "m03_token_match_healthcare",
     "m03_token_match_n_contractors",
+    "m04_phrase_match_ceo_pay_ratio",
 ]
 
 
