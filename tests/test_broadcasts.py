@@ -26,6 +26,7 @@ NAMES = [
     "m03_token_match_n_contractors",
     "m04_phrase_match_ceo_pay_ratio",
     "m04_phrase_match_parental_care",
+    "m06_match_table_company_ethnic_diversity",
 ]
 
 
