@@ -28,6 +28,7 @@ NAMES = [
     "m04_phrase_match_parental_care",
     "m06_match_table_company_ethnic_diversity",
     "m06_match_table_company_gender_diversity",
+    "m06_match_table_international_diversity",
 ]
 
 
