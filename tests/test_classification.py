@@ -100,6 +100,22 @@ def test_frequent_terms_are_summed_where_they_are_read(spark, monkeypatch, held)
         assert got[i] == pytest.approx(1 / (1 + math.exp(s0 - s1)), abs=1e-12)
 
 
+def test_frequent_terms_are_gathered_by_a_task(spark, monkeypatch):
+    """Of a limit at the root of a plan, every partition sends as many rows to the driver."""
+    labelled = spark.createDataFrame([("alpha beta beta gamma", 1), ("alpha delta", 0)], "text string, class int")
+    vocabulary, totals = naive_bayes.train(labelled, 0.5)
+    plans = []
+
+    def recorded(self, collect=type(vocabulary).collect):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    monkeypatch.setattr(type(vocabulary), "collect", recorded)
+    naive_bayes.score(labelled.withColumn("doc_id", F.monotonically_increasing_id()), ["doc_id"], vocabulary, totals)
+    assert any("TakeOrderedAndProject" in plan for plan in plans)
+    assert not any("TakeOrderedAndProject" in line for plan in plans for line in plan.split("\n")[:2])
+
+
 def test_texts_are_read_in_pieces_of_characters():
     """A batch is so many rows, however long: words are held for a piece of it, in order, with nulls and empty texts."""
     texts = ["x" * (features.PIECE // 2 + 1), None, "", "short", "y" * (3 * features.PIECE), None] * 3
