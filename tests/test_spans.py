@@ -9,7 +9,7 @@ from leafsift_checks.queries import QUERIES
 from pyspark.sql import functions as F
 
 VOCAB = [f"word{i}" for i in range(60)]
-NAMES = ["t08_sgd_hinge", "h01_category_model", "h04_category_scores", "h06_rounded_probability", "h05_decide", "s06_saved_linear_model"]
+NAMES = ["t08_sgd_hinge", "h01_category_model", "h04_category_scores", "h06_rounded_probability", "h05_decide", "s06_saved_linear_model", "t07_linear_svc"]
 
 
 @pytest.fixture(scope="module")
